@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import near_dedup, packing
 from .common import read
 
 
+def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES = {
+    "op1_bag_minhash": op1_bag_minhash,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
