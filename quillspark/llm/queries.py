@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, near_dedup, packing
+from . import decontaminate, divergence, near_dedup, packing, pii, toxicity
 from .common import read
 
 
@@ -20,6 +20,15 @@ def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "n_toxic_tokens")
+
+
+def op6_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -29,6 +38,8 @@ QUERIES = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_divergence_rules": op2_divergence_rules,
     "op3_template_decontamination": op3_template_decontamination,
+    "op4_crf_toxicity": op4_crf_toxicity,
+    "op6_crf_pii": op6_crf_pii,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
