@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, near_dedup, packing, pii, toxicity
+from . import decontaminate, divergence, near_dedup, packing, pii, quality, toxicity
 from .common import read
 
 
@@ -34,6 +34,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_divergence_rules": op2_divergence_rules,
@@ -41,5 +45,6 @@ QUERIES = {
     "op4_crf_toxicity": op4_crf_toxicity,
     "op6_crf_pii": op6_crf_pii,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_attention_quality": op10_attention_quality,
 }
 ORACLES: dict[str, str] = {}
