@@ -40,6 +40,12 @@ SMALL_BUCKET = 32
 FIRST_LEADERS = 4
 #: Pairs of one leader that go to one part of a join.
 PAIRS_PER_PART = 2000
+#: Cells of a fingerprint: how many elements of a set fall into each.
+CELLS = 256
+#: Sets over this size skip the fingerprint test, whose cells hold small numbers.
+MAX_CELLED = 1_000_000
+#: Ids of candidate documents up to which they are broadcast (16 MB); beyond it they are shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def sketch(docs: DataFrame, width: int = WIDTH, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -68,21 +74,33 @@ def sketch(docs: DataFrame, width: int = WIDTH, n_bands: int = BANDS, rows: int
 
 
 def elements(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc and its multiset as a set of numbered occurrences."""
+    """doc, its multiset as a set of numbered occurrences, and the set's fingerprint."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
-            sets = [occurrences(*multiset(t, width)).view(np.int64) for t in texts]
+            sets = [occurrences(*multiset(t, width)) for t in texts]
             offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-            listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))
-            yield pa.RecordBatch.from_arrays([part.column(0), listed], names=["doc", "e"])
+            listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))
+            cells = [np.bincount((e >> np.uint64(56)).astype(np.int64), minlength=CELLS) for e in sets]
+            flat = pa.array(np.minimum(np.concatenate(cells), 32767).astype(np.int16))
+            prints = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * CELLS), flat)
+            yield pa.RecordBatch.from_arrays([part.column(0), listed, prints], names=["doc", "e", "cells"])
 
-    return docs.mapInArrow(run, "doc long, e array<long>")
+    return docs.mapInArrow(run, "doc long, e array<long>, cells array<short>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``(a, na, b, nb)`` whose multisets overlap enough; sizes prune before any set moves."""
-    fits = pairs.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b").distinct()
+    """The pairs ``(a, na, b, nb)`` whose multisets overlap enough.
+
+    Sizes prune first, then fingerprints: two sets share at most the smaller count of each
+    cell, so a pair that this bound rejects cannot reach the threshold. Only then sets move.
+    """
+    fits = pairs.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).distinct()
+    prints = sets.select(F.col("doc").alias("a"), F.col("cells").alias("ca"))
+    other = sets.select(F.col("doc").alias("b"), F.col("cells").alias("cb"))
+    most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
+    reach = (F.col("na") > MAX_CELLED) | (most >= threshold * (F.col("na") + F.col("nb") - most))
+    fits = checkpoint(fits.join(prints, "a").join(other, "b").where(reach).select("a", "b"))
     parts = fits.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_PART).alias("parts"))
     dealt = fits.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     spread = (
@@ -97,6 +115,11 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(alike).select("a", "b")
 
 
+def _repeats(sketches: DataFrame) -> bool:
+    """Whether any id stands in more than one row."""
+    return not sketches.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component, with their components."""
     named = labels.select(F.col("node").alias("doc"), "comp")
@@ -139,8 +162,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     banded = single.select(F.col("doc_id").alias("doc"), "n", F.explode("bands").alias("bucket")).distinct()
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("leader")).where("size > 1")
     members = checkpoint(banded.join(full, "bucket"))
-    wanted = members.select(F.col("doc").alias("doc_id")).distinct()
-    sets = checkpoint(elements(texts.join(wanted, "doc_id", "left_semi"), width).dropDuplicates(["doc"]))
+    wanted = checkpoint(members.select(F.col("doc").alias("doc_id")).distinct())
+    few = wanted.count() <= BROADCAST_IDS
+    # A row that repeats an id holds the same text; one of them is enough.
+    kept = elements(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), width)
+    sets = checkpoint(kept.dropDuplicates(["doc"]) if _repeats(sketches) else kept)
 
     sized = members.select(F.col("doc").alias("leader"), F.col("n").alias("na")).distinct()
     star = members.where("doc <> leader").select("leader", F.col("doc").alias("b"), F.col("n").alias("nb")).distinct()
@@ -149,22 +175,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     labels = components(edges)
 
     open_ = checkpoint(_labelled(members, labels))
-    small = verified(_crossing(open_.where(F.col("size") <= SMALL_BUCKET)), sets, threshold)
+    pairs = _crossing(open_.where(F.col("size") <= SMALL_BUCKET))
     large = open_.where(F.col("size") > SMALL_BUCKET)
     done = large.select("bucket", F.col("leader").alias("doc")).distinct()
     leaders = FIRST_LEADERS
-    more = small
     while True:
         chosen = checkpoint(_lead(large, done, leaders))
-        if chosen.isEmpty():
-            edges = checkpoint(edges.union(more))
-            labels = components(edges)
+        finished = chosen.isEmpty()
+        if not finished:
+            others = large.select("bucket", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+            led = others.join(chosen, "bucket").where("ca <> cb").select("a", "na", "b", "nb")
+            pairs = led if pairs is None else pairs.union(led)
+        if pairs is not None:
+            new = checkpoint(verified(pairs, sets, threshold))
+            if not new.isEmpty():
+                edges = edges.union(new)
+                labels = components(edges)
+        if finished:
             break
-        others = large.select("bucket", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        pairs = others.join(chosen, "bucket").where("ca <> cb").select("a", "na", "b", "nb")
-        edges = checkpoint(edges.union(more).union(verified(pairs, sets, threshold)))
-        more = edges.limit(0)
-        labels = components(edges)
+        pairs = None
         done = checkpoint(done.union(chosen.select("bucket", F.col("a").alias("doc"))))
         large = checkpoint(_labelled(large.drop("comp"), labels))
         leaders *= 2
