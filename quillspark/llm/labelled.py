@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, remainder
 
 #: Documents of either label that a fit uses at most; the bound of what reaches the driver.
-MAX_PER_LABEL = 2000
+MAX_PER_LABEL = 1200
 
 
 def sample(
