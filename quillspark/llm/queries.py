@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, near_dedup, packing, pii, quality, secret_scan, toxicity
+from . import decontaminate, divergence, licences, near_dedup, packing, pii, quality, secret_scan, toxicity
 from .common import read
 
 
@@ -34,6 +34,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 def op9_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_crf_toxicity": op4_crf_toxicity,
     "op6_crf_pii": op6_crf_pii,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_licence_paragraphs": op8_licence_paragraphs,
     "op9_forest_secrets": op9_forest_secrets,
     "op10_attention_quality": op10_attention_quality,
 }
