@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, licences, near_dedup, packing, pii, quality, secret_scan, toxicity
+from . import decontaminate, divergence, id_files, licences, near_dedup, packing, pii, quality, secret_scan, toxicity
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "n_toxic_tokens")
 
 
+def op5_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.round_trip(read(spark, sf_dir, "documents"))
+
+
 def op6_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_divergence_rules": op2_divergence_rules,
     "op3_template_decontamination": op3_template_decontamination,
     "op4_crf_toxicity": op4_crf_toxicity,
+    "op5_range_coded_ids": op5_range_coded_ids,
     "op6_crf_pii": op6_crf_pii,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_licence_paragraphs": op8_licence_paragraphs,
