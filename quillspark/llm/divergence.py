@@ -18,8 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space that parts words, symbol characters, and the character classes.
-WORD = r"[^\x20\x09-\x0D]+"
+#: Symbol characters, and the character classes.
 SYMBOLS = r"[#*$%&|<>]"
 CLASSES = ["lower", "upper", "digit", "symbol", "punct", "other"]
 #: Common short words of English, German, French and Spanish.
@@ -51,14 +50,19 @@ def measure(docs: DataFrame) -> DataFrame:
         F.col("lang").cast("string").alias("lang"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    gap = r"[\x20\x09-\x0D]+"
+    words = F.array_remove(F.split("text", gap, -1), "")
+    # Words for the histogram: lower case, without the stops that end them.
+    plain = F.split(F.regexp_replace(F.lower("text"), r"[.,;:!?]+(?=[\x20\x09-\x0D]|\z)", ""), gap, -1)
+    common = F.filter(plain, lambda w: w.isin(COMMON_WORDS))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     step = base.select(
         "doc_id",
         "lang",
         words.alias("words"),
         lines.alias("lines"),
-        _without(F.col("text"), r"[\x20\x09-\x0D]+").alias("solid"),
+        common.alias("frequent"),
+        _without(F.col("text"), gap).alias("solid"),
     )
     # Each class is what its removal takes away from what the classes before it left.
     for name, pattern in zip(CLASSES[:-1], [r"\p{Ll}+", r"\p{Lu}+", r"\p{Nd}+", SYMBOLS + "+", r"\p{P}+"], strict=True):
@@ -76,9 +80,6 @@ def measure(docs: DataFrame) -> DataFrame:
             ),
         ),
     )
-    common = F.filter(
-        F.transform("words", lambda w: F.regexp_replace(F.lower(w), r"[.,;:!?]+$", "")), lambda w: w.isin(COMMON_WORDS)
-    )
     step = step.select(
         "doc_id",
         "lang",
@@ -88,8 +89,8 @@ def measure(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.array_sort(windows).alias("windows"),
         # Blanks on either side let a plain replacement count whole words.
-        F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" ")).alias("common"),
-        F.size(common).alias("n_common"),
+        F.concat(F.lit(" "), F.array_join("frequent", "  "), F.lit(" ")).alias("common"),
+        F.size("frequent").alias("n_common"),
         F.array(*[F.col(f"n_{c}") for c in CLASSES[:-1]], F.length("left")).cast("array<long>").alias("classes"),
     )
     same = F.filter(
