@@ -1,6 +1,343 @@
-"""The registered queries and their DuckDB counterparts."""
+"""The registered queries and their DuckDB counterparts, one pair for each operator."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import strings as S
+from ..operators import clone as C
+from ..operators import paths as P
+from ..sources import storage
+from ..workers import make_importable
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    make_importable(spark)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with two columns that hold NULLs."""
+    events = _read(spark, sf_dir, "events")
+    some = F.nullif(F.col("event_type"), F.lit("click"))
+    return events.select("event_id", some.alias("a"), F.nullif(F.col("event_type"), F.lit("view")).alias("b"))
+
+
+def _joined(parts: Column) -> Column:
+    return F.array_join(parts, "|")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _read(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    return events.where(S.is_not_blank(kind)).select(
+        "event_id", P.json_get(F.col("props"), "k", "bigint").alias("k"), S.capitalize(kind).alias("kind")
+    )
+
+
+def str_is_blank(spark, sf_dir):
+    line = F.col("line")
+    return _lines(spark, sf_dir).select("doc_id", "pos", S.is_blank(line).alias("blank"), S.is_not_blank(line).alias("not_blank"))
+
+
+def str_is_empty(spark, sf_dir):
+    a = F.nullif(F.col("a"), F.lit("view"))
+    text = F.when(F.col("event_id") % 7 == 0, F.lit("")).otherwise(a)
+    return _kinds(spark, sf_dir).select("event_id", S.is_empty(text).alias("empty"), S.is_not_empty(text).alias("not_empty"))
+
+
+def str_equals_nullsafe(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return _kinds(spark, sf_dir).select("event_id", S.equals(a, b).alias("same"), S.equals(a, None).alias("missing"))
+
+
+def str_equals_ignore_case(spark, sf_dir):
+    segment = F.col("c_mktsegment")
+    customers = _read(spark, sf_dir, "customer")
+    other = F.lower(F.col("c_name"))
+    return customers.select(
+        "c_custkey", S.equals_ignore_case(segment, "building").alias("same"), S.equals_ignore_case(F.col("c_name"), other).alias("same_name")
+    )
+
+
+def str_reverse(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "pos", S.reverse(F.col("line")).alias("reversed"))
+
+
+def str_strip(spark, sf_dir):
+    padded = F.concat(F.lit("\t "), F.col("line"), F.lit(" 　\r"))
+    gone = F.when(F.col("pos") % 3 != 0, padded)
+    return _lines(spark, sf_dir).select("doc_id", "pos", S.strip(gone).alias("stripped"), S.strip(gone, False).alias("or_null"))
+
+
+def str_strip_left(spark, sf_dir):
+    digits = S.strip_left(F.col("c_name"), "Customer#")
+    return _read(spark, sf_dir, "customer").select(
+        "c_custkey", digits.alias("digits"), S.strip_left(digits, "0").alias("number"), S.strip_left(digits, "0", False).alias("once")
+    )
+
+
+def str_strip_right(spark, sf_dir):
+    key = (F.col("c_custkey") * 100).cast("string")
+    return _read(spark, sf_dir, "customer").select(
+        "c_custkey", S.strip_right(key, "0").alias("bare"), S.strip_right(key, "0", False).alias("once"), S.strip_right(key, None).alias("same")
+    )
+
+
+def _url(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").withColumn("url", F.concat("url", F.lit("//")))
+
+
+def str_split(spark, sf_dir):
+    parts = S.split(F.col("url"), "/")
+    return _url(spark, sf_dir).select("page_id", F.size(parts).alias("n"), _joined(parts).alias("parts"))
+
+
+def str_split_preserve(spark, sf_dir):
+    parts = S.split_preserve_empty(F.col("url"), "/")
+    return _url(spark, sf_dir).select("page_id", F.size(parts).alias("n"), _joined(parts).alias("parts"))
+
+
+def str_split_limit(spark, sf_dir):
+    name = F.col("p_name")
+    return _read(spark, sf_dir, "part").select(
+        "p_partkey", _joined(S.split(name, " ", 2, True)).alias("two"), _joined(S.split(name, " ", 2)).alias("no_limit")
+    )
+
+
+def str_rsplit(spark, sf_dir):
+    parts = S.rsplit(F.col("url"), "/", 2)
+    return _url(spark, sf_dir).select("page_id", F.size(parts).alias("n"), _joined(parts).alias("parts"))
+
+
+def str_rsplit_preserve(spark, sf_dir):
+    parts = S.rsplit_preserve_empty(F.col("url"), "/", 3)
+    return _url(spark, sf_dir).select("page_id", F.size(parts).alias("n"), _joined(parts).alias("parts"))
+
+
+def str_contains(spark, sf_dir):
+    text = F.col("text")
+    return _read(spark, sf_dir, "documents").select("doc_id", S.contains(text, "the").alias("has"), S.contains(text, None).alias("never"))
+
+
+def str_lower(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "pos", S.to_lower(F.col("line")).alias("lowered"))
+
+
+def str_upper(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "pos", S.to_upper(F.col("line")).alias("uppered"))
+
+
+def str_capitalize(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "pos", S.capitalize(F.col("line")).alias("capitalized"))
+
+
+def str_word_capitalize(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "pos", S.word_capitalize(F.col("line")).alias("capitalized"))
+
+
+def path_get_json(spark, sf_dir):
+    props = F.col("props")
+    return _read(spark, sf_dir, "events").select(
+        "event_id", P.json_get(props, "k", "bigint").alias("k"), P.json_get(props, "['k']", "string").alias("k_text"), P.json_get(props, "k.x?").alias("below")
+    )
+
+
+def _nested(spark, sf_dir):
+    """Orders with a nested struct, a map and an array, made within each row."""
+    orders = _read(spark, sf_dir, "orders")
+    order = F.struct(
+        F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_orderpriority").alias("level")).alias("priority")).alias("info"),
+        F.col("o_custkey").alias("customer"),
+    ).alias("o")
+    tags = F.create_map(F.lit("status"), "o_orderstatus", F.lit("prio.rity"), "o_orderpriority").alias("tags")
+    return orders.select("o_orderkey", order, tags, F.split("o_orderpriority", "-", -1).alias("words"))
+
+
+def _of(frame: DataFrame, name: str, path: str, strict: bool = False) -> Column:
+    return P.path_get(F.col(name), frame.schema[name].dataType, path, strict)
+
+
+def path_get_struct(spark, sf_dir):
+    n = _nested(spark, sf_dir)
+    return n.select("o_orderkey", _of(n, "o", "info.priority.level").alias("level"), _of(n, "o", "customer").alias("customer"))
+
+
+def path_get_map(spark, sf_dir):
+    n = _nested(spark, sf_dir)
+    return n.select("o_orderkey", _of(n, "tags", "status").alias("status"), _of(n, "tags", "['prio.rity']").alias("priority"), _of(n, "tags", "nope").alias("nope"))
+
+
+def path_get_array(spark, sf_dir):
+    n = _nested(spark, sf_dir)
+    return n.select("o_orderkey", _of(n, "words", "[0]").alias("first"), _of(n, "words", "[1]").alias("second"), _of(n, "words", "[9]").alias("past"))
+
+
+def path_get_safe(spark, sf_dir):
+    n = _nested(spark, sf_dir)
+    miss = _of(n, "o", "info.nope?", strict=True).cast("string")
+    return n.select("o_orderkey", miss.alias("miss"), _of(n, "o", "info.status?", strict=True).alias("status"))
+
+
+def path_get_missing(spark, sf_dir):
+    n = _nested(spark, sf_dir)
+    return n.select("o_orderkey", _of(n, "o", "Info.status").cast("string").alias("other_case"), _of(n, "o", "info.nope.deep").cast("string").alias("deep"))
+
+
+def path_set_json(spark, sf_dir):
+    new = P.json_set(F.col("props"), "t.v", F.col("event_id"), T.LongType())
+    again = P.json_get(new, "t.v", "bigint")
+    return _read(spark, sf_dir, "events").select("event_id", again.alias("v"), P.json_get(new, "k", "bigint").alias("k"))
+
+
+def path_set_struct(spark, sf_dir):
+    n = _nested(spark, sf_dir)
+    kind = n.schema["o"].dataType
+    new = P.path_set(F.col("o"), kind, "info.priority.level", F.lit("none"), T.StringType())
+    same = P.path_set(F.col("o"), kind, "info.nope", F.lit("x"), T.StringType())
+    get = lambda c, p: P.path_get(c, kind, p)
+    return n.select("o_orderkey", get(new, "info.priority.level").alias("level"), get(new, "info.status").alias("status"), get(same, "info.priority.level").alias("same"))
+
+
+def path_set_map(spark, sf_dir):
+    n = _nested(spark, sf_dir)
+    kind = n.schema["tags"].dataType
+    new = P.path_set(F.col("tags"), kind, "status", F.lit("?"), T.StringType())
+    more = P.path_set(new, kind, "added", F.col("o_orderkey").cast("string"), T.StringType())
+    get = lambda p: P.path_get(more, kind, p)
+    return n.select("o_orderkey", F.size(more).alias("n"), get("status").alias("status"), get("added").alias("added"))
+
+
+def path_set_array_pad(spark, sf_dir):
+    n = _nested(spark, sf_dir)
+    new = P.path_set(F.col("words"), n.schema["words"].dataType, "[4]", F.lit("end"), T.StringType())
+    return n.select("o_orderkey", F.size(new).alias("n"), F.array_join(new, "|", "~").alias("words"))
+
+
+def clone_ignore_field(spark, sf_dir):
+    customers = _read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    fields = [C.marked(f) if f.name == "c_acctbal" else f for f in customers.schema.fields]
+    tagged = customers.select(*[F.col(f.name).alias(f.name, metadata=f.metadata) for f in fields])
+    return C.deep_clone(tagged)
+
+
+def clone_nested(spark, sf_dir):
+    n = _nested(spark, sf_dir)
+    cloner = C.ClonerBuilder().ignore_type(n.schema["o"].dataType["info"].dataType["priority"].dataType).build()
+    copy = cloner.clone(n)
+    return copy.select(
+        "o_orderkey", F.col("o.info.status").alias("status"), F.col("o.info.priority.level").alias("level"), F.size("tags").alias("n_tags"), _joined(F.col("words")).alias("words")
+    )
+
+
+class Masked:
+    """Every text is copied as its length."""
+
+    def supports(self, kind: T.DataType) -> bool:
+        return isinstance(kind, T.StringType)
+
+    def copy(self, column: Column, kind: T.DataType, cloner: C.Cloner) -> Column:
+        return F.length(column).cast("string")
+
+
+def clone_custom(spark, sf_dir):
+    n = _nested(spark, sf_dir)
+    copy = C.deep_clone(n, strategies=[Masked()])
+    return copy.select("o_orderkey", F.col("o.info.priority.level").alias("level"), _joined(F.col("words")).alias("words"), F.try_element_at("tags", F.lit("6")).alias("tag"))
+
+
+def storage_metadata(spark, sf_dir):
+    return storage.metadata_table(spark, sf_dir)
+
+
+def storage_url(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    return pages.select("page_id", storage.url_column("http://files.test/x// ", F.concat(F.lit("p/"), "page_id")).alias("url"))
+
+
+QUERIES = {
+    "flagship": flagship,
+    **{
+        f.__name__: f
+        for f in (
+            str_is_blank, str_is_empty, str_equals_nullsafe, str_equals_ignore_case, str_reverse, str_strip, str_strip_left,
+            str_strip_right, str_split, str_split_preserve, str_split_limit, str_rsplit, str_rsplit_preserve, str_contains,
+            str_lower, str_upper, str_capitalize, str_word_capitalize, path_get_json, path_get_struct, path_get_map,
+            path_get_array, path_get_safe, path_get_missing, path_set_json, path_set_struct, path_set_map, path_set_array_pad,
+            clone_ignore_field, clone_nested, clone_custom, storage_metadata, storage_url,
+        )
+    },
+}
+
+_LINES = (
+    "(SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS line "
+    "FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+)
+_WS = r"[\x09-\x0D\x1C-\x20\x{1680}\x{2000}-\x{2006}\x{2008}-\x{200A}\x{2028}\x{2029}\x{205F}\x{3000}]"
+_KINDS = "(SELECT event_id, nullif(event_type, 'click') AS a, nullif(event_type, 'view') AS b FROM events)"
+_URLS = "(SELECT page_id, string_split(url || '//', '/') AS p FROM pages)"
+_TRIMMED = "CASE WHEN len(p) = 1 THEN p ELSE p[1:coalesce(list_max(list_transform(p, lambda x, i: CASE WHEN x <> '' THEN i END)), 0)] END"
+_NESTED = "(SELECT o_orderkey, o_custkey, o_orderstatus AS s, o_orderpriority AS r, string_split(o_orderpriority, '-') AS w FROM orders)"
+
+
+def _cap(text: str) -> str:
+    return f"upper(replace(left({text}, 1), 'ß', 'SS')) || lower(substr({text}, 2))"
+
+
+ORACLES = {
+    "flagship": f"""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, {_cap('event_type')} AS kind
+        FROM events WHERE regexp_matches(event_type, '[^ ]')""",
+    "str_is_blank": f"""SELECT doc_id, pos, regexp_full_match(line, '{_WS}*') AS blank,
+        NOT regexp_full_match(line, '{_WS}*') AS not_blank FROM {_LINES}""",
+    "str_is_empty": f"""SELECT event_id, coalesce(t = '', false) AS empty, NOT coalesce(t = '', false) AS not_empty
+        FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '' ELSE nullif(a, 'view') END AS t FROM {_KINDS})""",
+    "str_equals_nullsafe": f"SELECT event_id, a IS NOT DISTINCT FROM b AS same, a IS NULL AS missing FROM {_KINDS}",
+    "str_equals_ignore_case": "SELECT c_custkey, lower(c_mktsegment) = 'building' AS same, true AS same_name FROM customer",
+    "str_reverse": f"SELECT doc_id, pos, array_to_string(list_reverse(regexp_extract_all(line, '(?s).')), '') AS reversed FROM {_LINES}",
+    "str_strip": f"""SELECT doc_id, pos, coalesce(t, '') AS stripped, t AS or_null FROM (SELECT doc_id, pos, CASE WHEN pos % 3 <> 0
+        THEN regexp_replace(line, '\\A{_WS}+|{_WS}+\\z', '', 'g') END AS t FROM {_LINES})""",
+    "str_strip_left": """SELECT c_custkey, d AS digits, ltrim(d, '0') AS number,
+        CASE WHEN starts_with(d, '0') THEN substr(d, 2) ELSE d END AS once FROM (SELECT c_custkey, replace(c_name, 'Customer#', '') AS d FROM customer)""",
+    "str_strip_right": """SELECT c_custkey, rtrim(k, '0') AS bare, left(k, length(k) - 1) AS once, k AS same
+        FROM (SELECT c_custkey, CAST(c_custkey * 100 AS VARCHAR) AS k FROM customer)""",
+    "str_split": f"SELECT page_id, CAST(len(q) AS INTEGER) AS n, array_to_string(q, '|') AS parts FROM (SELECT page_id, {_TRIMMED} AS q FROM {_URLS})",
+    "str_split_preserve": f"SELECT page_id, CAST(len(p) AS INTEGER) AS n, array_to_string(p, '|') AS parts FROM {_URLS}",
+    "str_split_limit": """SELECT p_partkey, CASE WHEN len(w) <= 2 THEN array_to_string(w, '|')
+        ELSE w[1] || '|' || array_to_string(w[2:], ' ') END AS two, array_to_string(w, '|') AS no_limit
+        FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)""",
+    "str_rsplit": f"""SELECT page_id, CAST(least(len(q), 2) AS INTEGER) AS n, CASE WHEN len(q) <= 2 THEN array_to_string(q, '|')
+        ELSE array_to_string(q[:-2], '/') || '|' || q[-1] END AS parts FROM (SELECT page_id, {_TRIMMED} AS q FROM {_URLS})""",
+    "str_rsplit_preserve": f"""SELECT page_id, CAST(least(len(p), 3) AS INTEGER) AS n, CASE WHEN len(p) <= 3 THEN array_to_string(p, '|')
+        ELSE array_to_string(p[:-3], '/') || '|' || p[-2] || '|' || p[-1] END AS parts FROM {_URLS}""",
+    "str_contains": f"""SELECT doc_id, contains(text, 'the') AND NOT regexp_full_match(text, '{_WS}*') AS has, false AS never FROM documents""",
+    "str_lower": f"SELECT doc_id, pos, lower(line) AS lowered FROM {_LINES}",
+    "str_upper": f"SELECT doc_id, pos, upper(replace(line, 'ß', 'SS')) AS uppered FROM {_LINES}",
+    "str_capitalize": f"SELECT doc_id, pos, {_cap('line')} AS capitalized FROM {_LINES}",
+    "str_word_capitalize": f"""SELECT doc_id, pos, array_to_string(list_transform(string_split(line, ' '), lambda x: {_cap('x')}), ' ')
+        AS capitalized FROM {_LINES}""",
+    "path_get_json": """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS k_text,
+        CAST(NULL AS VARCHAR) AS below FROM events""",
+    "path_get_struct": f"SELECT o_orderkey, r AS level, o_custkey AS customer FROM {_NESTED}",
+    "path_get_map": f"SELECT o_orderkey, s AS status, r AS priority, CAST(NULL AS VARCHAR) AS nope FROM {_NESTED}",
+    "path_get_array": f"SELECT o_orderkey, w[1] AS first, w[2] AS second, w[10] AS past FROM {_NESTED}",
+    "path_get_safe": f"SELECT o_orderkey, CAST(NULL AS VARCHAR) AS miss, s AS status FROM {_NESTED}",
+    "path_get_missing": f"SELECT o_orderkey, CAST(NULL AS VARCHAR) AS other_case, CAST(NULL AS VARCHAR) AS deep FROM {_NESTED}",
+    "path_set_json": "SELECT event_id, event_id AS v, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+    "path_set_struct": f"SELECT o_orderkey, 'none' AS level, s AS status, r AS same FROM {_NESTED}",
+    "path_set_map": f"SELECT o_orderkey, CAST(3 AS INTEGER) AS n, '?' AS status, CAST(o_orderkey AS VARCHAR) AS added FROM {_NESTED}",
+    "path_set_array_pad": f"""SELECT o_orderkey, CAST(5 AS INTEGER) AS n, array_to_string(list_concat(
+        w, list_transform(range(4 - len(w)), lambda x: '~'), ['end']), '|') AS words FROM {_NESTED}""",
+    "clone_ignore_field": "SELECT c_custkey, c_name, CAST(NULL AS DOUBLE) AS c_acctbal, c_mktsegment FROM customer",
+    "clone_nested": f"""SELECT o_orderkey, s AS status, CAST(NULL AS VARCHAR) AS level, CAST(2 AS INTEGER) AS n_tags,
+        array_to_string(w, '|') AS words FROM {_NESTED}""",
+    "clone_custom": f"""SELECT o_orderkey, CAST(length(r) AS VARCHAR) AS level,
+        array_to_string(list_transform(w, lambda x: CAST(length(x) AS VARCHAR)), '|') AS words, CAST(length(s) AS VARCHAR) AS tag FROM {_NESTED}""",
+    "storage_url": "SELECT page_id, 'http://files.test/x///p/' || page_id AS url FROM pages",
+}
