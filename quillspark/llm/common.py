@@ -74,3 +74,14 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) ->
             yield part, part.column(part.schema.get_field_index("text")).to_pylist()
 
 
+
+
+#: Ids up to which a list of them is broadcast (16 MB); a longer one is shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is not in ``ids(doc_id)``; rows with a null id stay."""
+    gone = checkpoint(ids.select(F.col("doc_id").alias("__gone")).distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["__gone"], "left_anti")

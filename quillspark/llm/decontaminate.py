@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, without_ids
 
 WINDOW = 8
 #: Words of a window that must not be placeholders.
@@ -124,3 +124,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
         F.max("item_windows").alias("item_windows"),
         F.min_by("n_changed", F.struct(-F.col("n_windows"), F.col("n_changed"))).alias("n_changed"),
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that hold no benchmark item, all their columns as they are."""
+    return without_ids(docs, contaminated(docs, benchmark))

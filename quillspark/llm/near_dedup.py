@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import bands, signatures
-from .common import checkpoint, id_and_text, text_slices
+from .common import BROADCAST_IDS, checkpoint, id_and_text, text_slices, without_ids
 from .components import components
 from .shingles import WIDTH, mix, multiset, occurrences
 
@@ -44,8 +44,6 @@ PAIRS_PER_PART = 2000
 CELLS = 256
 #: Sets over this size skip the fingerprint test, whose cells hold small numbers.
 MAX_CELLED = 1_000_000
-#: Ids of candidate documents up to which they are broadcast (16 MB); beyond it they are shuffled.
-BROADCAST_IDS = 2_000_000
 
 
 def sketch(docs: DataFrame, width: int = WIDTH, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -201,3 +199,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     named = labels.select(F.col("node").alias("rep"), "comp")
     found = member_of.join(named, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
     return found.union(sketches.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents without all but the least id of each class; rows with a null id stay.
+
+    Where ids repeat, one row of each id stays.
+    """
+    classes = checkpoint(near_duplicates(docs, threshold))
+    rest = without_ids(docs, classes.where("doc_id <> class_id"))
+    if not _repeats(classes):
+        return rest
+    named = rest.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(rest.where("doc_id is null"))

@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -211,3 +212,28 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_P
         "n_passages",
         "top_passage",
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, max_per_label: int = MAX_PER_LABEL) -> DataFrame:
+    """The documents, all their columns as they are, that score at least ``keep_at``.
+
+    The model comes from the labelled documents that are in ``docs``.
+    """
+    model = trained(docs, labels, max_per_label)
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series) -> pd.Series:
+        texts = [t or "" for t in text.tolist()]
+        if not isinstance(model, Attention):
+            return pd.Series([model >= keep_at] * len(texts))
+        out: list[np.ndarray] = []
+        start = held = 0
+        for i, t in enumerate([*texts, None]):
+            if t is None or (held and held + len(t) > SLICE):
+                if i > start:
+                    out.append(model.forward(*passages(texts[start:i]), i - start)["s"] >= keep_at)
+                start, held = i, 0
+            held += len(t or "")
+        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+
+    return docs.where(good(F.col("text").cast("string")))
