@@ -84,7 +84,7 @@ def strip_right(c: Column, suffix: ColumnOrText, repeat: bool = True) -> Column:
 
 
 def _strip(c: Column, piece: ColumnOrText, shape: str) -> Column:
-    if piece is None or piece == "":
+    if piece is None or (isinstance(piece, str) and not piece):
         return c
     before, after = shape.split("{}")
     if isinstance(piece, str):

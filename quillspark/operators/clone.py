@@ -73,7 +73,7 @@ class Structs:
         return isinstance(kind, T.StructType)
 
     def copy(self, column: Column, kind: T.StructType, cloner: Cloner) -> Column:
-        fields = [cloner.field(column.getField(f.name), f).alias(f.name) for f in kind.fields]
+        fields = [cloner.field(column.getField(f.name), f).alias(f.name, metadata=f.metadata) for f in kind.fields]
         return F.when(column.isNotNull(), F.struct(*fields))
 
 
