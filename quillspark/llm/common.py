@@ -52,6 +52,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a small table that share a partition.
+ROWS_PER_PART = 100_000
+
+
+def settled(df: DataFrame, rows: int = ROWS_PER_PART) -> DataFrame:
+    """A checkpoint in as few partitions as its rows need, so that small tables don't shuffle as large ones do."""
+    done = checkpoint(df)
+    return done.coalesce(max(1, -(-done.count() // rows)))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables that are written and read again."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import settled
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Self-loops and repeated edges are harmless; an empty table gives no rows.
     """
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = settled(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        now = checkpoint(_star(_star(now, large=True), large=False))
+        now = settled(_star(_star(now, large=True), large=False))
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import bands, signatures
-from .common import BROADCAST_IDS, checkpoint, id_and_text, text_slices, without_ids
+from .common import BROADCAST_IDS, checkpoint, id_and_text, settled, text_slices, without_ids
 from .components import components
 from .shingles import WIDTH, mix, multiset, occurrences
 
@@ -42,6 +42,10 @@ FIRST_LEADERS = 4
 PAIRS_PER_PART = 2000
 #: Cells of a fingerprint: how many elements of a set fall into each.
 CELLS = 256
+#: Pairs, and sets, that share a partition.
+PAIRS_PER_TASK, SETS_PER_TASK = 25_000, 20_000
+#: Buckets with several members up to which their table is broadcast (about 40 MB).
+BROADCAST_BUCKETS = 500_000
 #: Sets over this size skip the fingerprint test, whose cells hold small numbers.
 MAX_CELLED = 1_000_000
 
@@ -93,24 +97,33 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     Sizes prune first, then fingerprints: two sets share at most the smaller count of each
     cell, so a pair that this bound rejects cannot reach the threshold. Only then sets move.
     """
-    fits = pairs.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).distinct()
-    prints = sets.select(F.col("doc").alias("a"), F.col("cells").alias("ca"))
-    other = sets.select(F.col("doc").alias("b"), F.col("cells").alias("cb"))
+    fits = settled(pairs.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).distinct(), PAIRS_PER_TASK)
+    used = _only(sets, fits)
+    prints = used.select(F.col("doc").alias("a"), F.col("cells").alias("ca"))
+    other = used.select(F.col("doc").alias("b"), F.col("cells").alias("cb"))
     most = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
     reach = (F.col("na") > MAX_CELLED) | (most >= threshold * (F.col("na") + F.col("nb") - most))
-    fits = checkpoint(fits.join(prints, "a").join(other, "b").where(reach).select("a", "b"))
+    fits = settled(fits.join(prints, "a").join(other, "b").where(reach).select("a", "b"), PAIRS_PER_TASK)
+    used = _only(sets, fits)
     parts = fits.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_PART).alias("parts"))
     dealt = fits.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
     spread = (
-        sets.join(parts, sets["doc"] == parts["a"])
+        used.join(parts, used["doc"] == parts["a"])
         .select("a", F.col("e").alias("ea"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         .withColumn("part", F.col("part").cast("long"))
     )
-    right = sets.select(F.col("doc").alias("b"), F.col("e").alias("eb"))
+    right = used.select(F.col("doc").alias("b"), F.col("e").alias("eb"))
     both = dealt.join(spread, ["a", "part"]).join(right, "b")
     shared = F.size(F.array_intersect("ea", "eb"))
     alike = shared >= threshold * (F.size("ea") + F.size("eb") - shared)
-    return both.where(alike).select("a", "b")
+    return settled(both.where(alike).select("a", "b"))
+
+
+def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of documents that are in ``pairs``; the others never move."""
+    ids = settled(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
+    few = ids.count() <= BROADCAST_IDS
+    return sets.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
 
 
 def _repeats(sketches: DataFrame) -> bool:
@@ -157,43 +170,47 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     member_of = member_of.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
 
     single = sketches.where("n > 0").join(groups.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
-    banded = single.select(F.col("doc_id").alias("doc"), "n", F.explode("bands").alias("bucket")).distinct()
+    repeats = _repeats(sketches)
+    single = single.dropDuplicates(["doc_id"]) if repeats else single
+    banded = single.select(F.col("doc_id").alias("doc"), "n", F.explode("bands").alias("bucket"))
     full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("leader")).where("size > 1")
-    members = checkpoint(banded.join(full, "bucket"))
-    wanted = checkpoint(members.select(F.col("doc").alias("doc_id")).distinct())
+    full = settled(full)
+    few = full.count() <= BROADCAST_BUCKETS
+    members = settled(banded.join(F.broadcast(full) if few else full, "bucket"))
+    wanted = settled(members.select(F.col("doc").alias("doc_id")).distinct())
     few = wanted.count() <= BROADCAST_IDS
     # A row that repeats an id holds the same text; one of them is enough.
     kept = elements(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), width)
-    sets = checkpoint(kept.dropDuplicates(["doc"]) if _repeats(sketches) else kept)
+    sets = settled(kept.dropDuplicates(["doc"]) if repeats else kept, SETS_PER_TASK)
 
     sized = members.select(F.col("doc").alias("leader"), F.col("n").alias("na")).distinct()
     star = members.where("doc <> leader").select("leader", F.col("doc").alias("b"), F.col("n").alias("nb")).distinct()
     star = star.join(sized, "leader").select(F.col("leader").alias("a"), "na", "b", "nb")
-    edges = checkpoint(verified(star, sets, threshold))
+    edges = verified(star, sets, threshold)
     labels = components(edges)
 
-    open_ = checkpoint(_labelled(members, labels))
+    open_ = settled(_labelled(members, labels))
     pairs = _crossing(open_.where(F.col("size") <= SMALL_BUCKET))
-    large = open_.where(F.col("size") > SMALL_BUCKET)
+    large = settled(open_.where(F.col("size") > SMALL_BUCKET))
     done = large.select("bucket", F.col("leader").alias("doc")).distinct()
     leaders = FIRST_LEADERS
     while True:
-        chosen = checkpoint(_lead(large, done, leaders))
+        chosen = settled(_lead(large, done, leaders))
         finished = chosen.isEmpty()
         if not finished:
             others = large.select("bucket", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
             led = others.join(chosen, "bucket").where("ca <> cb").select("a", "na", "b", "nb")
             pairs = led if pairs is None else pairs.union(led)
         if pairs is not None:
-            new = checkpoint(verified(pairs, sets, threshold))
+            new = verified(pairs, sets, threshold)
             if not new.isEmpty():
-                edges = edges.union(new)
+                edges = settled(edges.union(new))
                 labels = components(edges)
         if finished:
             break
         pairs = None
-        done = checkpoint(done.union(chosen.select("bucket", F.col("a").alias("doc"))))
-        large = checkpoint(_labelled(large.drop("comp"), labels))
+        done = settled(done.union(chosen.select("bucket", F.col("a").alias("doc"))))
+        large = settled(_labelled(large.drop("comp"), labels))
         leaders *= 2
 
     named = labels.select(F.col("node").alias("rep"), "comp")
