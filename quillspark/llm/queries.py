@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, divergence, id_files, licences, near_dedup, packing, pii, quality, secret_scan, toxicity
 from .common import read
+from .oracles import ORACLES as ORACLES
 
 
 def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,3 @@ QUERIES = {
     "op9_forest_secrets": op9_forest_secrets,
     "op10_attention_quality": op10_attention_quality,
 }
-ORACLES: dict[str, str] = {}

@@ -1,0 +1,112 @@
+from __future__ import annotations
+
+import random
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+
+from quillspark.llm import near_dedup
+from quillspark.llm.bagminhash import signatures
+from quillspark.llm.components import components
+from quillspark.llm.shingles import occurrences
+
+
+def bag(text):
+    words = (text or "").lower().split()
+    return Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def classes(rows, threshold=0.8):
+    bags = [bag(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in combinations(range(len(rows)), 2):
+        shared = sum((bags[i] & bags[j]).values())
+        if shared and shared >= threshold * (sum(bags[i].values()) + sum(bags[j].values()) - shared):
+            parent[find(i)] = find(j)
+    out = {}
+    for i, (doc, _) in enumerate(rows):
+        out[doc] = min(d for k, (d, _) in enumerate(rows) if find(k) == find(i))
+    return out
+
+
+def documents(seed):
+    """Singles, exact copies, chains of small edits and a large group around one text."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = [" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(30)]
+    texts += [texts[0], texts[1].upper(), "", "  ", "one", "one"]
+    now = [word() for _ in range(80)]
+    for _ in range(25):  # each differs a little from the one before
+        now = list(now)
+        now[rng.randrange(80)] = word()
+        texts.append(" ".join(now))
+    centre = [word() for _ in range(120)]
+    for _ in range(70):  # all near one text, many not near each other
+        near = list(centre)
+        for _ in range(rng.randint(1, 4)):
+            near[rng.randrange(120)] = word()
+        texts.append(" ".join(near))
+    texts.append("a a a a a a a a a a b")
+    texts.append("a a a a a a a a a a a b")
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    return list(zip(ids, texts, strict=True))
+
+
+@pytest.mark.parametrize("bucket", [32, 4])
+def test_classes_equal_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", bucket)
+    rows = documents(bucket)
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, rep string, n int")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == classes(rows)
+
+
+def test_edges_of_input(spark):
+    rows = [(1, None), (2, ""), (None, "a b c"), (3, "a b c"), (3, "a b c"), (4, "A  b\nc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (3, 3), (4, 3)]
+    kept = sorted((r.doc_id or -1, r.text) for r in near_dedup.keep_one(docs).collect() if r.text)
+    assert kept == [(-1, "a b c"), (3, "a b c")]
+    assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_signatures_are_unbiased():
+    rng = np.random.default_rng(1)
+    names = rng.integers(0, 2**63, 60).astype(np.uint64)
+    a, b = rng.integers(0, 6, 60), rng.integers(0, 6, 60)
+    true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    sig = signatures([(names[a > 0], a[a > 0]), (names[b > 0], b[b > 0])], 4000)
+    assert abs((sig[0] == sig[1]).mean() - true) < 0.03
+
+
+def test_occurrences_keep_overlaps():
+    x, y = np.array([1, 2], np.uint64), np.array([2, 3], np.uint64)
+    a, b = occurrences(x, np.array([2, 3])), occurrences(y, np.array([5, 1]))
+    assert (len(a), len(b), len(set(a.tolist()) & set(b.tolist()))) == (5, 6, 3)
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 130)]
+    parent = {n: n for e in edges for n in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
