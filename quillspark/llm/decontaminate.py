@@ -7,6 +7,10 @@ values that stand in the placeholders must map one to one between the two (an it
 may have become "15", but then everywhere), which catches re-parameterised questions and
 leaves chance template matches alone.
 
+Documents are searched twice. Seeds are short windows: every one of an item, but only each
+fourth of a document, so that any full window that they share has a seed within it. Only
+documents with a seed are then cut into all their windows.
+
 Only DataFrame functions run here. The benchmark side is broadcast only if its windows have
 been counted and are few; otherwise the join shuffles.
 
@@ -20,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, without_ids
+from .common import BROADCAST_IDS, checkpoint, id_and_text, settled, without_ids
 
 WINDOW = 8
 #: Words of a window that must not be placeholders.
 MIN_LITERAL = 5
+#: Words of a seed and distance of a document's seeds; together one less than a window at most.
+SEED, SEED_STEP = 5, 4
 #: Matched windows along one diagonal that make an alignment (an item's all, if it has fewer).
 MIN_WINDOWS = 3
 #: Windows of the benchmark up to which it is broadcast (about 20 MB).
@@ -40,29 +46,54 @@ NAME, NUMBER, UNIT = "§a", "§0", "§u"
 
 def template(text: Column) -> Column:
     """The text with typed placeholders, lower case, one canonical word for each of its words."""
-    out = F.regexp_replace(text, r"§", "")
-    out = F.regexp_replace(out, r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}\p{M}'’-]*", NAME)
+    out = F.replace(text, F.lit("§"), F.lit(""))
+    # The capital comes first, so that the look behind it is rare.
+    out = F.regexp_replace(out, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})[\p{L}\p{M}'’-]*", NAME)
     number = r"(?<![\p{L}\p{N}§])[$€£+-]?\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-    out = F.regexp_replace(out, number + rf"(?:%|{UNITS})?(?![\p{{L}}\p{{N}}])", NUMBER)
-    out = F.regexp_replace(out, rf"(?<={NUMBER} )(?i:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
+    numbers = F.regexp_replace(out, number + rf"(?:%|{UNITS})?(?![\p{{L}}\p{{N}}])", NUMBER)
+    units = F.regexp_replace(numbers, rf"(?<={NUMBER} )(?i:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
+    out = F.when(text.rlike(r"\p{Nd}"), units).otherwise(out)
     return F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}§\x20\x09-\x0D]+", "")
 
 
+GAP = r"[\x20\x09-\x0D]+"
+
+
+def _window(words: str, i: Column, size: int) -> Column:
+    return F.array_join(F.slice(words, i + 1, F.lit(size)), " ")
+
+
+def _held(joined: Column) -> Column:
+    """Placeholders of a window."""
+    return F.length(joined) - F.length(F.replace(joined, F.lit("§"), F.lit("")))
+
+
+def seeds(docs: DataFrame, key: str, size: int, seed: int, step: int, max_held: int | None = None) -> DataFrame:
+    """key and h of short windows, from each ``step``-th word, of texts of at least ``size`` words.
+
+    With ``max_held`` only those with no more placeholders; one side of a join is enough.
+    """
+    words = docs.select(key, F.array_remove(F.split(template(F.col("text")), GAP, -1), "").alias("canon"))
+    starts = F.sequence(F.lit(0), F.size("canon") - seed, F.lit(step))
+
+    def one(i: Column) -> Column:
+        joined = _window("canon", i, seed)
+        return F.xxhash64(joined) if max_held is None else F.when(_held(joined) <= max_held, F.xxhash64(joined))
+
+    found = words.where(F.size("canon") >= size).select(key, F.explode(F.transform(starts, one)).alias("h"))
+    return found if max_held is None else found.where("h is not null")
+
+
 def windows(docs: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
-    """key, pos, h and slots (the values behind the window's placeholders), a row for each window."""
-    gap = r"[\x20\x09-\x0D]+"
-    pairs = docs.select(
-        key, F.split(template(F.col("text")), gap, -1).alias("canon"), F.split(F.col("text"), gap, -1).alias("raw")
-    )
+    """key, pos, h, held (number of placeholders) and slots (the values behind them), for each window."""
+    pairs = docs.select(key, F.split(template(F.col("text")), GAP, -1).alias("canon"), F.split(F.col("text"), GAP, -1).alias("raw"))
     full = F.filter(F.arrays_zip("canon", "raw"), lambda x: x["canon"] != "")
     words = pairs.select(key, full.alias("words"))
-    words = words.select(key, F.col("words.canon").alias("canon"), F.col("words.raw").alias("raw")).where(
-        F.size("canon") >= size
-    )
+    words = words.select(key, F.col("words.canon").alias("canon"), F.col("words.raw").alias("raw"))
 
     def window(i: Column) -> Column:
-        joined = F.array_join(F.slice("canon", i + 1, F.lit(size)), " ")
-        held = F.length(joined) - F.length(F.replace(joined, F.lit("§"), F.lit("")))
+        joined = _window("canon", i, size)
+        held = _held(joined)
         slots = F.when(
             held > 0,
             F.filter(
@@ -74,20 +105,26 @@ def windows(docs: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
                 lambda v: v.isNotNull(),
             ),
         )
-        return F.struct(i.alias("pos"), F.when(held <= size - MIN_LITERAL, F.xxhash64(joined)).alias("h"), slots.alias("slots"))
+        return F.struct(i.alias("pos"), F.xxhash64(joined).alias("h"), held.alias("held"), slots.alias("slots"))
 
     listed = F.transform(F.sequence(F.lit(0), F.size("canon") - size), window)
-    return words.select(key, F.explode(listed).alias("w")).select(key, "w.*").where("h is not null")
+    return words.where(F.size("canon") >= size).select(key, F.explode(listed).alias("w")).select(key, "w.*")
 
 
 def alignments(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, item_id, diagonal, n_windows, item_windows, n_slots, n_changed, consistent."""
     texts = id_and_text(docs).where("doc_id is not null")
     items = id_and_text(benchmark, "item_id").where("doc_id is not null").withColumnRenamed("doc_id", "item_id").distinct()
-    sought = windows(items, "item_id", size).withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"})
+    every = windows(items, "item_id", size)
+    sought = every.where(F.col("held") <= size - MIN_LITERAL).drop("held")
+    sought = checkpoint(sought.withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}))
     total = sought.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
-    few = sought.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    hashed = windows(texts, "doc_id", size)
+    few = sought.count() <= BROADCAST_WINDOWS
+    short = seeds(items, "item_id", size, SEED, 1, size - MIN_LITERAL).select("h").distinct()
+    seeded = seeds(texts, "doc_id", size, SEED, SEED_STEP).join(F.broadcast(short) if few else short, "h", "left_semi")
+    seeded = settled(seeded.select("doc_id").distinct())
+    listed = seeded.count() <= BROADCAST_IDS
+    hashed = windows(texts.join(F.broadcast(seeded) if listed else seeded, "doc_id", "left_semi"), "doc_id", size).drop("held")
     hit = hashed.join(F.broadcast(sought) if few else sought, "h")
     zipped = F.coalesce(
         F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("i"), b.alias("d"))),
