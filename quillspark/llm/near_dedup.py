@@ -7,7 +7,8 @@ shingles is at least ``threshold``; classes are the connected components of the
    equal multisets (copies) are one class from the start and only their least id goes on.
 2. Members of a band bucket are verified against the bucket's least id: n comparisons.
 3. A bucket whose members are still in several components is finished exactly: small ones
-   by all pairs across components, large ones in rounds. A round compares some members, the
+   by all pairs across components, large ones in rounds. Members with too many elements that
+   no other candidate has cannot reach the threshold with anyone and leave first. A round compares some members, the
    leaders, with everything outside their component, half of the leaders from the largest
    component; the bucket is done once every member outside it has been a leader. So no link
    that a bucket can show is lost, and a group of near copies costs a few rounds, not n².
@@ -147,6 +148,24 @@ def _crossing(open_: DataFrame) -> DataFrame:
     return left.join(right, "bucket").where("a < b and ca <> cb").select("a", "na", "b", "nb")
 
 
+def _linkable(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Members of large buckets that could link to some member, with r, their number of shared elements.
+
+    Elements that no other document of these buckets has are in no overlap. A document of n
+    elements overlaps any partner in r at most, and partners have at least the bucket's
+    least size, which bounds the similarity from above.
+    """
+    ids = settled(large.select("doc").distinct())
+    few = ids.count() <= BROADCAST_IDS
+    held = sets.join(F.broadcast(ids) if few else ids, "doc", "left_semi").select("doc", F.explode("e").alias("x"))
+    often = held.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("x")
+    shared = settled(held.join(often, "x", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("r")))
+    least = large.groupBy("bucket").agg(F.min("n").alias("least"))
+    bounded = large.join(shared, "doc").join(least, "bucket")
+    reach = F.col("r") >= threshold * (F.col("n") + F.greatest("least", "r") - F.col("r"))
+    return bounded.where(reach).drop("least")
+
+
 def _lead(open_: DataFrame, done: DataFrame, leaders: int) -> DataFrame:
     """The next leaders of each large bucket, from its largest component and from the rest."""
     held = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("held"))
@@ -154,8 +173,9 @@ def _lead(open_: DataFrame, done: DataFrame, leaders: int) -> DataFrame:
     fresh = open_.join(done, ["bucket", "doc"], "left_anti").join(largest, "bucket")
     fresh = fresh.withColumn("inside", F.col("comp") == F.col("largest"))
     slot = F.pmod(F.xxhash64("doc", F.lit(leaders)), F.lit(leaders)).alias("slot")
-    chosen = fresh.groupBy("bucket", "inside", slot).agg(F.min(F.struct("doc", "n", "comp")).alias("x"))
-    chosen = chosen.select("bucket", "inside", F.col("x.doc").alias("a"), F.col("x.n").alias("na"), F.col("x.comp").alias("ca"))
+    chosen = fresh.groupBy("bucket", "inside", slot).agg(F.min(F.struct("doc", "n", "r", "comp")).alias("x"))
+    x = F.col("x")
+    chosen = chosen.select("bucket", "inside", x["doc"].alias("a"), x["n"].alias("na"), x["r"].alias("ra"), x["comp"].alias("ca"))
     waiting = chosen.where("not inside").select("bucket").distinct()
     return chosen.join(waiting, "bucket", "left_semi").drop("inside")
 
@@ -192,14 +212,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     open_ = settled(_labelled(members, labels))
     pairs = _crossing(open_.where(F.col("size") <= SMALL_BUCKET))
     large = settled(open_.where(F.col("size") > SMALL_BUCKET))
+    large = settled(_labelled(_linkable(large, sets, threshold).drop("comp"), labels))
     done = large.select("bucket", F.col("leader").alias("doc")).distinct()
     leaders = FIRST_LEADERS
     while True:
         chosen = settled(_lead(large, done, leaders))
         finished = chosen.isEmpty()
         if not finished:
-            others = large.select("bucket", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            led = others.join(chosen, "bucket").where("ca <> cb").select("a", "na", "b", "nb")
+            others = large.select("bucket", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("comp").alias("cb"))
+            both = F.least("ra", "rb")
+            near = (F.col("ca") != F.col("cb")) & (both >= threshold * (F.col("na") + F.col("nb") - both))
+            led = others.join(chosen, "bucket").where(near).select("a", "na", "b", "nb")
             pairs = led if pairs is None else pairs.union(led)
         if pairs is not None:
             new = verified(pairs, sets, threshold)
