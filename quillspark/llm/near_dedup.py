@@ -7,11 +7,11 @@ shingles is at least ``threshold``; classes are the connected components of the
    equal multisets (copies) are one class from the start and only their least id goes on.
 2. Members of a band bucket are verified against the bucket's least id: n comparisons.
 3. A bucket whose members are still in several components is finished exactly: small ones
-   by all pairs across components, large ones in rounds. Members with too many elements that
-   no other candidate has cannot reach the threshold with anyone and leave first. A round compares some members, the
+   by all pairs across components, large ones in rounds. A round compares some members, the
    leaders, with everything outside their component, half of the leaders from the largest
-   component; the bucket is done once every member outside it has been a leader. So no link
-   that a bucket can show is lost, and a group of near copies costs a few rounds, not n².
+   component; the bucket is done once every member outside it has been a leader. After the
+   first round, members with too many elements that no other component has cannot reach the
+   threshold and leave. So no link that a bucket can show is lost.
 
 Defined results: rows with a null id are left out; a document without words is a class of
 its own; repeated rows get the same class; an empty table gives no rows; other columns are
@@ -37,7 +37,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 #: Buckets up to this many members are finished by pairs, larger ones by rounds of leaders.
 SMALL_BUCKET = 32
-#: Leaders of a bucket's first round, for either side; they double each round.
+#: Leaders of a bucket's first round, for either side; each round has eight times as many.
 FIRST_LEADERS = 4
 #: Pairs of one leader that go to one part of a join.
 PAIRS_PER_PART = 2000
@@ -148,20 +148,20 @@ def _crossing(open_: DataFrame) -> DataFrame:
     return left.join(right, "bucket").where("a < b and ca <> cb").select("a", "na", "b", "nb")
 
 
-def _linkable(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Members of large buckets that could link to some member, with r, their number of shared elements.
+def _linkable(large: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Members of large buckets that could link to another component, with a new r.
 
-    Elements that no other document of these buckets has are in no overlap. A document of n
-    elements overlaps any partner in r at most, and partners have at least the bucket's
-    least size, which bounds the similarity from above.
+    r counts a document's elements that some document of another component has as well; no
+    others are in an overlap that matters. Partners have at least the bucket's least size,
+    which bounds the similarity from above.
     """
-    ids = settled(large.select("doc").distinct())
-    few = ids.count() <= BROADCAST_IDS
-    held = sets.join(F.broadcast(ids) if few else ids, "doc", "left_semi").select("doc", F.explode("e").alias("x"))
-    often = held.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("x")
-    shared = settled(held.join(often, "x", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("r")))
+    named = labels.select(F.col("node").alias("doc"), "comp")
+    held = sets.select("doc", F.explode("e").alias("x")).join(named, "doc", "left")
+    held = held.withColumn("comp", F.coalesce("comp", "doc"))
+    wide = held.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("x")
+    shared = settled(held.join(wide, "x", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("r")))
     least = large.groupBy("bucket").agg(F.min("n").alias("least"))
-    bounded = large.join(shared, "doc").join(least, "bucket")
+    bounded = large.drop("r").join(shared, "doc").join(least, "bucket")
     reach = F.col("r") >= threshold * (F.col("n") + F.greatest("least", "r") - F.col("r"))
     return bounded.where(reach).drop("least")
 
@@ -211,8 +211,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
     open_ = settled(_labelled(members, labels))
     pairs = _crossing(open_.where(F.col("size") <= SMALL_BUCKET))
-    large = settled(open_.where(F.col("size") > SMALL_BUCKET))
-    large = settled(_labelled(_linkable(large, sets, threshold).drop("comp"), labels))
+    large = settled(open_.where(F.col("size") > SMALL_BUCKET).withColumn("r", F.col("n")))
     done = large.select("bucket", F.col("leader").alias("doc")).distinct()
     leaders = FIRST_LEADERS
     while True:
@@ -234,7 +233,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         pairs = None
         done = settled(done.union(chosen.select("bucket", F.col("a").alias("doc"))))
         large = settled(_labelled(large.drop("comp"), labels))
-        leaders *= 2
+        if leaders == FIRST_LEADERS and not large.isEmpty():
+            large = settled(_labelled(_linkable(large, sets, labels, threshold).drop("comp"), labels))
+        leaders *= 8
 
     named = labels.select(F.col("node").alias("rep"), "comp")
     found = member_of.join(named, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
