@@ -8,8 +8,7 @@ shingles is at least ``threshold``; classes are the connected components of the
 2. Members of a band bucket are verified against the bucket's least id: n comparisons.
 3. A bucket whose members are still in several components is finished exactly: small ones
    by all pairs across components, large ones in rounds. A round compares some members, the
-   leaders, with everything outside their component, half of the leaders from the largest
-   component; the bucket is done once every member outside it has been a leader. After the
+   leaders, with everything outside their component; the bucket is done once every member outside it has been a leader. After the
    first round, members with too many elements that no other component has cannot reach the
    threshold and leave. So no link that a bucket can show is lost.
 
@@ -37,8 +36,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 #: Buckets up to this many members are finished by pairs, larger ones by rounds of leaders.
 SMALL_BUCKET = 32
-#: Leaders of a bucket's first round, for either side; each round has eight times as many.
-FIRST_LEADERS = 4
+#: Leaders of a bucket's first round (one from either side), and of the second; each later round has eight times as many.
+FIRST_LEADERS, MORE_LEADERS = 1, 64
 #: Pairs of one leader that go to one part of a join.
 PAIRS_PER_PART = 2000
 #: Cells of a fingerprint: how many elements of a set fall into each.
@@ -167,7 +166,7 @@ def _linkable(large: DataFrame, sets: DataFrame, labels: DataFrame, threshold: f
 
 
 def _lead(open_: DataFrame, done: DataFrame, leaders: int) -> DataFrame:
-    """The next leaders of each large bucket, from its largest component and from the rest."""
+    """The next leaders of each large bucket: members outside its largest component, in the first round one inside too."""
     held = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("held"))
     largest = held.groupBy("bucket").agg(F.max_by("comp", F.struct("held", "comp")).alias("largest"))
     fresh = open_.join(done, ["bucket", "doc"], "left_anti").join(largest, "bucket")
@@ -176,6 +175,8 @@ def _lead(open_: DataFrame, done: DataFrame, leaders: int) -> DataFrame:
     chosen = fresh.groupBy("bucket", "inside", slot).agg(F.min(F.struct("doc", "n", "r", "comp")).alias("x"))
     x = F.col("x")
     chosen = chosen.select("bucket", "inside", x["doc"].alias("a"), x["n"].alias("na"), x["r"].alias("ra"), x["comp"].alias("ca"))
+    if leaders > FIRST_LEADERS:
+        return chosen.where("not inside").drop("inside")
     waiting = chosen.where("not inside").select("bucket").distinct()
     return chosen.join(waiting, "bucket", "left_semi").drop("inside")
 
@@ -221,7 +222,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
             others = large.select("bucket", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("comp").alias("cb"))
             both = F.least("ra", "rb")
             near = (F.col("ca") != F.col("cb")) & (both >= threshold * (F.col("na") + F.col("nb") - both))
-            led = others.join(chosen, "bucket").where(near).select("a", "na", "b", "nb")
+            led = others.join(chosen, "bucket").where(near)
+            first = F.col("a") < F.col("b")  # a pair is one pair, whichever leads
+            led = led.select(
+                F.least("a", "b").alias("a"),
+                F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"),
+                F.greatest("a", "b").alias("b"),
+                F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb"),
+            )
             pairs = led if pairs is None else pairs.union(led)
         if pairs is not None:
             new = verified(pairs, sets, threshold)
@@ -235,7 +243,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         large = settled(_labelled(large.drop("comp"), labels))
         if leaders == FIRST_LEADERS and not large.isEmpty():
             large = settled(_labelled(_linkable(large, sets, labels, threshold).drop("comp"), labels))
-        leaders *= 8
+        leaders = MORE_LEADERS if leaders == FIRST_LEADERS else 8 * leaders
 
     named = labels.select(F.col("node").alias("rep"), "comp")
     found = member_of.join(named, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
