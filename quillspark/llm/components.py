@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
 
 
+def _both(a: str, b: str, c: str, d: str) -> Column:
+    """Two rows, (a, b) and (c, d), of one; unlike a union this keeps a small table in its one partition."""
+    return F.inline(F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(c).alias("a"), F.col(d).alias("b"))))
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links the larger (or the smaller and own) neighbours of each node to the least of them."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both if large else both.where("b < a")
+    near = edges.select(_both("a", "b", "b", "a")) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    linked = near.where("b > a") if large else near.union(least.select("a", F.col("a").alias("b")))
-    joined = linked.join(least, "a")
-    return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    if large:
+        linked = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        linked = near.join(least, "a").select(_both("b", "m", "a", "m"))
+    return linked.where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,5 +37,4 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    roots = now.select(F.col("b").alias("node")).distinct().withColumn("comp", F.col("node"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots)
+    return settled(now.select(_both("a", "b", "b", "b")).distinct().withColumnsRenamed({"a": "node", "b": "comp"}))

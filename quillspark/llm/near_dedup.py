@@ -5,12 +5,15 @@ shingles is at least ``threshold``; classes are the connected components of the
 
 1. One pass makes a signature, its bands and a 128-bit key of the multiset; documents with
    equal multisets (copies) are one class from the start and only their least id goes on.
-2. Members of a band bucket are verified against the bucket's least id: n comparisons.
+2. Members of a band bucket are verified against the bucket's most central member: n
+   comparisons. Central is who shares bands with most documents, that is the text that the
+   others vary; it leads most buckets of its group, so few of these comparisons differ.
 3. A bucket whose members are still in several components is finished exactly: small ones
-   by all pairs across components, large ones in rounds. A round compares some members, the
-   leaders, with everything outside their component; the bucket is done once every member outside it has been a leader. After the
-   first round, members with too many elements that no other component has cannot reach the
-   threshold and leave. So no link that a bucket can show is lost.
+   by all pairs across components, large ones in rounds. Before the rounds, members with too
+   many elements that no other component has cannot reach the threshold and leave. A round
+   compares some members, the leaders, with everything outside their component; the bucket
+   is done once every member outside its largest component has been a leader. So no link
+   that a bucket can show is lost.
 
 Defined results: rows with a null id are left out; a document without words is a class of
 its own; repeated rows get the same class; an empty table gives no rows; other columns are
@@ -36,8 +39,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 #: Buckets up to this many members are finished by pairs, larger ones by rounds of leaders.
 SMALL_BUCKET = 32
-#: Leaders of a bucket's first round (one from either side), and of the second; each later round has eight times as many.
-FIRST_LEADERS, MORE_LEADERS = 1, 64
+#: Leaders of a bucket's first round; each later round has eight times as many.
+FIRST_LEADERS = 64
 #: Pairs of one leader that go to one part of a join.
 PAIRS_PER_PART = 2000
 #: Cells of a fingerprint: how many elements of a set fall into each.
@@ -121,7 +124,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The sets of documents that are in ``pairs``; the others never move."""
-    ids = settled(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
+    ids = settled(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
     few = ids.count() <= BROADCAST_IDS
     return sets.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
 
@@ -147,38 +150,33 @@ def _crossing(open_: DataFrame) -> DataFrame:
     return left.join(right, "bucket").where("a < b and ca <> cb").select("a", "na", "b", "nb")
 
 
-def _linkable(large: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Members of large buckets that could link to another component, with a new r.
+def _linkable(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Members of large buckets that could link to another component, with r.
 
-    r counts a document's elements that some document of another component has as well; no
-    others are in an overlap that matters. Partners have at least the bucket's least size,
-    which bounds the similarity from above.
+    r counts a document's elements that some document of another component has as well, among
+    the members of large buckets; no others are in an overlap that matters. Partners have at
+    least the bucket's least size, which bounds the similarity from above.
     """
-    named = labels.select(F.col("node").alias("doc"), "comp")
-    held = sets.select("doc", F.explode("e").alias("x")).join(named, "doc", "left")
-    held = held.withColumn("comp", F.coalesce("comp", "doc"))
+    named = settled(large.select("doc", "comp").distinct())
+    few = named.count() <= BROADCAST_IDS
+    held = sets.join(F.broadcast(named) if few else named, "doc").select("comp", "doc", F.explode("e").alias("x"))
     wide = held.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("x")
     shared = settled(held.join(wide, "x", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("r")))
     least = large.groupBy("bucket").agg(F.min("n").alias("least"))
-    bounded = large.drop("r").join(shared, "doc").join(least, "bucket")
+    bounded = large.join(shared, "doc").join(least, "bucket")
     reach = F.col("r") >= threshold * (F.col("n") + F.greatest("least", "r") - F.col("r"))
     return bounded.where(reach).drop("least")
 
 
 def _lead(open_: DataFrame, done: DataFrame, leaders: int) -> DataFrame:
-    """The next leaders of each large bucket: members outside its largest component, in the first round one inside too."""
+    """The next leaders of each large bucket: members outside its largest component."""
     held = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("held"))
     largest = held.groupBy("bucket").agg(F.max_by("comp", F.struct("held", "comp")).alias("largest"))
-    fresh = open_.join(done, ["bucket", "doc"], "left_anti").join(largest, "bucket")
-    fresh = fresh.withColumn("inside", F.col("comp") == F.col("largest"))
+    fresh = open_.join(done, ["bucket", "doc"], "left_anti").join(largest, "bucket").where("comp <> largest")
     slot = F.pmod(F.xxhash64("doc", F.lit(leaders)), F.lit(leaders)).alias("slot")
-    chosen = fresh.groupBy("bucket", "inside", slot).agg(F.min(F.struct("doc", "n", "r", "comp")).alias("x"))
+    chosen = fresh.groupBy("bucket", slot).agg(F.min(F.struct("doc", "n", "r", "comp")).alias("x"))
     x = F.col("x")
-    chosen = chosen.select("bucket", "inside", x["doc"].alias("a"), x["n"].alias("na"), x["r"].alias("ra"), x["comp"].alias("ca"))
-    if leaders > FIRST_LEADERS:
-        return chosen.where("not inside").drop("inside")
-    waiting = chosen.where("not inside").select("bucket").distinct()
-    return chosen.join(waiting, "bucket", "left_semi").drop("inside")
+    return chosen.select("bucket", x["doc"].alias("a"), x["n"].alias("na"), x["r"].alias("ra"), x["comp"].alias("ca"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -194,10 +192,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     repeats = _repeats(sketches)
     single = single.dropDuplicates(["doc_id"]) if repeats else single
     banded = single.select(F.col("doc_id").alias("doc"), "n", F.explode("bands").alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("leader")).where("size > 1")
-    full = settled(full)
+    full = settled(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     few = full.count() <= BROADCAST_BUCKETS
     members = settled(banded.join(F.broadcast(full) if few else full, "bucket"))
+    score = members.groupBy("doc").agg(F.sum("size").alias("score"))
+    central = members.join(score, "doc").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("doc")).alias("doc"))).alias("x"))
+    central = central.select("bucket", (-F.col("x.doc")).alias("leader"))
+    members = settled(members.join(F.broadcast(central) if few else central, "bucket"))
     wanted = settled(members.select(F.col("doc").alias("doc_id")).distinct())
     few = wanted.count() <= BROADCAST_IDS
     # A row that repeats an id holds the same text; one of them is enough.
@@ -212,7 +213,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
     open_ = settled(_labelled(members, labels))
     pairs = _crossing(open_.where(F.col("size") <= SMALL_BUCKET))
-    large = settled(open_.where(F.col("size") > SMALL_BUCKET).withColumn("r", F.col("n")))
+    large = settled(open_.where(F.col("size") > SMALL_BUCKET))
+    large = settled(_labelled(_linkable(large, sets, threshold).drop("comp"), labels))
     done = large.select("bucket", F.col("leader").alias("doc")).distinct()
     leaders = FIRST_LEADERS
     while True:
@@ -241,9 +243,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         pairs = None
         done = settled(done.union(chosen.select("bucket", F.col("a").alias("doc"))))
         large = settled(_labelled(large.drop("comp"), labels))
-        if leaders == FIRST_LEADERS and not large.isEmpty():
-            large = settled(_labelled(_linkable(large, sets, labels, threshold).drop("comp"), labels))
-        leaders = MORE_LEADERS if leaders == FIRST_LEADERS else 8 * leaders
+        leaders *= 8
 
     named = labels.select(F.col("node").alias("rep"), "comp")
     found = member_of.join(named, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
