@@ -45,7 +45,10 @@ NAME, NUMBER, UNIT = "§a", "§0", "§u"
 
 
 def template(text: Column) -> Column:
-    """The text with typed placeholders, lower case, one canonical word for each of its words."""
+    """The text with typed placeholders, lower case, one canonical word for each of its words.
+
+    Blanks stay as they are; a word of punctuation only becomes an empty one.
+    """
     out = F.replace(text, F.lit("§"), F.lit(""))
     # The capital comes first, so that the look behind it is rare.
     out = F.regexp_replace(out, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})[\p{L}\p{M}'’-]*", NAME)
@@ -56,7 +59,8 @@ def template(text: Column) -> Column:
     return F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}§\x20\x09-\x0D]+", "")
 
 
-GAP = r"[\x20\x09-\x0D]+"
+#: One blank, so that a word that the template empties keeps its place beside the raw one.
+BLANK = r"[\x20\x09-\x0D]"
 
 
 def _window(words: str, i: Column, size: int) -> Column:
@@ -73,7 +77,7 @@ def seeds(docs: DataFrame, key: str, size: int, seed: int, step: int, max_held:
 
     With ``max_held`` only those with no more placeholders; one side of a join is enough.
     """
-    words = docs.select(key, F.array_remove(F.split(template(F.col("text")), GAP, -1), "").alias("canon"))
+    words = docs.select(key, F.array_remove(F.split(template(F.col("text")), BLANK, -1), "").alias("canon"))
     starts = F.sequence(F.lit(0), F.size("canon") - seed, F.lit(step))
 
     def one(i: Column) -> Column:
@@ -86,7 +90,7 @@ def seeds(docs: DataFrame, key: str, size: int, seed: int, step: int, max_held:
 
 def windows(docs: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
     """key, pos, h, held (number of placeholders) and slots (the values behind them), for each window."""
-    pairs = docs.select(key, F.split(template(F.col("text")), GAP, -1).alias("canon"), F.split(F.col("text"), GAP, -1).alias("raw"))
+    pairs = docs.select(key, F.split(template(F.col("text")), BLANK, -1).alias("canon"), F.split(F.col("text"), BLANK, -1).alias("raw"))
     full = F.filter(F.arrays_zip("canon", "raw"), lambda x: x["canon"] != "")
     words = pairs.select(key, full.alias("words"))
     words = words.select(key, F.col("words.canon").alias("canon"), F.col("words.raw").alias("raw"))

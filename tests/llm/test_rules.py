@@ -89,6 +89,16 @@ def test_contamination(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_contamination_beside_lone_punctuation(spark):
+    """Words of punctuation only, before or inside a copy, do not shift its values."""
+    items = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    changed = CASES[0][1].removeprefix("so we ask: ")
+    texts = ["Question - " + QUESTION, "* = | " + changed, QUESTION.replace(" and sells", " - and sells"), " \t- \n" + QUESTION + " -"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_changed for r in decontaminate.contaminated(docs, items).collect()} == {0: 0, 1: 4, 2: 0, 3: 0}
+    assert decontaminate.keep_clean(docs, items).count() == 0
+
+
 def test_contamination_against_plain_search(spark, sf_dir):
     """Every document that holds 13 words of an item in a row is found, and no other."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
