@@ -12,6 +12,7 @@ are packed like any other row; an empty table gives no rows; other columns are i
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -61,12 +62,15 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     return rows.mapInArrow(cut, PIECE_SCHEMA + (", ids binary" if keep_ids else ""))
 
 
-def fillings(room: int, sizes: list[int], counts: dict[int, int], keep: int = 4, nodes: int = FILLING_NODES) -> list[tuple[int, ...]]:
+def fillings(
+    room: int, sizes: list[int], counts: dict[int, int], keep: int = 4, nodes: int = FILLING_NODES, every: bool = False
+) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room``, least waste first, fewer and larger documents before more.
 
     ``sizes`` ascend and have a positive count. Depth first, larger sizes first; a branch
     ends when what it could still hold cannot beat the least waste found so far. The first
-    leaf of the search is the best-fit filling.
+    leaf of the search is the best-fit filling. With ``every``, those that waste more than
+    the best are listed too, if nothing that is left over fits in as well.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     best = room
@@ -78,7 +82,7 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], keep: int = 4,
         high = bisect.bisect_right(sizes, free, 0, top)
         if high == 0:
             if free <= best:
-                best = free
+                best = best if every else free
                 found.append((free, taken))
                 if free == 0 and len(found) >= keep:
                     break
@@ -91,17 +95,18 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], keep: int = 4,
             stack.append((free, high - 1, taken))
         else:
             found.append((free, taken)) if free <= best else None
-            best = min(best, free)
+            best = best if every else min(best, free)
         if taken.count(top_size) < counts[top_size]:
             stack.append((free - top_size, high, (*taken, top_size)))
     found.sort(key=lambda x: (x[0], len(x[1]), [-v for v in x[1]]))
-    out: list[tuple[int, ...]] = []
-    for _, filling in found:
-        if filling not in out:
-            out.append(filling)
+    out: dict[tuple[int, ...], None] = {}
+    for free, filling in found:
+        if every and any(filling.count(n) < counts[n] for n in itertools.takewhile(lambda n: n <= free, sizes)):
+            continue
+        out[filling] = None
         if len(out) == keep:
             break
-    return out or [()]
+    return list(out) or [()]
 
 
 def bound(counts: dict[int, int], capacity: int) -> int:
@@ -114,23 +119,34 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = BRANC
     """Patterns of lengths and how often each is used; together they use the histogram up.
 
     Bin completion: fill the sequence of the largest remaining length first, branch over its
-    undominated fillings, drop a branch whose sequences plus the bound of what remains are no
-    fewer than the incumbent's. The first dive is the best-fit incumbent; ``steps`` bounds
-    the search after it, not the pieces that are packed.
+    fillings, drop a branch whose sequences plus the bound of what remains are no fewer than
+    the incumbent's. The first dive is the best-fit incumbent. Each of its frames lists its
+    further fillings when the search comes back to it; ``steps`` bounds the search after the
+    first dive, not the pieces that are packed.
     """
     goal = bound(histogram, capacity)
     best: list[tuple[tuple[int, ...], int]] = []
     best_used: float = float("inf")
     start = {n: c for n, c in histogram.items() if c}
     trail: list[tuple[tuple[int, ...], int]] = []
-    frames: list[tuple[dict[int, int], int, list[tuple[int, ...]], int]] = []
+    # What remains, sequences so far, choices (pattern, times), the next choice, whether all choices are listed.
+    frames: list[tuple[dict[int, int], int, list[tuple[tuple[int, ...], int]], int, bool]] = []
 
-    def options(counts: dict[int, int], keep: int) -> list[tuple[int, ...]]:
+    def options(counts: dict[int, int], every: bool) -> list[tuple[tuple[int, ...], int]]:
         largest = max(counts)
         rest = dict(counts)
         rest[largest] -= 1
         sizes = sorted(n for n, c in rest.items() if c)
-        return [(largest, *f) for f in fillings(capacity - largest, sizes, rest, keep)]
+        out = []
+        for f in fillings(capacity - largest, sizes, rest, FILLING_NODES if every else 1, every=every):
+            pattern = (largest, *f)
+            out.append((pattern, min(counts[n] // pattern.count(n) for n in set(pattern))))
+        return out
+
+    def further(counts: dict[int, int], tried: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
+        """The choices beyond those of the first dive: other fillings, and each filling used once only."""
+        every = options(counts, True)
+        return [*tried, *(x for x in [*every, *((p, 1) for p, times in every if times > 1)] if x not in tried)]
 
     counts, used = start, 0
     spent = 0
@@ -141,18 +157,23 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = BRANC
         if dead and (best_used <= goal or spent >= steps):
             return best
         if not dead:
-            frames.append((counts, used, options(counts, 1 if best_used == float("inf") else 3), 0))
-        while frames and frames[-1][3] >= len(frames[-1][2]):
+            frames.append((counts, used, options(counts, False), 0, False))
+        while frames:
+            counts, used, choices, k, listed = frames[-1]
+            # A frame lists its further choices when the search comes back to it, unless the incumbent rules it out.
+            if k == len(choices) and not listed and used + bound(counts, capacity) < best_used:
+                choices = further(counts, choices)
+                frames[-1] = (counts, used, choices, k, True)
+            if k < len(choices):
+                break
             frames.pop()
-            trail = trail[: len(frames)]
         if not frames:
             return best
-        counts, used, choices, k = frames[-1]
-        frames[-1] = (counts, used, choices, k + 1)
+        counts, used, choices, k, listed = frames[-1]
+        frames[-1] = (counts, used, choices, k + 1, listed)
         trail = trail[: len(frames) - 1]
-        pattern = choices[k]
+        pattern, times = choices[k]
         need = {n: pattern.count(n) for n in set(pattern)}
-        times = min(counts[n] // m for n, m in need.items())
         counts = {n: c for n, c in ((n, c - need.get(n, 0) * times) for n, c in counts.items()) if c}
         trail.append((pattern, times))
         used += times

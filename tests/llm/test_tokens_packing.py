@@ -72,6 +72,17 @@ def test_plan_is_as_good_as_brute_force(seed):
     assert used == best(lengths, 20)
 
 
+def test_plan_branches_beyond_the_first_dive():
+    for lengths, capacity, fewest in (
+        ([12, 12, 11, 11, 10, 9, 7, 7, 5, 4, 4, 4, 3], 20, 5),
+        ([12, 12, 13, 13, 14, 14, 15, 18, 18, 20], 50, 3),
+    ):
+        patterns = packing.plan({n: lengths.count(n) for n in set(lengths)}, capacity)
+        assert sorted(n for pattern, times in patterns for n in pattern * times) == sorted(lengths)
+        assert all(sum(pattern) <= capacity for pattern, _ in patterns)
+        assert sum(times for _, times in patterns) == fewest
+
+
 def test_plan_is_near_the_bound_and_whole():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 2049, 4000)
