@@ -1,6 +1,8 @@
 """Operator 8: licence statements by a trained paragraph classifier.
 
-Every line is a paragraph. A multinomial logistic regression over sparse word 1- and 2-grams
+Every line is a paragraph, and so is every join of lines that wraps a statement: lines in a
+row without a blank one between them (comment marks count as blanks) that together cover a
+template. A multinomial logistic regression over sparse word 1- and 2-grams
 gives each a licence family or "unknown"; its temperature is calibrated on held-out variants.
 A likely family is confirmed only if the paragraph covers enough of one of the family's
 templates. The training table is made by rule from the templates: wording variants of each
@@ -174,28 +176,111 @@ def confirmed(paragraph: str, family: str) -> bool:
     return False
 
 
+def pairs(w: list[str]) -> set[tuple[str, str]]:
+    return set(zip(w, w[1:], strict=False))
+
+
+#: (family, word pairs) of each template.
+WANTED = [(k, pairs(words(t))) for k, ts in TEMPLATES.items() for t in ts]
+ALL_PAIRS = frozenset(p for _, want in WANTED for p in want)
+#: Comment marks and quotes before and after the text of a line (a hyphen at its end may part a word).
+BEFORE, AFTER = " \t\r\f\v/*#-;%<!>|\"'", " \t\r\f\v/*#;%>|\"'"
+#: Words that the lines between the first and the last of a join may hold for each word pair of the template.
+INNER = 2
+
+
+def bare(line: str, at: int) -> tuple[str, int, int]:
+    """A line without comment marks, and where it starts and ends in the text."""
+    rest = line.lstrip(BEFORE)
+    body = rest.rstrip(AFTER)
+    start = at + len(line) - len(rest)
+    return body, start, start + len(body)
+
+
+def joined(lines: list[tuple[str, int, int]]) -> str:
+    """Lines as one paragraph; a word that was cut at a hyphen is whole again."""
+    return "".join(x if x[-1:] == "-" and x[-2:-1].isalpha() else x + " " for x, _, _ in lines).rstrip()
+
+
+def wraps(run: list[tuple[str, int, int]]) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """(family, lines) of the least joins of a run that cover a template, each after its extension.
+
+    The extension takes the lines around a join as long as they cover more of the template.
+    """
+    if len(run) < 2:
+        return []
+    count = [len(words(x)) for x, _, _ in run]
+    two = [ALL_PAIRS & pairs(words(joined(run[k : k + 2]))) for k in range(len(run) - 1)]
+    total = frozenset().union(*two)
+    out = []
+    for family, want in WANTED:
+        need = MIN_COVERAGE * len(want)
+        if len(want & total) < need:
+            continue
+        hit = [want & t for t in two]
+        i = 0
+        while i < len(hit):
+            covered: set[tuple[str, str]] = set()
+            j, inner = i, 0
+            while hit[i] and j < len(hit) and len(covered) < need and inner <= INNER * len(want):
+                covered |= hit[j]
+                j += 1
+                inner += count[j]
+            if len(covered) < need:
+                i += 1
+                continue
+            while i + 1 < j and len(set().union(*hit[i + 1 : j])) >= need:
+                i += 1
+            first, last = i, j
+            while last < len(hit) and hit[last] - covered:
+                covered |= hit[last]
+                last += 1
+            while first and hit[first - 1] - covered:
+                covered |= hit[first - 1]
+                first -= 1
+            out += [(family, run[first : last + 1]), (family, run[i : j + 1])]
+            i = j
+    return out
+
+
 def statements(texts: list[str], model: Classifier) -> list[list[tuple[str, int, int]]]:
     """(family, start, end) of each confirmed licence paragraph of each text."""
-    rows: list[tuple[int, int, str]] = []
+    rows: list[tuple[int, int, int, str, str]] = []
     for n, text in enumerate(texts):
         at = 0
+        run: list[tuple[str, int, int]] = []
+        wrapped: list[tuple[str, list[tuple[str, int, int]]]] = []
+        known = False
         for line in text.split("\n"):
-            if not model.vocabulary.isdisjoint(line.lower().replace(",", " ").replace(".", " ").replace(":", " ").split()) or not line.isascii():
-                if not model.vocabulary.isdisjoint(words(line)):
-                    rows.append((n, at, line))
+            w = words(line)
+            here = not model.vocabulary.isdisjoint(w)
+            if here:
+                body = line.strip()
+                start = at + line.index(body)
+                rows.append((n, start, start + len(body), line, ""))
+            stripped = bare(line, at)
+            if w:
+                run.append(stripped)
+                known |= here
+            elif not stripped[0]:
+                wrapped += wraps(run) if known else []
+                run, known = [], False
             at += len(line) + 1
+        wrapped += wraps(run) if known else []
+        rows += [(n, lines[0][1], lines[-1][2], joined(lines), family) for family, lines in wrapped]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not rows:
         return out
-    p = model.probabilities([r[2] for r in rows])
+    p = model.probabilities([r[3] for r in rows])
     best = p.argmax(axis=1)
-    for (n, at, line), k, prob in zip(rows, best, p.max(axis=1), strict=True):
+    for (n, start, end, paragraph, sought), k, prob in zip(rows, best, p.max(axis=1), strict=True):
         family = FAMILIES[k]
-        if family != "unknown" and prob >= MIN_PROBABILITY and confirmed(line, family):
-            body = line.strip()
-            start = at + line.index(body)
-            out[n].append((family, start, start + len(body)))
-    return out
+        # Lines come first; a join adds a statement only where its family has none yet.
+        if family == "unknown" or prob < MIN_PROBABILITY or (sought and any(f == family and a < end and start < b for f, a, b in out[n])):
+            continue
+        if confirmed(paragraph, family):
+            out[n].append((family, start, end))
+    return [sorted(found, key=lambda x: x[1:]) for found in out]
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -211,6 +211,29 @@ def test_licences(spark):
     assert got[1].spans == "Apache-2.0:12:59"
 
 
+WRAPPED = [
+    ("BSD", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+    (
+        "GPL",
+        " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+        " * the Free Software Foundation; either version 2 of the License.",
+    ),
+    ("CC-BY-SA", "# licensed under a\n# Creative Commons\n# Attribution-\n# ShareAlike 4.0\n# International License"),
+    ("MIT", '"SPDX-License-Identifier":"MIT"'), ("MIT", "/*SPDX-License-Identifier:MIT*/"),
+]
+
+
+@pytest.mark.parametrize(("family", "text"), WRAPPED)
+def test_licences_over_lines_and_in_quotes(family, text):
+    for before, after in (("", ""), ("Some prose.\n\n", "\n\nMore."), ("import os\n", "\nx = 1")):
+        found = licences.statements([before + text + after], licences.fitted())[0]
+        assert [k for k, _, _ in found] == [family]
+        lines = (before + text + after)[found[0][1] : found[0][2]].split("\n")
+        assert len(lines) >= min(2, text.count("\n") + 1)
+    apart = text.replace("\n", "\n\n")
+    assert "\n" not in text or licences.statements([apart], licences.fitted())[0] == []
+
+
 def test_no_labels_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (None, "c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
