@@ -11,10 +11,15 @@ Documents are searched twice. Seeds are short windows: every one of an item, but
 fourth of a document, so that any full window that they share has a seed within it. Only
 documents with a seed are then cut into all their windows.
 
+Texts are searched as they are and with neighbouring placeholders of one type taken as one, so
+that a name may have become two. Items with fewer windows than make an alignment (short ones,
+and those dense with placeholders) are also searched whole: by their exact words and, if enough
+of these are no placeholders, by their template.
+
 Only DataFrame functions run here. The benchmark side is broadcast only if its windows have
 been counted and are few; otherwise the join shuffles.
 
-Defined results: null or short texts (under a window) match nothing, on either side; rows
+Defined results: null texts and those without words match nothing, on either side; rows
 with a null id are left out; repeated rows and benchmark items with equal text give the same
 matches; empty tables give no rows; other columns are ignored.
 """
@@ -62,9 +67,12 @@ def template(text: Column) -> Column:
 #: One blank, so that a word that the template empties keeps its place beside the raw one.
 BLANK = r"[\x20\x09-\x0D]"
 
+#: Neighbouring placeholders of one type.
+ADJACENT = r"(?<![^\x20\x09-\x0D])(§[a0u])(?:[\x20\x09-\x0D]+\1)+(?![^\x20\x09-\x0D])"
+
 
-def _window(words: str, i: Column, size: int) -> Column:
-    return F.array_join(F.slice(words, i + 1, F.lit(size)), " ")
+def _window(words: str, i: Column, size: int | Column) -> Column:
+    return F.array_join(F.slice(words, i + 1, size if isinstance(size, Column) else F.lit(size)), " ")
 
 
 def _held(joined: Column) -> Column:
@@ -77,7 +85,10 @@ def seeds(docs: DataFrame, key: str, size: int, seed: int, step: int, max_held:
 
     With ``max_held`` only those with no more placeholders; one side of a join is enough.
     """
-    words = docs.select(key, F.array_remove(F.split(template(F.col("text")), BLANK, -1), "").alias("canon"))
+    canon = docs.select(key, template(F.col("text")).alias("canon"))
+    both = F.array("canon", F.regexp_replace("canon", ADJACENT, "$1"))
+    canon = canon.select(key, F.explode(F.when(F.col("canon").rlike(ADJACENT), both).otherwise(F.array("canon"))).alias("canon"))
+    words = canon.select(key, F.array_remove(F.split("canon", BLANK, -1), "").alias("canon"))
     starts = F.sequence(F.lit(0), F.size("canon") - seed, F.lit(step))
 
     def one(i: Column) -> Column:
@@ -88,22 +99,47 @@ def seeds(docs: DataFrame, key: str, size: int, seed: int, step: int, max_held:
     return found if max_held is None else found.where("h is not null")
 
 
-def windows(docs: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
-    """key, pos, h, held (number of placeholders) and slots (the values behind them), for each window."""
-    pairs = docs.select(key, F.split(template(F.col("text")), BLANK, -1).alias("canon"), F.split(F.col("text"), BLANK, -1).alias("raw"))
+def _paired(docs: DataFrame, key: str, canon: Column) -> DataFrame:
+    """key, canon and raw: the words of a canonical form and of the text, without those that it empties."""
+    pairs = docs.select(key, F.split(canon, BLANK, -1).alias("canon"), F.split(F.col("text"), BLANK, -1).alias("raw"))
     full = F.filter(F.arrays_zip("canon", "raw"), lambda x: x["canon"] != "")
-    words = pairs.select(key, full.alias("words"))
-    words = words.select(key, F.col("words.canon").alias("canon"), F.col("words.raw").alias("raw"))
+    words = pairs.select(key, full.alias("words")).where(F.size("words") > 0)
+    return words.select(key, F.col("words.canon").alias("canon"), F.col("words.raw").alias("raw"))
+
+
+def forms(words: DataFrame, key: str) -> DataFrame:
+    """key, form, canon and raw: words as they are (0) and, if that differs, neighbouring placeholders as one (1)."""
+    first = F.filter(
+        F.sequence(F.lit(0), F.size("canon") - 1),
+        lambda i: ~(F.get("canon", i).isin(NAME, NUMBER, UNIT) & F.coalesce(F.get("canon", i) == F.get("canon", i - 1), F.lit(False))),
+    )
+    words = words.withColumn("first", first)
+    size = F.size("canon")
+    one = F.struct(
+        F.lit(1).alias("form"),
+        F.transform("first", lambda i: F.get("canon", i)).alias("canon"),
+        F.transform(
+            "first", lambda i, k: F.array_join(F.slice("raw", i + 1, F.coalesce(F.get("first", k + 1), size) - i), " ")
+        ).alias("raw"),
+    )
+    plain = F.struct(F.lit(0).alias("form"), F.col("canon"), F.col("raw"))
+    listed = F.when(F.size("first") < size, F.array(plain, one)).otherwise(F.array(plain))
+    return words.select(key, F.explode(listed).alias("w")).select(key, "w.*")
+
+
+def spans(words: DataFrame, key: str, sizes: Column) -> DataFrame:
+    """key, form, size, pos, h, held (number of placeholders) and slots (the values behind them), for each window of each size."""
+    words = words.select(key, "form", "canon", "raw", F.explode(F.filter(sizes, lambda n: n <= F.size("canon"))).alias("size"))
 
     def window(i: Column) -> Column:
-        joined = _window("canon", i, size)
+        joined = _window("canon", i, F.col("size"))
         held = _held(joined)
         slots = F.when(
             held > 0,
             F.filter(
                 F.zip_with(
-                    F.slice("canon", i + 1, F.lit(size)),
-                    F.slice("raw", i + 1, F.lit(size)),
+                    F.slice("canon", i + 1, F.col("size")),
+                    F.slice("raw", i + 1, F.col("size")),
                     lambda c, r: F.when(c.startswith("§"), F.regexp_replace(F.lower(r), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$", "")),
                 ),
                 lambda v: v.isNotNull(),
@@ -111,8 +147,65 @@ def windows(docs: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
         )
         return F.struct(i.alias("pos"), F.xxhash64(joined).alias("h"), held.alias("held"), slots.alias("slots"))
 
-    listed = F.transform(F.sequence(F.lit(0), F.size("canon") - size), window)
-    return words.where(F.size("canon") >= size).select(key, F.explode(listed).alias("w")).select(key, "w.*")
+    listed = F.transform(F.sequence(F.lit(0), F.size("canon") - F.col("size")), window)
+    return words.select(key, "form", "size", F.explode(listed).alias("w")).select(key, "form", "size", "w.*")
+
+
+def windows(docs: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
+    """The windows of one size, of both forms."""
+    return spans(forms(_paired(docs, key, template(F.col("text"))), key), key, F.array(F.lit(size))).drop("size")
+
+
+def exact(docs: DataFrame, key: str) -> DataFrame:
+    """Words in lower case without punctuation, as form 2."""
+    canon = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\x20\x09-\x0D]+", "")
+    return _paired(docs, key, canon).select(key, F.lit(2).alias("form"), "canon", "raw")
+
+
+def whole(texts: DataFrame, thin: DataFrame) -> DataFrame:
+    """doc_id, item_id and pairs, for each place where a document holds all of a thin item."""
+    # After a word and a blank the first word reads as it does within a text.
+    inner = _paired(thin.withColumn("text", F.concat(F.lit("x "), "text")), "item_id", template(F.col("text")))
+    inner = inner.select("item_id", *(F.expr(f"slice({c}, 2, size({c}) - 1)").alias(c) for c in ("canon", "raw"))).where(F.size("canon") > 0)
+    parts = forms(_paired(thin, "item_id", template(F.col("text"))), "item_id").unionByName(forms(inner, "item_id"))
+    literal = F.size(F.filter("canon", lambda c: ~c.startswith("§")))
+    parts = parts.where(literal >= MIN_LITERAL).unionByName(exact(thin, "item_id"))
+    sought = checkpoint(
+        spans(parts, "item_id", F.array(F.size("canon")))
+        .select("item_id", (F.col("form") == 2).alias("exact"), "size", "h", F.col("slots").alias("item_slots"))
+        .distinct()
+    )
+    few = sought.count() <= BROADCAST_WINDOWS
+
+    def found(words: DataFrame, is_exact: bool) -> DataFrame:
+        items = sought.where(F.col("exact") == is_exact).drop("exact")
+        sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]
+        if not sizes:
+            return None
+        hit = spans(words, "doc_id", F.array(*map(F.lit, sizes)))
+        return hit.join(F.broadcast(items) if few else items, ["size", "h"]).select("doc_id", "item_id", _pairs().alias("pairs"))
+
+    verbatim = found(exact(texts, "doc_id"), True)
+    changed = found(forms(_paired(texts, "doc_id", template(F.col("text"))), "doc_id"), False)
+    return changed if verbatim is None else verbatim if changed is None else verbatim.unionByName(changed)
+
+
+#: Values of an item and a document in the same places.
+PAIRED_TYPE = "array<struct<i:string,d:string>>"
+
+
+def _pairs() -> Column:
+    zipped = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("i"), b.alias("d")))
+    return F.array_distinct(F.coalesce(zipped, F.array().cast(PAIRED_TYPE)))
+
+
+def _one_to_one() -> Column:
+    n = F.size("pairs")
+    return (n == F.size(F.array_distinct("pairs.i"))) & (n == F.size(F.array_distinct("pairs.d")))
+
+
+def _n_changed() -> Column:
+    return F.size(F.filter("pairs", lambda p: p["i"] != p["d"])).cast("long")
 
 
 def alignments(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -121,8 +214,9 @@ def alignments(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Dat
     items = id_and_text(benchmark, "item_id").where("doc_id is not null").withColumnRenamed("doc_id", "item_id").distinct()
     every = windows(items, "item_id", size)
     sought = every.where(F.col("held") <= size - MIN_LITERAL).drop("held")
-    sought = checkpoint(sought.withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}))
-    total = sought.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    sought = checkpoint(sought.withColumnsRenamed({"pos": "item_pos", "slots": "item_slots", "form": "item_form"}))
+    total = sought.groupBy("item_id", "item_form").agg(F.count(F.lit(1)).alias("n"))
+    total = total.groupBy("item_id").agg(F.max("n").alias("item_windows"))
     few = sought.count() <= BROADCAST_WINDOWS
     short = seeds(items, "item_id", size, SEED, 1, size - MIN_LITERAL).select("h").distinct()
     seeded = seeds(texts, "doc_id", size, SEED, SEED_STEP).join(F.broadcast(short) if few else short, "h", "left_semi")
@@ -130,17 +224,12 @@ def alignments(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Dat
     listed = seeded.count() <= BROADCAST_IDS
     hashed = windows(texts.join(F.broadcast(seeded) if listed else seeded, "doc_id", "left_semi"), "doc_id", size).drop("held")
     hit = hashed.join(F.broadcast(sought) if few else sought, "h")
-    zipped = F.coalesce(
-        F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("i"), b.alias("d"))),
-        F.array().cast("array<struct<i:string,d:string>>"),
-    )
     found = (
         hit.withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-        .groupBy("doc_id", "item_id", "diagonal")
-        .agg(F.count_distinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(zipped))).alias("pairs"))
+        .groupBy("doc_id", "item_id", "form", "item_form", "diagonal")
+        .agg(F.count_distinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(_pairs()))).alias("pairs"))
         .join(F.broadcast(total) if few else total, "item_id")
     )
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct("pairs.i"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.d")))
     return found.select(
         "doc_id",
         "item_id",
@@ -148,11 +237,21 @@ def alignments(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Dat
         "n_windows",
         "item_windows",
         F.size("pairs").cast("long").alias("n_slots"),
-        F.size(F.filter("pairs", lambda p: p["i"] != p["d"])).cast("long").alias("n_changed"),
-        one_to_one.alias("consistent"),
+        _n_changed().alias("n_changed"),
+        _one_to_one().alias("consistent"),
     )
 
 
+def thin_items(benchmark: DataFrame, size: int, min_windows: int) -> DataFrame:
+    """item_id and text of the items one of whose forms has fewer sought windows than make an alignment."""
+    items = id_and_text(benchmark, "item_id").where("doc_id is not null").withColumnRenamed("doc_id", "item_id").distinct()
+    listed = forms(_paired(items, "item_id", template(F.col("text"))), "item_id")
+    every = spans(listed, "item_id", F.array(F.lit(size))).where(F.col("held") <= size - MIN_LITERAL)
+    enough = every.groupBy("item_id", "form").count().where(F.col("count") >= min_windows)
+    short = listed.select("item_id", "form").join(enough, ["item_id", "form"], "left_anti").select("item_id").distinct()
+    return checkpoint(items.join(short, "item_id", "left_semi"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_windows: int = MIN_WINDOWS) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, n_windows, item_windows, n_changed.
 
@@ -160,6 +259,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
     """
     aligned = alignments(docs, benchmark, size)
     taken = aligned.where(F.col("consistent") & (F.col("n_windows") >= F.least(F.lit(min_windows), F.col("item_windows"))))
+    taken = taken.select("doc_id", "item_id", "n_windows", "item_windows", "n_changed")
+    thin = thin_items(benchmark, size, min_windows)
+    if not thin.isEmpty():
+        one = F.lit(1).cast("long")
+        entire = whole(id_and_text(docs).where("doc_id is not null"), thin).where(_one_to_one())
+        taken = taken.unionByName(
+            entire.select("doc_id", "item_id", one.alias("n_windows"), one.alias("item_windows"), _n_changed().alias("n_changed"))
+        )
     return taken.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"),
         F.max("item_windows").alias("item_windows"),

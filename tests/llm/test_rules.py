@@ -99,6 +99,21 @@ def test_contamination_beside_lone_punctuation(spark):
     assert decontaminate.keep_clean(docs, items).count() == 0
 
 
+def test_contamination_of_dense_and_short_items(spark):
+    """Items without sought windows are found whole, and names may change their number of words."""
+    items = [
+        (1, "What is 12 + 7 + 3 + 9 + 4 ?"), (2, "Seven green stones"), (3, "Then Bob and Alice met Carol and then they told Dave about Erin"),
+        (4, "add 12 to 7 and take 3 then 9 off 4"),
+    ]
+    docs = [
+        (1, "we ask: What is 12 + 7 + 3 + 9 + 4 ? now"), (2, "we saw seven green stones."), (3, "What is 12 + 7 + 3 + 9 + 5 ?"), (4, "seven stones"),
+        (5, "so Then Mary Jane and Tom Lee met Ann and then they told John Paul about Eve now"), (6, "so add 15 to 8 and take 2 then 1 off 6 now"),
+    ]
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1), (2, 2), (5, 3), (6, 4)}
+
+
 def test_contamination_against_plain_search(spark, sf_dir):
     """Every document that holds 13 words of an item in a row is found, and no other."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
