@@ -67,23 +67,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def row_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into row slices of about ``limit`` bytes of text, whole texts only."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text"))
-        sizes = pa.compute.binary_length(texts).to_pylist()
+        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index("text"))).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + (n or 0) > limit:
-                part = batch.slice(start, i - start)
-                yield part, part.column(part.schema.get_field_index("text")).to_pylist()
+                yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n or 0
         if start < len(sizes):
-            part = batch.slice(start)
-            yield part, part.column(part.schema.get_field_index("text")).to_pylist()
+            yield batch.slice(start)
 
 
+def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The same slices, with their texts."""
+    for part in row_slices(batches, limit):
+        yield part, part.column(part.schema.get_field_index("text")).to_pylist()
 
 
 #: Ids up to which a list of them is broadcast (16 MB); a longer one is shuffled.

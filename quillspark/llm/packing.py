@@ -3,10 +3,12 @@
 Documents become token ids in Spark tasks. Sequences are planned over the histogram of piece
 lengths, which has at most ``capacity`` entries at any corpus size; a pattern found once is
 used as often as the histogram allows. Pieces then look up their place by their rank among
-pieces of the same length, so no task and no driver ever holds the pieces.
+pieces of the same length, so no task and no driver ever holds the pieces. Ranks are counted
+in parts, so a length that many pieces share is no burden.
 
-Defined results: null text counts as empty (one end id); null ids, repeated rows and ties
-are packed like any other row; an empty table gives no rows; other columns are ignored.
+Defined results: null text counts as empty (one end id); a text of any length is encoded
+whole and cut into pieces of ``capacity``; null ids, repeated rows and ties are packed like
+any other row; an empty table gives no rows; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -16,19 +18,21 @@ import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, id_and_text, text_slices
-from .tokens import END_BYTES, encoder, tokenizer_path
+from .common import checkpoint, id_and_text, row_slices
+from .tokens import SLICE, encoder, tokenizer_path
 
 CAPACITY = 2048
 #: Fillings looked at for one largest document, and branch steps beyond the first dive.
 FILLING_NODES = 4000
 BRANCH_STEPS = 2000
-#: Parts into which the pieces of one length are dealt for ranking.
-RANK_PARTS = 64
+#: Pieces of one length that are ranked together at least, and parts into which all are dealt at most
+#: (besides one for each length); this bounds the table of parts, which is broadcast.
+ROWS_PER_RANK, RANK_PARTS = 1000, 200_000
 
 PIECE_SCHEMA = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
 
@@ -39,40 +43,58 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for part, texts in text_slices(batches):
-            cols: list[list] = [[] for _ in range(7)]
-            keys = part.column(part.schema.get_field_index("row_key")).to_pylist()
-            for doc, key, ids in zip(part.column(0).to_pylist(), keys, encode(texts), strict=True):
-                ids += END_BYTES
-                n = len(ids) // 4
-                at, k = 0, 0
-                size = n % capacity or capacity if n > capacity else n
-                while at < n:
-                    chunk = ids[4 * at : 4 * (at + size)]
-                    for col, v in zip(cols, (doc, key, k, at, size, zlib.crc32(chunk), chunk), strict=True):
-                        col.append(v)
-                    at, k, size = at + size, k + 1, capacity
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "row_key", "piece", "start", "length", "ids_crc32", "ids"]
-            arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            last = 7 if keep_ids else 6
-            yield pa.RecordBatch.from_arrays(arrays[:last], names=names[:last])
+        for part in row_slices(batches, SLICE):
+            ids, at = encode(part.column(2))
+            size = np.diff(at)
+            many = np.where(size > capacity, -(-size // capacity), 1)
+            # Only the first piece of a cut document may be shorter.
+            first = np.where(many > 1, size - capacity * (many - 1), size)
+            row = np.repeat(np.arange(len(size)), many)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            length = np.where(piece == 0, first[row], capacity)
+            start = np.where(piece == 0, 0, first[row] + capacity * (piece - 1))
+            low = at[:-1][row] + start
+            raw = memoryview(ids.astype("<u4").view(np.uint8))
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * low).tolist(), (4 * (low + length)).tolist(), strict=True)]
+            index = pa.array(row)
+            arrays = [part.column(0).take(index), part.column(1).take(index), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            names = ["doc_id", "row_key", "piece", "start", "length", "ids_crc32"]
+            if keep_ids:  # pieces follow one another without gaps
+                ends = pa.py_buffer(np.append(4 * low, len(raw)).astype(np.int64))
+                arrays.append(pa.Array.from_buffers(pa.large_binary(), len(row), [None, ends, pa.py_buffer(raw)]).cast(pa.binary()))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     rows = id_and_text(docs).select("doc_id", F.monotonically_increasing_id().alias("row_key"), "text")
     return rows.mapInArrow(cut, PIECE_SCHEMA + (", ids binary" if keep_ids else ""))
 
 
+def dominated(filling: tuple[int, ...], other: tuple[int, ...]) -> bool:
+    """Whether the documents of ``filling`` fit, first fit, into the places of those of ``other``.
+
+    Then whatever can be packed after ``filling`` can be packed after ``other`` as well.
+    """
+    room = list(other)
+    for n in filling:
+        k = next((k for k, r in enumerate(room) if r >= n), None)
+        if k is None:
+            return False
+        room[k] -= n
+    return True
+
+
 def fillings(
     room: int, sizes: list[int], counts: dict[int, int], keep: int = 4, nodes: int = FILLING_NODES, every: bool = False
 ) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room``, least waste first, fewer and larger documents before more.
 
     ``sizes`` ascend and have a positive count. Depth first, larger sizes first; a branch
-    ends when what it could still hold cannot beat the least waste found so far. The first
+    ends when all that it could still hold cannot beat the least waste found so far. The first
     leaf of the search is the best-fit filling. With ``every``, those that waste more than
     the best are listed too, if nothing that is left over fits in as well.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
+    reach = [0, *itertools.accumulate(n * counts[n] for n in sizes)]
     best = room
     left = nodes
     stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(sizes), ())]
@@ -87,10 +109,11 @@ def fillings(
                 if free == 0 and len(found) >= keep:
                     break
             continue
+        if free - reach[high] > best:
+            continue
         top_size = sizes[high - 1]
         if high == 1 and free - top_size * min(counts[top_size], free // top_size) > best:
             continue
-        # Skipping a size is worth it only while smaller ones remain; dominated single swaps go.
         if high > 1:
             stack.append((free, high - 1, taken))
         else:
@@ -103,7 +126,8 @@ def fillings(
     for free, filling in found:
         if every and any(filling.count(n) < counts[n] for n in itertools.takewhile(lambda n: n <= free, sizes)):
             continue
-        out[filling] = None
+        if not any(dominated(filling, x) for x in out):
+            out[filling] = None
         if len(out) == keep:
             break
     return list(out) or [()]
@@ -115,19 +139,52 @@ def bound(counts: dict[int, int], capacity: int) -> int:
     return max(-(-total // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
 
 
+def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing over the histogram; equal sequences are handled as one."""
+    rooms: list[int] = []  # ascending
+    held: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+
+    def put(room: int, pattern: tuple[int, ...], times: int) -> None:
+        if room not in held:
+            bisect.insort(rooms, room)
+            held[room] = []
+        held[room].append((pattern, times))
+
+    for n in sorted(histogram, reverse=True):
+        left = histogram[n]
+        while left:
+            k = bisect.bisect_left(rooms, n)
+            room = rooms[k] if k < len(rooms) else capacity
+            if k < len(rooms):
+                pattern, times = held[room].pop()
+                if not held[room]:
+                    rooms.pop(k)
+                    del held[room]
+            else:
+                pattern, times = (), left
+            each = min(room // n, left)
+            use = min(times, left // each)
+            put(room - each * n, pattern + (n,) * each, use)
+            if use < times and pattern:
+                put(room, pattern, times - use)
+            left -= each * use
+    return [x for group in held.values() for x in group]
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = BRANCH_STEPS) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how often each is used; together they use the histogram up.
 
     Bin completion: fill the sequence of the largest remaining length first, branch over its
     fillings, drop a branch whose sequences plus the bound of what remains are no fewer than
-    the incumbent's. The first dive is the best-fit incumbent. Each of its frames lists its
-    further fillings when the search comes back to it; ``steps`` bounds the search after the
+    the incumbent's. Best-fit decreasing is the first incumbent, so the result is never worse.
+    The first dive takes the best filling of each frame, as often as it can; a frame lists its
+    further fillings when the search comes back to it. ``steps`` bounds the search after the
     first dive, not the pieces that are packed.
     """
     goal = bound(histogram, capacity)
-    best: list[tuple[tuple[int, ...], int]] = []
-    best_used: float = float("inf")
     start = {n: c for n, c in histogram.items() if c}
+    best = best_fit(start, capacity)
+    best_used = sum(times for _, times in best)
     trail: list[tuple[tuple[int, ...], int]] = []
     # What remains, sequences so far, choices (pattern, times), the next choice, whether all choices are listed.
     frames: list[tuple[dict[int, int], int, list[tuple[tuple[int, ...], int]], int, bool]] = []
@@ -150,11 +207,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = BRANC
 
     counts, used = start, 0
     spent = 0
+    dived = False
     while True:
         if not counts and used < best_used:
             best, best_used = list(trail), used
         dead = not counts or used + bound(counts, capacity) >= best_used
-        if dead and (best_used <= goal or spent >= steps):
+        dived |= dead
+        if best_used <= goal or (dead and spent >= steps):
             return best
         if not dead:
             frames.append((counts, used, options(counts, False), 0, False))
@@ -177,8 +236,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = BRANC
         counts = {n: c for n, c in ((n, c - need.get(n, 0) * times) for n, c in counts.items()) if c}
         trail.append((pattern, times))
         used += times
-        if best_used != float("inf"):
-            spent += 1
+        spent += dived
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -199,20 +257,20 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 
 def assign(spark: SparkSession, cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset``; collects only the histogram (``capacity`` rows at most)."""
-    part = F.pmod(F.xxhash64("row_key", "piece"), F.lit(RANK_PARTS)).alias("part")
-    dealt = cut.withColumn("part", part)
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    places = spark.createDataFrame(slots(plan(histogram, capacity)) or [], "length long, lo long, hi long, first long, offset long")
+    places = places.groupBy("length").agg(F.collect_list(F.struct("lo", "hi", "first", "offset")).alias("places"))
+    rows = max(ROWS_PER_RANK, sum(histogram.values()) // RANK_PARTS)
+    parts = {n: -(-c // rows) for n, c in histogram.items()}
+    dealt = spark.createDataFrame(sorted(parts.items()), "length long, parts long").join(places, "length")
+    dealt = cut.join(F.broadcast(dealt), "length")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("row_key", "piece"), F.col("parts")))
     by_part = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r.length: r.n for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    places = spark.createDataFrame(
-        slots(plan(histogram, capacity)) or [], "length long, lo long, hi long, first long, offset long"
-    )
-    places = places.groupBy("length").agg(F.collect_list(F.struct("lo", "hi", "first", "offset")).alias("places"))
     within = Window.partitionBy("length", "part").orderBy("row_key", "piece")
-    # At most capacity * RANK_PARTS and capacity rows: both sides are bounded at any input size.
     ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(F.broadcast(base), ["length", "part"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("base")).join(F.broadcast(places), "length")
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("base"))
     place = F.filter("places", lambda p: (p["lo"] <= F.col("rank")) & (F.col("rank") < p["hi"]))[0]
     ranked = ranked.withColumn("place", place)
     sequence = F.col("place.first") + F.col("rank") - F.col("place.lo")

@@ -1,19 +1,21 @@
 from __future__ import annotations
 
+import bisect
 import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm import id_files, packing, range_coder
-from quillspark.llm.tokens import END_BYTES, ChunkEncoder, tokenizer_path
+from quillspark.llm import id_files, packing, range_coder, tokens
+from quillspark.llm.tokens import END_ID, ChunkEncoder, tokenizer_path
 
 ODD = [
     "", " ", "a  b", "\n\n\nx", " lead", "trail ", "a\t b", "a\t \tb", "x y z", "\n", "don't we'll  go\n\n\n", "a \n b", "é\r\nb", "\x1c a b",
-    "one, two. three", "one,, two.. end.", "5, 6. 7", "naïve, café.", "word.\nNext, line", "<|endoftext|> hi", "a\r, b", "x . y , z",
+    "one, two. three", "one,, two.. end.", "5, 6. 7", "naïve, café.", "word.\nNext, line", "<|endoftext|> hi", "a\r, b", "x . y , z", "\r", "\r\r", "a \r\r b", "x\ny\nz", "a\xa0b c",
 ]
 
 
@@ -23,11 +25,32 @@ def encoder():
 
 
 def plain(encoder, text):
-    return np.array(encoder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    return [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, END_ID]
+
+
+def encoded(encoder, texts):
+    ids, at = encoder.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
 
 
 def test_encoder_equals_tokenizer(encoder):
-    assert encoder.encode(ODD) == [plain(encoder, t) for t in ODD]
+    for _ in range(3):  # new, seen, and kept
+        assert encoded(encoder, ODD) == [plain(encoder, t) for t in ODD]
+    assert encoded(encoder, []) == []
+
+
+def test_encoder_keeps_a_bounded_cache(encoder, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 20_000)
+    rng = np.random.default_rng(2)
+    for _ in range(12):
+        texts = [" ".join("w" + str(rng.integers(0, 400)) for _ in range(60)) + "." for _ in range(5)]
+        assert encoded(encoder, texts) == [plain(encoder, t) for t in texts]
+        assert encoder.held <= 20_000 and len(encoder.slots) < 200
+
+
+def test_encoder_takes_very_long_texts(encoder):
+    text = "ab cd\nef, " * 200_000 + "end"
+    assert encoded(encoder, [text, "x", text + "  "]) == [plain(encoder, t) for t in (text, "x", text + "  ")]
 
 
 @settings(max_examples=60, deadline=None)
@@ -35,7 +58,7 @@ def test_encoder_equals_tokenizer(encoder):
 def test_encoder_property(texts):
     encoder = ChunkEncoder(tokenizer_path()) if not hasattr(test_encoder_property, "e") else test_encoder_property.e
     test_encoder_property.e = encoder
-    assert encoder.encode(texts) == [plain(encoder, t) for t in texts]
+    assert encoded(encoder, texts) == [plain(encoder, t) for t in texts]
 
 
 def best(lengths, capacity):
@@ -93,11 +116,45 @@ def test_plan_is_near_the_bound_and_whole():
     assert packing.plan({}) == []
 
 
+def best_fit_decreasing(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(rooms, n)
+        bisect.insort(rooms, (rooms.pop(k) if k < len(rooms) else capacity) - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize(("low", "high", "n"), [(400, 1000, 300), (500, 900, 2000), (600, 1100, 5000), (1, 2048, 3000)])
+def test_plan_is_never_worse_than_best_fit_decreasing(low, high, n):
+    lengths = np.random.default_rng(low).integers(low, high + 1, n).tolist()
+    histogram = {x: lengths.count(x) for x in set(lengths)}
+    fewest = best_fit_decreasing(lengths, 2048)
+    for patterns in (packing.best_fit(histogram), packing.plan(histogram)):
+        assert sorted(x for p, times in patterns for x in p * times) == sorted(lengths)
+        assert all(sum(p) <= 2048 for p, _ in patterns)
+        assert sum(times for _, times in patterns) <= fewest
+
+
+def test_dominated_fillings_go():
+    assert packing.dominated((5, 3), (6, 3)) and packing.dominated((3, 3), (7,)) and packing.dominated((), (1,))
+    assert not packing.dominated((6, 3), (5, 4)) and not packing.dominated((1,), ())
+    assert packing.fillings(10, [2, 3, 5, 9], {2: 1, 3: 1, 5: 1, 9: 1}, every=True) == [(5, 3, 2), (9,)]
+
+
+def test_ranks_in_parts_give_the_same_packing(spark, monkeypatch):
+    """A length that many pieces share is ranked in several parts."""
+    monkeypatch.setattr(packing, "ROWS_PER_RANK", 3)
+    docs = spark.createDataFrame([(k % 5, "one two") for k in range(50)] + [(9, "word " * 2500)] * 3, "doc_id long, text string")
+    got = packing.pack(docs).collect()
+    assert len(got) == 56 and len({(r.sequence_id, r.offset) for r in got}) == 56
+    assert all(r.offset + r.length <= 2048 for r in got)
+
+
 ROWS = [(3, "a b"), (None, "q"), (1, None), (2, "word " * 9000), (2, "word " * 9000), (7, ""), (9, "x, y. z\n" * 50)]
 
 
 def whole(encoder):
-    return [(d, (encoder.encode([t or ""])[0] + END_BYTES)) for d, t in ROWS]
+    return [(d, np.array(plain(encoder, t or ""), "<u4").tobytes()) for d, t in ROWS]
 
 
 def test_pack_digest(spark, encoder):
