@@ -9,13 +9,16 @@ A token can have a label other than O only if it has a digit or ``@`` or is one
 joining words; all others are O for certain, which parts a document's chain into short runs
 that are decoded exactly, in numpy batches.
 
-Defined results: null text counts as empty and has no spans; null ids, ties and repeated
+Defined results: null text counts as empty and has no spans; texts of any length are searched
+whole, in time that grows no faster than they do, digit runs of any length included; null ids, ties and repeated
 rows pass through one to one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -29,8 +32,10 @@ from .common import id_and_text, text_slices
 
 #: Kinds in the order in which they are listed, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An e-mail address is a run of LOCAL characters, "@" and a DOMAIN; an IP address four parts of a DOTTED run.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -67,9 +72,10 @@ LABELLED = [
 JOINING = {"at", "dot", "(at)", "(dot)", "[at]", "[dot]"}
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 TOKEN = re.compile(r"\S+")
-TAGGABLE = re.compile(r"[0-9@]|[(\[]at[)\]]")
-#: What a text needs for any token of it to be taggable (see can_be_tagged).
-NEEDED = re.compile(r"[0-9@]|[(\[]at[)\]]|\b[aA][tT]\s+(?:\S+\s+)?(?:[(\[]?[dD][oO][tT]\b|\S*\.[^\s.,])")
+TAGGABLE = re.compile(r"[0-9@]|[(\[][aA][tT][)\]]")
+#: A word "at", with the two words after it.
+AT_WORD = re.compile(r"(?<!\S)(?:[aA][tT]|\([aA][tT]\)|\[[aA][tT]\])(?=\s+(\S+)(?:\s+(\S+))?)")
+AT, DOT = frozenset(("at", "(at)", "[at]")), frozenset(("dot", "(dot)", "[dot]"))
 VARIANTS = 6
 
 
@@ -81,14 +87,51 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Matches of the e-mail pattern, found from each "@" outward in linear time."""
+    out = []
+    low, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > low and text[start - 1] in LOCAL:
+            start -= 1
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        low = m.end() if m else at + 1
+        if m:
+            out.append((start, low))
+        at = text.find("@", low)
+    return out
+
+
+def small(part: str) -> bool:
+    """Whether a run of digits, of any length, is a number up to 255."""
+    part = part.lstrip("0")
+    return len(part) < 3 or (len(part) == 3 and part <= "255")
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Matches of the IP pattern with small parts: each next four parts of a dotted run."""
+    out = []
+    for m in DOTTED.finditer(text):
+        run = m.group()
+        if run.count(".") < 3:
+            continue
+        at = m.start()
+        parts = run.split(".")
+        for k in range(0, len(parts) - 3, 4):
+            size = sum(map(len, parts[k : k + 4])) + 3
+            if all(map(small, parts[k : k + 4])):
+                out.append((at, at + size))
+            at += size + 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the patterns' matches that pass their checks."""
-    out: list[tuple[int, int, int]] = []
-    if "@" in text:
-        out += [(0, *m.span()) for m in EMAIL.finditer(text)]
+    out: list[tuple[int, int, int]] = [(0, *s) for s in emails(text)]
     if DIGIT.search(text) is None:
         return out
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [(1, *s) for s in addresses(text)]
     for m in CARD.finditer(text):
         digits = re.sub(r"[\x20-]", "", m.group())
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -124,14 +167,37 @@ def token_features(words: list[str], i: int) -> list[str]:
     return out
 
 
+def _address_follows(after: list[str]) -> bool:
+    """Whether the two words after an "at" can go on with an address."""
+    return any(x.lower() in DOT or "." in x.rstrip(".,") for x in after)
+
+
+def may_be_tagged(text: str) -> bool:
+    """Whether ``can_be_tagged`` is true of any word; says so without splitting the text."""
+    if TAGGABLE.search(text):
+        return True
+    return any(_address_follows([x for x in m.groups() if x]) for m in AT_WORD.finditer(text))
+
+
 def can_be_tagged(words: list[str]) -> np.ndarray:
-    """Tokens that may have a label other than O."""
+    """Tokens that may have a label other than O.
+
+    Around an "at" these are the name before it and the parts after it, as far as "dot" and
+    names alternate on either side, and five words in any case.
+    """
     on = np.fromiter((TAGGABLE.search(w) is not None for w in words), bool, len(words))
+    done = 0
     for i, w in enumerate(words):
-        if w.lower() in ("at", "(at)", "[at]") and any(
-            x.lower() in ("dot", "(dot)", "[dot]") or "." in x.rstrip(".,") for x in words[i + 1 : i + 3]
-        ):
-            on[max(0, i - 1) : i + 6] = True
+        if w.lower() not in AT or not _address_follows(words[i + 1 : i + 3]):
+            continue
+        low = max(0, i - 1)
+        while low - 2 >= done and words[low - 1].lower() in DOT:
+            low -= 2
+        high = i + 1
+        while high + 2 < len(words) and words[high + 1].lower() in DOT:
+            high += 2
+        done = max(i, high)
+        on[low : max(high + 1, i + 6)] = True
     return on
 
 
@@ -166,7 +232,7 @@ def _plausible(kind: int, value: str) -> bool:
         return "@" in value or re.search(r"\bat\b", value, re.I) is not None
     if kind == 1:
         parts = re.findall(r"[0-9]+", value)
-        return len(parts) >= 4 and all(int(p) <= 255 for p in parts[:4])
+        return len(parts) >= 4 and all(map(small, parts[:4]))
     if any(c.isalpha() for c in value):
         return False
     return digits in (CARD_DIGITS if kind == 2 else PHONE_DIGITS)
@@ -178,7 +244,7 @@ def added_spans(texts: list[str], model: crf.Model, bases: list[list[tuple[int,
     lengths: list[int] = []
     where: list[tuple[int, int, int]] = []
     for n, text in enumerate(texts):
-        if NEEDED.search(text) is None:
+        if not may_be_tagged(text):
             continue
         found = list(TOKEN.finditer(text))
         words = [m.group() for m in found]
@@ -205,6 +271,8 @@ def added_spans(texts: list[str], model: crf.Model, bases: list[list[tuple[int,
     tags = np.zeros(len(where), np.int8)
     tags[at[mask]] = crf.viterbi(emit[at], mask, model.step)[mask]
     i = 0
+    taken = [sorted((s, e) for _, s, e in base) for base in bases]
+    furthest = [list(itertools.accumulate((e for _, e in t), max)) for t in taken]
     starts = set(first.tolist())
     while i < len(tags):
         t = tags[i]
@@ -219,7 +287,8 @@ def added_spans(texts: list[str], model: crf.Model, bases: list[list[tuple[int,
         value = texts[n][a:b]
         a += len(value) - len(value.lstrip(",;!?\"'.:"))
         b -= len(value) - len(value.rstrip(",;!?\"'.:"))
-        clear = all(b <= s or e <= a for _, s, e in bases[n])
+        k = bisect.bisect_left(taken[n], (b,))  # spans that begin before b
+        clear = k == 0 or furthest[n][k - 1] <= a
         if a < b and clear and _plausible(kind, texts[n][a:b]):
             out[n].append((int(kind), a, b))
         i = j
