@@ -7,18 +7,26 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, remainder
 
-#: Documents of either label that a fit uses at most; the bound of what reaches the driver.
-MAX_PER_LABEL = 1200
+#: Documents of either label that a fit uses at most, and characters of such a document; together
+#: they bound what reaches the driver. Longer documents are scored like any other.
+MAX_PER_LABEL, MAX_CHARS = 1200, 50_000
 
 
 def sample(
-    docs: DataFrame, labels: DataFrame, label: str, divisor: int, held_out: int, train_if_equal: bool, max_per_label: int = MAX_PER_LABEL
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    divisor: int,
+    held_out: int,
+    train_if_equal: bool,
+    max_per_label: int = MAX_PER_LABEL,
+    max_chars: int = MAX_CHARS,
 ) -> tuple[list[str], list[int], dict[int, int]]:
     """Texts and labels of a fixed pseudo-random sample, and how many usable labels there are.
 
     A row is usable if its label is 0 or 1 and crc32(doc_id) mod ``divisor`` differs from
     ``held_out`` (or equals it, with ``train_if_equal``). Ids with two different labels are
-    not used.
+    not used; of documents with one id the least text is.
     """
     rest = remainder(F.col("doc_id"), divisor)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -30,5 +38,6 @@ def sample(
     parts = [usable.where(F.col("y") == y).orderBy(*order).limit(max_per_label) for y in (0, 1)]
     # At most 2 * max_per_label rows of two numbers.
     chosen = F.broadcast(parts[0].union(parts[1]))
-    found = id_and_text(docs).join(chosen, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    found = id_and_text(docs).join(chosen, "doc_id").where(F.length("text") <= max_chars)
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy("doc_id").collect()
     return [r.text for r in found], [r.y for r in found], counts

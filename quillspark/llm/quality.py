@@ -28,8 +28,8 @@ DIVISOR, HELD_OUT = 3, 1
 PASSAGE = 512
 HIDDEN = 12
 ROUNDS = 250
-#: Bytes of text in one vectorised step.
-SLICE = 2_000_000
+#: Bytes of text in one vectorised step, whose arrays take some sixty times as much.
+SLICE = 600_000
 
 #: Byte classes; every other byte is "other".
 CLASS_BYTES = {
@@ -108,6 +108,17 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return f[keep], owner[keep]
 
 
+def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``passages`` of any number of texts, ``SLICE`` bytes at a time."""
+    rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    found, n = [(np.zeros((0, N_FEATURES)), np.zeros(0, np.int64))], 0
+    for part, some in text_slices([rows], SLICE):
+        x, bag = passages(some)
+        found.append((x, bag + n))
+        n += part.num_rows
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def _sums(x: np.ndarray, bag: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(bag, x[:, k], n) for k in range(x.shape[1])], axis=1)
 
@@ -158,7 +169,7 @@ def fit(texts: list[str], y: list[int], counts: dict[int, int], rounds: int = RO
     """Adam over all sampled bags at once, or a constant where labels of both kinds are missing."""
     if not (0 in y and 1 in y):
         return counts.get(1, 0) / max(1, sum(counts.values()))
-    x, bag = passages(texts)
+    x, bag = bags(texts)
     rng = np.random.default_rng(5)
     shape = {"W": (N_FEATURES, hidden), "V": (hidden, hidden), "U": (hidden, hidden), "w": (hidden,), "c": (hidden,)}
     p = {k: rng.normal(0, 0.3, s) for k, s in shape.items()} | {"b": np.zeros(hidden), "d": np.array(0.0)}
@@ -226,14 +237,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, max_per_
         texts = [t or "" for t in text.tolist()]
         if not isinstance(model, Attention):
             return pd.Series([model >= keep_at] * len(texts))
-        out: list[np.ndarray] = []
-        start = held = 0
-        for i, t in enumerate([*texts, None]):
-            if t is None or (held and held + len(t) > SLICE):
-                if i > start:
-                    out.append(model.forward(*passages(texts[start:i]), i - start)["s"] >= keep_at)
-                start, held = i, 0
-            held += len(t or "")
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+        return pd.Series(model.forward(*bags(texts), len(texts))["s"] >= keep_at)
 
     return docs.where(good(F.col("text").cast("string")))
