@@ -7,10 +7,13 @@ affix, shape and neighbour features. Every token of every document then gets its
 forward-backward marginal; the marginals of a document add up to its score (through a
 logistic link fitted on the sample), and runs of likely tokens are the offending spans.
 
-Chains are cut at document ends and every ``CHAIN`` tokens, so a batch is one grid.
+A chain is a whole document, however long. The recursions run over all documents of a batch
+at once, one word of each at a step, on odds instead of logarithms: with two labels a message
+is one number, and a step is one fraction. The fit sees pieces of ``FIT_TOKENS`` tokens, at
+most ``MAX_CHAINS`` with a marked word and as many without one.
 
-Defined results: null and empty texts score like any text without a toxic word; null ids
-are scored too; repeated rows get the same score; without labels of both kinds the score is
+Defined results: null and empty texts score like any text without a toxic word; very long
+texts take time in proportion to their words; null ids are scored too; repeated rows get the same score; without labels of both kinds the score is
 the share of label 1 (0 without any); an empty table gives no rows; other columns are ignored.
 """
 
@@ -31,10 +34,11 @@ from .common import id_and_text, remainder, text_slices
 from .labelled import MAX_PER_LABEL, sample
 
 DIVISOR, HELD_OUT = 5, 0
-CHAIN = 64
+#: Tokens of a labelled piece in the fit.
+FIT_TOKENS = 64
 #: Marking a word as toxic: log-likelihood ratio and ratio of document shares.
 MIN_EVIDENCE, MIN_RATIO = 9.0, 10.0
-#: Chains with a marked word in the fit at most, and as many without one.
+#: Pieces with a marked word in the fit at most, and as many without one.
 MAX_CHAINS = 1200
 #: Marginal from which a token belongs to a span.
 SPAN_AT = 0.5
@@ -60,16 +64,92 @@ def own_features(word: str) -> list[str]:
 
 @dataclass
 class ToxicModel:
-    chain: crf.Model
+    """Log odds of label 1 by feature, odds of the steps between labels, and the link to a score."""
+
+    odds: dict[str, float]
+    step: np.ndarray
     link: tuple[float, float, float]
 
-    def tables(self, word: str) -> tuple[float, float, float]:
-        """What a word adds to the log odds of its own label, the next one's and the one before."""
-        c = core(word)
-        own = self.chain.emission(own_features(word))
-        after = self.chain.emission(["-1=" + c])
-        before = self.chain.emission(["+1=" + c])
-        return own[1] - own[0], after[1] - after[0], before[1] - before[0]
+    @classmethod
+    def of(cls, chain: crf.Model) -> ToxicModel:
+        odds = {f: float(w[1] - w[0]) for f, w in chain.weights.items()}
+        return cls(odds, np.exp(chain.step), (0.0, 0.0, 0.0))
+
+    def tables(self, words: Iterable[str]) -> list[tuple[float, float, float]]:
+        """What each word adds to the log odds of its own label, the next one's and the one before.
+
+        The first is the sum over ``own_features``, looked up by kind of feature so that no
+        feature has to be spelled out for each of very many words.
+        """
+        kinds: dict[str, dict[str, float]] = {}
+        for f, v in self.odds.items():
+            kind, _, rest = f.partition("=")
+            kinds.setdefault(kind, {})[rest] = v
+        word, after, before, p4, p5, p6, p7, s3, s5 = (kinds.get(k, {}).get for k in ("w", "-1", "+1", "p4", "p5", "p6", "p7", "s3", "s5"))
+        bias, upper, title, edge = (self.odds.get(f, 0.0) for f in ("bias", "upper", "title", "edge"))
+        out = []
+        for w in words:
+            low = w.lower()
+            c = low.strip(EDGE)
+            n = len(c)
+            own = bias + word(c, 0.0)
+            if n > 3:
+                own += s3(c[-3:], 0.0)
+                if n > 4:
+                    own += p4(c[:4], 0.0)
+                    if n > 5:
+                        own += p5(c[:5], 0.0) + s5(c[-5:], 0.0)
+                        if n > 6:
+                            own += p6(c[:6], 0.0)
+                            if n > 7:
+                                own += p7(c[:7], 0.0)
+            if w[:1].isupper():
+                own += upper if w.isupper() else title
+            if c != low:
+                own += edge
+            out.append((own, after(c, 0.0), before(c, 0.0)))
+        return out
+
+
+def chain_odds(emit: np.ndarray, sizes: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Odds of label 1 for each token of each chain, given the log odds that its features add.
+
+    ``emit`` has the chains one after the other, ``step`` the exponentials of the label-to-label
+    weights. Tokens are dealt so that the k-th tokens of all chains that have one lie together,
+    longer chains first; a recursion is a few vector operations on each such row.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    lane = np.empty(len(sizes), np.int64)
+    lane[order] = np.arange(len(sizes))
+    longest = int(sizes.max(initial=0))
+    active = np.cumsum(np.bincount(sizes, minlength=longest + 1)[::-1])[::-1][1:]  # chains longer than k
+    row = np.append(0, np.cumsum(active))
+    depth = np.arange(len(emit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = row[depth] + np.repeat(lane, sizes)
+    e = np.empty(len(emit))
+    e[at] = np.exp(np.clip(emit, -60, 60))
+    fwd, bwd = e.copy(), np.ones(len(emit))
+    (s00, s01), (s10, s11) = step.tolist()
+    rows = row.tolist()
+    for k in range(1, longest):
+        a, b, c = rows[k - 1], rows[k], rows[k + 1]
+        m = fwd[a : a + c - b]
+        top = m * s11
+        top += s01
+        low = m * s10
+        low += s00
+        top /= low
+        fwd[b:c] *= top
+    for k in range(longest - 2, -1, -1):
+        a, b, c = rows[k], rows[k + 1], rows[k + 2]
+        m = e[b:c] * bwd[b:c]
+        top = m * s11
+        top += s10
+        m *= s01
+        m += s00
+        np.divide(top, m, out=bwd[a : a + c - b])
+    fwd *= bwd
+    return fwd[at]
 
 
 class Scorer:
@@ -86,38 +166,25 @@ class Scorer:
             if len(self.index) + len(new) > MAX_CACHED:
                 self.index, self.table = {}, np.zeros((0, 3))
                 new = set(words)
-            rows = np.array([self.model.tables(w) for w in new])
+            rows = np.array(self.model.tables(new))
             self.index.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate([self.table, rows])
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
     def marginals(self, docs: list[list[str]]) -> list[np.ndarray]:
         """P(toxic) of each word of each document."""
-        sizes = [len(d) for d in docs]
+        sizes = np.array([len(d) for d in docs], np.int64)
         words = [w for d in docs for w in d]
         if not words:
             return [np.zeros(0) for _ in docs]
-        t = self.table_rows(words)
-        pieces = [min(CHAIN, n - k) for n in sizes for k in range(0, n, CHAIN)]
-        at, mask = crf.grid(pieces)
-        own, after, before = t[:, 0], t[:, 1], t[:, 2]
-        emit = own[at]
-        emit[1:] += np.where(mask[1:], after[at[:-1]], 0)
-        emit[:-1] += np.where(mask[1:], before[at[1:]], 0)
-        s = self.model.chain.step
-        fwd, bwd = np.empty_like(emit), np.zeros_like(emit)
-        fwd[0] = emit[0]
-        for k in range(1, len(emit)):
-            m = fwd[k - 1]
-            fwd[k] = emit[k] + np.logaddexp(s[0, 1], s[1, 1] + m) - np.logaddexp(s[0, 0], s[1, 0] + m)
-        for k in range(len(emit) - 2, -1, -1):
-            m = emit[k + 1] + bwd[k + 1]
-            new = np.logaddexp(s[1, 0], s[1, 1] + m) - np.logaddexp(s[0, 0], s[0, 1] + m)
-            bwd[k] = np.where(mask[k + 1], new, 0)
-        odds = np.zeros(len(words))
-        odds[at[mask]] = (fwd + bwd)[mask]
-        prob = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-        return np.split(prob, np.cumsum(sizes)[:-1])
+        own, after, before = self.table_rows(words).T
+        inner = np.ones(len(words) + 1, bool)  # whether a word has one before it in its document
+        inner[np.append(0, np.cumsum(sizes))] = False
+        emit = own.copy()
+        emit[1:] += np.where(inner[1:-1], after[:-1], 0)
+        emit[:-1] += np.where(inner[1:-1], before[1:], 0)
+        odds = chain_odds(emit, sizes, self.model.step)
+        return np.split(odds / (1 + odds), np.cumsum(sizes)[:-1])
 
     def table_rows(self, words: list[str]) -> np.ndarray:
         ids = self._ids(words)
@@ -134,7 +201,7 @@ def _summary(prob: np.ndarray) -> tuple[float, float]:
     return (float(np.log1p(prob.sum())), float(prob.max())) if len(prob) else (0.0, 0.0)
 
 
-def fit(texts: list[str], y: list[int], counts: dict[int, int], chain: int = CHAIN) -> ToxicModel | float:
+def fit(texts: list[str], y: list[int], counts: dict[int, int], tokens: int = FIT_TOKENS) -> ToxicModel | float:
     """The model, or a constant score where labels of both kinds are missing."""
     if not (0 in y and 1 in y):
         return counts.get(1, 0) / max(1, sum(counts.values()))
@@ -153,31 +220,29 @@ def fit(texts: list[str], y: list[int], counts: dict[int, int], chain: int = CHA
     feats: list[list[str]] = []
     labels: list[int] = []
     lengths: list[int] = []
-    plain: list[list[str]] = []
-    hot: list[tuple[list[str], list[int]]] = []
+    plain: list[tuple[list[str], int, list[int]]] = []
+    hot: list[tuple[list[str], int, list[int]]] = []
     for d, label in zip(docs, y, strict=True):
-        for k in range(0, len(d), chain):
-            part = d[k : k + chain]
-            tags = [int(label == 1 and core(w) in marked) for w in part]
+        for k in range(0, len(d), tokens):
+            tags = [int(label == 1 and core(w) in marked) for w in d[k : k + tokens]]
             if any(tags):
-                hot.append((part, tags))
+                hot.append((d, k, tags))
             elif label == 0:
-                plain.append(part)
+                plain.append((d, k, tags))
     rng = np.random.default_rng(7)
     taken = [hot[i] for i in sorted(rng.permutation(len(hot))[:MAX_CHAINS])]
     keep = sorted(rng.permutation(len(plain))[: max(len(taken), 20)])
-    for part, tags in [*taken, *((plain[i], [0] * len(plain[i])) for i in keep)]:
-        cores = [core(w) for w in part]
-        for i, w in enumerate(part):
-            fs = own_features(w)
+    for d, k, tags in [*taken, *(plain[i] for i in keep)]:
+        for i in range(k, k + len(tags)):
+            fs = own_features(d[i])
             if i:
-                fs.append("-1=" + cores[i - 1])
-            if i + 1 < len(part):
-                fs.append("+1=" + cores[i + 1])
+                fs.append("-1=" + core(d[i - 1]))
+            if i + 1 < len(d):
+                fs.append("+1=" + core(d[i + 1]))
             feats.append(fs)
         labels += tags
-        lengths.append(len(part))
-    model = ToxicModel(crf.fit(feats, np.array(labels, np.int64), lengths, 2, min_count=4, rounds=25), (0.0, 0.0, 0.0))
+        lengths.append(len(tags))
+    model = ToxicModel.of(crf.fit(feats, np.array(labels, np.int64), lengths, 2, min_count=4, rounds=25))
     scorer = Scorer(model)
     x = np.array([_summary(p) for p in scorer.marginals(docs)])
     model.link = _logistic(x, np.array(y), counts)

@@ -3,9 +3,12 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.llm import crf, forest, licences, pii, quality, secret_scan, toxicity
@@ -46,20 +49,99 @@ def test_chain_against_enumeration():
     assert np.allclose(moves, total_moves)
 
 
-def test_binary_marginals_equal_the_general_ones():
+@pytest.mark.parametrize("n", [9, 500])
+def test_binary_marginals_equal_the_general_ones(n):
+    """Chains are whole documents: nothing is cut at 64 tokens."""
     rng = np.random.default_rng(1)
     words = "alpha beta gamma delta".split()
     weights = {f: rng.normal(size=2) for w in words for f in ("w=" + w, "-1=" + w, "+1=" + w)}
-    model = toxicity.ToxicModel(crf.Model(weights, rng.normal(size=(2, 2))), (0.0, 1.0, 1.0))
-    doc = rng.choice(words, 9).tolist()
-    got = toxicity.Scorer(model).marginals([doc, [], doc[:1]])
-    emit = np.zeros((9, 2))
+    chain = crf.Model(weights, 2 * rng.normal(size=(2, 2)))
+    model = toxicity.ToxicModel.of(chain)
+    doc = rng.choice(words, n).tolist()
+    got = toxicity.Scorer(model).marginals([doc[:3], doc, [], doc[:1], doc])
+    emit = np.zeros((n, 2))
     for i, w in enumerate(doc):
-        emit[i] = model.chain.emission([*toxicity.own_features(w), *(["-1=" + doc[i - 1]] if i else []), *(["+1=" + doc[i + 1]] if i < 8 else [])])
-    at, mask = crf.grid([9])
-    alpha, beta, z, _ = crf.forward_backward(emit[at], mask, model.chain.step)
-    assert np.allclose(got[0], np.exp(alpha + beta - z[None, :, None])[:, 0, 1])
-    assert len(got[1]) == 0
+        emit[i] = chain.emission([*toxicity.own_features(w), *(["-1=" + doc[i - 1]] if i else []), *(["+1=" + doc[i + 1]] if i < n - 1 else [])])
+    at, mask = crf.grid([n])
+    alpha, beta, z, _ = crf.forward_backward(emit[at], mask, chain.step)
+    expected = np.exp(alpha + beta - z[None, :, None])[:, 0, 1]
+    assert np.allclose(got[1], expected) and np.allclose(got[4], expected)
+    assert [len(g) for g in got] == [3, n, 0, 1, n]
+
+
+def test_word_tables_equal_the_features():
+    rng = np.random.default_rng(3)
+    words = ["Alpha", "BETA!", "x", "", "...", "abcdefgh", "abcdefg", "abcdef", "abcde", "abcd", "abc", "Straße,", "7up", "a=b=c", "p4=x"]
+    feats = {f for w in words for f in toxicity.own_features(w)} | {k + toxicity.core(w) for w in words for k in ("-1=", "+1=")}
+    model = toxicity.ToxicModel({f: float(rng.normal()) for f in sorted(feats)}, np.ones((2, 2)), (0.0, 0.0, 0.0))
+    for w, got in zip(words, model.tables(words), strict=True):
+        own = sum(model.odds.get(f, 0.0) for f in toxicity.own_features(w))
+        c = toxicity.core(w)
+        assert np.allclose(got, (own, model.odds["-1=" + c], model.odds["+1=" + c]))
+
+
+#: The patterns of the base spans.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab@@..-_ 1250\n", max_size=40))
+def test_pii_search_equals_the_patterns(text):
+    assert pii.emails(text) == [m.span() for m in EMAIL.finditer(text)]
+    expected = [m.span() for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    assert pii.addresses(text) == expected
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("at AT (at) [At] dot (DOT) a.b .. x. dog 5 q@r , the".split()), max_size=9))
+def test_pii_prefilter_loses_nothing(words):
+    assert pii.may_be_tagged(" ".join(words)) == bool(pii.can_be_tagged(words).any())
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["9" * 10**6 + ".1.1.1", "a" * 10**6 + "@", "@" * 10**5, "1." * 10**5, "+" + "1(" * 10**5, "a@" * 10**5, "5 " * 10**5, "at " * 10**5, "1.2.3.4 " * 20000],
+)
+def test_pii_of_very_long_texts(text):
+    start = time.process_time()
+    pii.base_spans(text)
+    pii.may_be_tagged(text)
+    assert time.process_time() - start < 3
+
+
+def test_pii_spelled_out_addresses():
+    model = pii.fitted()
+    texts = ["john (AT) example (DOT) com", "write to mary at mail dot example dot org please", "nothing at all to see here"]
+    spans = pii.added_spans(texts, model, [[], [], []])
+    assert [len(s) for s in spans] == [1, 1, 0]
+    words = "x first dot last at mail dot dept dot example dot org y".split()
+    on = pii.can_be_tagged(words)
+    assert on[1:12].all() and not on[0]
+
+
+def overlap_free(text):
+    """Candidates by comparing each with all before."""
+    found = [(1, *m.span()) for m in secret_scan.KNOWN.finditer(text)]
+    found += [(0, *m.span(1)) for m in secret_scan.ASSIGNED.finditer(text)]
+    found += [(2, *m.span()) for m in secret_scan.LONG.finditer(text) if re.search(r"[0-9]", m.group())]
+    out = []
+    for c in sorted(found, key=lambda c: (c[0] == 2, c[1], -c[2])):
+        if all(c[2] <= s or e <= c[1] for _, s, e in out):
+            out.append(c)
+    return sorted(out, key=lambda c: c[1])
+
+
+def test_secret_candidates_do_not_overlap():
+    rng = np.random.default_rng(4)
+    bits = ["token=", "sk-", "abcdefghij0123456789", "AKIA", "ABCDEFGHIJ012345", " ", "key:", "eyJ", ".", "ghp_", "secret: ", "/", "z" * 30]
+    for _ in range(300):
+        text = "".join(rng.choice(bits, 12))
+        assert secret_scan.candidates(text) == overlap_free(text)
+    text = "\n".join(f"api_key = 'k{i:030d}'" for i in range(20_000)) + "eyJ" * 100_000
+    start = time.process_time()
+    assert len(secret_scan.candidates(text)) >= 20_000
+    assert time.process_time() - start < 5
 
 
 def area(score, label):
