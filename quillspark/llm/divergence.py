@@ -2,14 +2,17 @@
 
 Each document's character-class histogram and common-word histogram are compared with those
 of its language (the sums over all documents of that language) by Jensen-Shannon distance.
-A document passes if it is close to at least one language reference, so a wrong or missing
-language tag costs nothing. Too short documents skip a test (the minimum-length guards).
-Base rules on length and repeated words come first.
+A document whose language has no reference, because its tag is missing or rare, is held
+against all references and may be close to any. Too short documents skip a test (the
+minimum-length guards). Base rules on length and repeated words come first.
 
-Only DataFrame functions run here; the one shuffle sums a few counters per language.
+Only DataFrame functions run here; the one shuffle sums a few counters per language. The
+counts of each document go to a table in the shared folder, from which the references and
+then the distances are made.
 
-Defined results: null text counts as empty, which fails the base rules; a null language
-makes no reference; rows, ties and repeated ids pass through one to one; an empty table
+Defined results: null text counts as empty, which fails the base rules; texts of any length
+are measured whole; a null language makes no reference, and without any reference only the
+base rules decide; rows, ties and repeated ids pass through one to one; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -18,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import scratch_path
+
 #: Symbol characters, and the character classes.
 SYMBOLS = r"[#*$%&|<>]"
 CLASSES = ["lower", "upper", "digit", "symbol", "punct", "other"]
@@ -29,6 +34,8 @@ COMMON_WORDS = [
     "el", "los", "del", "se", "las", "por", "con", "una", "para", "al",
 ]
 
+#: Share of the documents with a language that a language needs for a reference.
+MIN_SHARE = 0.01
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Guards: characters without white space, and words, that a test needs.
@@ -39,103 +46,120 @@ MAX_CLASS_DISTANCE = 0.31
 MAX_WORD_DISTANCE = 0.29
 
 
+#: Characters of the base rules' white space besides blank and newline.
+RARE_BLANKS = "\t\x0b\x0c\r"
+#: A letter for each common word, in the same order.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[: len(COMMON_WORDS)]
+#: A window's place takes the low bits of its packed hash; longer texts compare all their windows.
+PLACE_BITS = 24
+
+
 def _without(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of each document, all from arrays within its own row."""
+def spaced(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, text (null: empty), even and n_words: the words with one blank between them, and their number."""
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("lang").cast("string").alias("lang"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    gap = r"[\x20\x09-\x0D]+"
-    words = F.array_remove(F.split("text", gap, -1), "")
-    # Words for the histogram: lower case, without the stops that end them.
-    plain = F.split(F.regexp_replace(F.lower("text"), r"[.,;:!?]+(?=[\x20\x09-\x0D]|\z)", ""), gap, -1)
-    common = F.filter(plain, lambda w: w.isin(COMMON_WORDS))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = base.select(
-        "doc_id",
-        "lang",
-        words.alias("words"),
-        lines.alias("lines"),
-        common.alias("frequent"),
-        _without(F.col("text"), gap).alias("solid"),
-    )
+    even = F.col("text")
+    for c in RARE_BLANKS:
+        even = F.replace(even, F.lit(c), F.lit(" "))
+    even = F.replace(F.when(F.col("text").rlike(f"[{RARE_BLANKS}]"), even).otherwise(F.col("text")), F.lit("\n"), F.lit(" "))
+    step = base.withColumn("even", F.trim(F.regexp_replace(even, "  +", " ")))
+    step = step.withColumn("solid", F.replace("even", F.lit(" "), F.lit("")))
+    n = F.when(F.col("even") == "", 0).otherwise(F.length("even") - F.length("solid") + 1)
+    return step.withColumn("n_words", n.cast("long"))
+
+
+def histograms(base: DataFrame) -> DataFrame:
+    """Adds word_chars, n_symbols, classes (that histogram, as counts) and frequent (a letter for each common word)."""
+    step = base
     # Each class is what its removal takes away from what the classes before it left.
     for name, pattern in zip(CLASSES[:-1], [r"\p{Ll}+", r"\p{Lu}+", r"\p{Nd}+", SYMBOLS + "+", r"\p{P}+"], strict=True):
         before = "solid" if name == "lower" else "left"
         step = step.withColumn("next", _without(F.col(before), pattern))
         step = step.withColumn(f"n_{name}", F.length(before) - F.length("next"))
         step = step.drop("left").withColumnRenamed("next", "left")
-    n = F.size("words")
-    windows = F.when(
-        n >= 3,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
-            lambda i: F.struct(
-                F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("w"), i.alias("i")
-            ),
-        ),
-    )
-    step = step.select(
-        "doc_id",
-        "lang",
-        n.cast("long").alias("n_words"),
+    # Words for the histogram: lower case, without the stops that end them; each common one as a letter of its own.
+    plain = F.split(F.regexp_replace(F.lower("even"), r"[.,;:!?]+(?= |\z)", ""), " ", -1)
+    listed = F.array(*map(F.lit, COMMON_WORDS))
+    letter = lambda w: F.substring(F.lit(LETTERS), F.array_position(listed, w).cast("int"), F.lit(1))
+    step = step.withColumn("frequent", F.array_join(F.transform(F.filter(plain, lambda w: w.isin(COMMON_WORDS)), letter), ""))
+    return step.select(
+        *[c for c in base.columns if c != "solid"],
         F.length("solid").cast("long").alias("word_chars"),
         F.col("n_symbol").cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.array_sort(windows).alias("windows"),
-        # Blanks on either side let a plain replacement count whole words.
-        F.concat(F.lit(" "), F.array_join("frequent", "  "), F.lit(" ")).alias("common"),
-        F.size("frequent").alias("n_common"),
-        F.array(*[F.col(f"n_{c}") for c in CLASSES[:-1]], F.length("left")).cast("array<long>").alias("classes"),
-    )
-    same = F.filter(
-        F.transform(
-            "windows",
-            lambda x, i: F.when(
-                (x["w"] == F.get("windows", i + 1)["w"]) | (x["w"] == F.get("windows", i - 1)["w"]), x["i"]
-            ),
-        ),
-        lambda p: p.isNotNull(),
+        F.array(*[F.col(f"n_{c}") for c in CLASSES[:-1]], F.length("left")).alias("classes"),
+        "frequent",
     )
-    step = step.withColumn("at", F.array_sort(same)).drop("windows")
+
+
+def with_common(measured: DataFrame) -> DataFrame:
+    """Adds the common-word histogram, as counts; its last bin holds all other words."""
+    all_ = F.length("frequent")
+    counts = F.transform(F.array(*map(F.lit, LETTERS)), lambda c: (all_ - F.length(F.replace("frequent", c, F.lit("")))).cast("long"))
+    return measured.withColumn("common", F.array_append(counts, F.col("n_words") - all_))
+
+
+def repeats(base: DataFrame) -> DataFrame:
+    """Adds n_dup_lines and n_repeat_words.
+
+    Windows of three words are hashed. Where no hash comes twice no window does, and nothing
+    else is done. In the rest the sorted hashes, with the windows' places in their low bits,
+    show the windows that may be repeated; only these are compared as texts.
+    """
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    step = base.withColumn("lines", lines).withColumn("words", F.split("even", " ", -1))
+    n = F.size("words")
+    last = F.greatest(n - 3, F.lit(0))
+    word = lambda i: F.get("words", i)
+    part = lambda k: F.slice("words", k, F.greatest(n - 2, F.lit(0)))
+    two = F.zip_with(part(1), part(2), lambda a, b: F.xxhash64(a, b))
+    step = step.withColumn("hashes", F.when(n >= 3, F.zip_with(two, part(3), lambda h, c: F.xxhash64(h, c))))
+    place = F.lit((1 << PLACE_BITS) - 1).cast("long")
+    packed = F.transform("hashes", lambda h, i: h.bitwiseOR(place).bitwiseXOR(place).bitwiseOR(i.cast("long")))
+    some = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    step = step.withColumn("packed", F.when(some & (n < 1 << PLACE_BITS), F.sort_array(packed)))
+    high = lambda k: F.shiftright(F.get("packed", k), PLACE_BITS)
+    alike = F.filter("packed", lambda x, k: (high(k + 1) == F.shiftright(x, PLACE_BITS)) | (high(k - 1) == F.shiftright(x, PLACE_BITS)))
+    candidates = F.transform(alike, lambda x: x.bitwiseAND(place).cast("int"))
+    candidates = F.when(some, F.when(n < 1 << PLACE_BITS, candidates).otherwise(F.sequence(F.lit(0), last)))
+    window = F.transform(candidates, lambda i: F.struct(F.concat_ws(" ", word(i), word(i + 1), word(i + 2)).alias("w"), i.alias("i")))
+    step = step.withColumn("windows", F.sort_array(window))
+    other = lambda k: F.get("windows", k)["w"]
+    same = F.filter("windows", lambda x, k: (x["w"] == other(k + 1)) | (x["w"] == other(k - 1)))
+    step = step.withColumn("at", F.array_sort(F.transform(same, lambda x: x["i"])))
     covered = F.aggregate(
-        F.transform("at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("at", i + 1) - p, F.lit(3)))),
+        F.transform("at", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("at", k + 1) - p, F.lit(3)))),
         F.lit(0),
         lambda a, x: a + x,
     )
-    counts = [
-        ((F.length("common") - F.length(F.replace("common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long")
-        for w in COMMON_WORDS
-    ]
     return step.select(
-        "doc_id",
-        "lang",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
+        *base.columns,
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        "classes",
-        # The last bin holds all other words.
-        F.when(F.col("n_common") > 0, F.array(*counts, F.col("n_words") - F.col("n_common")))
-        .otherwise(F.array(*[F.lit(0).cast("long")] * len(COMMON_WORDS), F.col("n_words")))
-        .alias("common"),
     )
 
 
-def references(measured: DataFrame) -> DataFrame:
-    """One row per language: the two histograms summed over all its documents, as shares.
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id, lang and the counts of each document, all from arrays within its own row."""
+    return histograms(repeats(spaced(docs))).drop("text", "even")
+
+
+def references(measured: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+    """One row for each language that has ``min_share`` of all documents with one: the two histograms summed, as shares.
 
+    At most ``1 / min_share`` languages have that, so the table is small for any number of tags.
     Sums run per counter with partial aggregation, so a hot language or source is no burden.
     """
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
     sums += [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(len(COMMON_WORDS) + 1)]
-    total = measured.where("lang is not null").groupBy("lang").agg(*sums)
+    total = with_common(measured.where("lang is not null")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums)
+    total = total.join(F.broadcast(total.agg(F.sum("n").alias("tagged")))).where(F.col("n") >= min_share * F.col("tagged"))
     classes = F.array(*[F.col(f"c{i}") for i in range(len(CLASSES))])
     common = F.array(*[F.col(f"w{i}") for i in range(len(COMMON_WORDS) + 1)])
     return total.select("lang", _shares(classes).alias("classes"), _shares(common).alias("common"))
@@ -164,19 +188,28 @@ def judge(
     min_chars: int = MIN_CHARS,
     min_words: int = MIN_HISTOGRAM_WORDS,
 ) -> DataFrame:
-    """The base counts, ``base_failed``, the least distances to any reference, and ``kept``.
+    """The base counts, ``base_failed``, the distances to the references, and ``kept``.
 
-    ``refs`` (as ``references`` makes them) may come from another corpus; by default they
-    are those of all of ``docs``. They have a row per language, which rides along as one
-    array of a few numbers for each language.
+    A document is held against the reference of its language, or against the nearest one if
+    its language has none. ``refs`` (as ``references`` makes them) may come from another
+    corpus; by default they are those of all of ``docs``. They are one row of at most
+    ``1 / MIN_SHARE`` languages, which rides along with the documents.
     """
     measured = measure(docs)
-    refs = references(measured) if refs is None else refs
-    listed = refs.agg(F.collect_list(F.struct("classes", "common")).alias("refs"))
-    both = measured.join(F.broadcast(listed))
-    least = lambda name, shares: F.array_min(F.transform("refs", lambda r: distance(shares, r[name])))
-    both = both.withColumn("class_distance", F.when(F.col("word_chars") >= min_chars, least("classes", _shares(F.col("classes")))))
-    both = both.withColumn("word_distance", F.when(F.col("n_words") >= min_words, least("common", _shares(F.col("common")))))
+    if refs is None:
+        # Some hundred bytes a document, without its text, so that texts are read once.
+        path = scratch_path(docs.sparkSession, "measured")
+        measured.write.parquet(path)
+        measured = docs.sparkSession.read.parquet(path)
+        refs = references(measured)
+    listed = refs.agg(F.collect_list(F.struct("lang", "classes", "common")).alias("refs"))
+    both = with_common(measured).join(F.broadcast(listed))
+    own = F.filter("refs", lambda r: r["lang"] == F.col("lang"))
+    both = both.withColumn("own", F.when(F.size(own) > 0, own).otherwise(F.col("refs")))
+    least = lambda name, shares: F.array_min(F.transform("own", lambda r: distance(shares, r[name])))
+    both = both.withColumns({"p": _shares(F.col("classes")), "q": _shares(F.col("common"))})
+    both = both.withColumn("class_distance", F.when(F.col("word_chars") >= min_chars, least("classes", F.col("p"))))
+    both = both.withColumn("word_distance", F.when(F.col("n_words") >= min_words, least("common", F.col("q"))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word)
     return both.select(

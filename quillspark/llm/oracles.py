@@ -44,14 +44,19 @@ histogram AS (
   SELECT doc_id, lang, 'word', ' other', n_words - coalesce(f.c, 0) FROM counts
     LEFT JOIN (SELECT doc_id, sum(c) AS c FROM frequent GROUP BY doc_id) f USING (doc_id)),
 shares AS (
-  SELECT doc_id, kind, bin, c / greatest(sum(c) OVER (PARTITION BY doc_id, kind), 1) AS p FROM histogram),
+  SELECT doc_id, lang, kind, bin, c / greatest(sum(c) OVER (PARTITION BY doc_id, kind), 1) AS p FROM histogram),
+major AS (
+  SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang
+  HAVING count(*) >= {D.MIN_SHARE} * (SELECT count(lang) FROM documents)),
 refs AS (
   SELECT lang, kind, bin, s / greatest(sum(s) OVER (PARTITION BY lang, kind), 1) AS q
-  FROM (SELECT lang, kind, bin, sum(c) AS s FROM histogram WHERE lang IS NOT NULL GROUP BY lang, kind, bin)),
+  FROM (SELECT lang, kind, bin, sum(c) AS s FROM histogram WHERE lang IN (SELECT lang FROM major) GROUP BY lang, kind, bin)),
 distances AS (
-  SELECT doc_id, kind, lang, sqrt(greatest(sum(
+  SELECT doc_id, shares.kind AS kind, refs.lang AS lang, sqrt(greatest(sum(
     (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2), 0)) AS d
-  FROM shares JOIN refs USING (kind, bin) GROUP BY doc_id, kind, lang),
+  FROM shares JOIN refs ON shares.kind = refs.kind AND shares.bin = refs.bin
+    AND (shares.lang = refs.lang OR shares.lang IS NULL OR shares.lang NOT IN (SELECT lang FROM major))
+  GROUP BY doc_id, shares.kind, refs.lang),
 least_distance AS (
   SELECT doc_id, min(d) FILTER (kind = 'class') AS class_d, min(d) FILTER (kind = 'word') AS word_d FROM distances GROUP BY doc_id),
 judged AS (
