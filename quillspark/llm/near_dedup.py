@@ -3,21 +3,25 @@
 Two documents are linked if the weighted Jaccard similarity of their multisets of five-word
 shingles is at least ``threshold``; classes are the connected components of the links.
 
-1. One pass makes a signature, its bands and a 128-bit key of the multiset; documents with
-   equal multisets (copies) are one class from the start and only their least id goes on.
+1. One pass makes a signature, its bands and a 128-bit key of the multiset. Rows with equal
+   keys (copies) are one node from the start, whatever their ids, and only nodes go on.
 2. Members of a band bucket are verified against the bucket's most central member: n
-   comparisons. Central is who shares bands with most documents, that is the text that the
+   comparisons. Central is who shares bands with most nodes, that is the text that the
    others vary; it leads most buckets of its group, so few of these comparisons differ.
 3. A bucket whose members are still in several components is finished exactly: small ones
-   by all pairs across components, large ones in rounds. Before the rounds, members with too
-   many elements that no other component has cannot reach the threshold and leave. A round
-   compares some members, the leaders, with everything outside their component; the bucket
-   is done once every member outside its largest component has been a leader. So no link
-   that a bucket can show is lost.
-
-Defined results: rows with a null id are left out; a document without words is a class of
-its own; repeated rows get the same class; an empty table gives no rows; other columns are
-ignored.
+   by all pairs across components, large ones by what two members can share. Elements that at
+   most ``RARE`` members of large buckets have name their pairs themselves. Two members that
+   share none of these overlap in common elements only, so those with too few of them leave,
+   and a pair is looked at only if the fewer common elements of the two could reach the
+   threshold. The rest goes in rounds: some members, the leaders, meet everything outside
+   their component; the bucket is done once every member outside its largest component has
+   been a leader. So no link that a bucket can show is lost.
+
+Defined results: rows with a null id are left out of ``near_duplicates`` and take part in
+``keep_one``; a document without words is a class of its own; repeated rows get the same
+class; of an id that stands for several texts each text has its class, and none is lost;
+texts of any length are taken whole; an empty table gives no rows; other columns, of whatever
+name, are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,13 +51,25 @@ PAIRS_PER_PART = 2000
 #: Cells of a fingerprint: how many elements of a set fall into each.
 CELLS = 256
 #: Pairs, and sets, that share a partition.
-PAIRS_PER_TASK, SETS_PER_TASK = 25_000, 20_000
-#: Buckets with several members up to which their table is broadcast (about 40 MB).
-BROADCAST_BUCKETS = 500_000
+PAIRS_PER_TASK, SETS_PER_TASK = 25_000, 2000
+#: Members of large buckets up to which an element that they share makes pairs of them.
+RARE = 8
+#: Buckets with several members, and texts with copies or links, up to which their tables are broadcast (about 40 MB).
+BROADCAST_BUCKETS, BROADCAST_TEXTS = 500_000, 1_000_000
 #: Sets over this size skip the fingerprint test, whose cells hold small numbers.
 MAX_CELLED = 1_000_000
 
 
+def _key(elements: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a multiset."""
+    return int(elements.sum(dtype=np.uint64)), int(mix(elements ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+
+
+def _keys(sets: list[np.ndarray]) -> list[pa.Array]:
+    pairs = np.array([_key(e) for e in sets], np.uint64).reshape(len(sets), 2).view(np.int64)
+    return [pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)]
+
+
 def sketch(docs: DataFrame, width: int = WIDTH, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, k1, k2 (key of the multiset), n (its size) and bands (null without words)."""
 
@@ -60,18 +77,14 @@ def sketch(docs: DataFrame, width: int = WIDTH, n_bands: int = BANDS, rows: int
         for part, texts in text_slices(batches):
             bags = [multiset(t, width) for t in texts]
             n = np.array([c.sum() for _, c in bags], np.int64)
-            key = np.zeros((2, len(bags)), np.uint64)
-            for i, bag in enumerate(bags):
-                if n[i]:
-                    e = occurrences(*bag)
-                    key[:, i] = e.sum(dtype=np.uint64), mix(e ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+            key = _keys([occurrences(*bag) for bag in bags])
             keys = bands(signatures(bags, n_bands * rows), n_bands).view(np.int64)
             flat = pa.array(keys.reshape(-1))
             offsets = pa.array(np.arange(len(bags) + 1, dtype=np.int32) * n_bands)
             listed = pa.ListArray.from_arrays(offsets, flat)
             listed = pa.compute.if_else(pa.array(n > 0), listed, pa.scalar(None, listed.type))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)), pa.array(n), listed],
+                [part.column(0), *key, pa.array(n), listed],
                 names=["doc_id", "k1", "k2", "n", "bands"],
             )
 
@@ -79,7 +92,7 @@ def sketch(docs: DataFrame, width: int = WIDTH, n_bands: int = BANDS, rows: int
 
 
 def elements(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc, its multiset as a set of numbered occurrences, and the set's fingerprint."""
+    """k1, k2, the multiset as a set of numbered occurrences, and the set's fingerprint."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
@@ -89,9 +102,9 @@ def elements(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             cells = [np.bincount((e >> np.uint64(56)).astype(np.int64), minlength=CELLS) for e in sets]
             flat = pa.array(np.minimum(np.concatenate(cells), 32767).astype(np.int16))
             prints = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * CELLS), flat)
-            yield pa.RecordBatch.from_arrays([part.column(0), listed, prints], names=["doc", "e", "cells"])
+            yield pa.RecordBatch.from_arrays([*_keys(sets), listed, prints], names=["k1", "k2", "e", "cells"])
 
-    return docs.mapInArrow(run, "doc long, e array<long>, cells array<short>")
+    return docs.mapInArrow(run, "k1 long, k2 long, e array<long>, cells array<short>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -129,11 +142,6 @@ def _only(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return sets.join(F.broadcast(ids) if few else ids, "doc", "left_semi")
 
 
-def _repeats(sketches: DataFrame) -> bool:
-    """Whether any id stands in more than one row."""
-    return not sketches.groupBy("doc_id").count().where("count > 1").isEmpty()
-
-
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component, with their components."""
     named = labels.select(F.col("node").alias("doc"), "comp")
@@ -150,22 +158,31 @@ def _crossing(open_: DataFrame) -> DataFrame:
     return left.join(right, "bucket").where("a < b and ca <> cb").select("a", "na", "b", "nb")
 
 
-def _linkable(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Members of large buckets that could link to another component, with r.
+def _shared(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs across components that share a rare element, and the members that may link without one, with r.
 
-    r counts a document's elements that some document of another component has as well, among
-    the members of large buckets; no others are in an overlap that matters. Partners have at
-    least the bucket's least size, which bounds the similarity from above.
+    r counts a member's elements that more than ``RARE`` members of large buckets have; two
+    members without a rare element in common share no more than the lesser r. Partners have
+    at least the bucket's least size, which bounds the similarity from above.
     """
-    named = settled(large.select("doc", "comp").distinct())
+    named = settled(large.select("doc", "n", "comp").distinct())
     few = named.count() <= BROADCAST_IDS
-    held = sets.join(F.broadcast(named) if few else named, "doc").select("comp", "doc", F.explode("e").alias("x"))
-    wide = held.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("x")
-    shared = settled(held.join(wide, "x", "left_semi").groupBy("doc").agg(F.count(F.lit(1)).alias("r")))
+    held = sets.join(F.broadcast(named) if few else named, "doc").select("doc", "n", "comp", F.explode("e").alias("x"))
+    seen = held.groupBy("x").agg(F.count(F.lit(1)).alias("held"), F.min("doc").alias("one"))
+    seen = settled(seen.where(F.col("held") <= RARE), 500_000)
+    alone = seen.where("held = 1").groupBy(F.col("one").alias("doc")).agg(F.count(F.lit(1)).alias("alone"))
+    rare = seen.where("held > 1").select("x")
+    few = rare.count() <= BROADCAST_IDS
+    own = settled(held.join(F.broadcast(rare) if few else rare, "x", "left_semi"), 100_000)
+    left = own.select("x", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    right = own.select("x", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    pairs = left.join(right, "x").where("a < b and ca <> cb").select("a", "na", "b", "nb").distinct()
+    some = own.groupBy("doc").agg(F.count(F.lit(1)).alias("some"))
     least = large.groupBy("bucket").agg(F.min("n").alias("least"))
-    bounded = large.join(shared, "doc").join(least, "bucket")
+    bounded = large.join(alone, "doc", "left").join(some, "doc", "left").join(least, "bucket")
+    r = F.col("n") - F.coalesce("alone", F.lit(0)) - F.coalesce("some", F.lit(0))
     reach = F.col("r") >= threshold * (F.col("n") + F.greatest("least", "r") - F.col("r"))
-    return bounded.where(reach).drop("least")
+    return pairs, bounded.withColumn("r", r).where(reach).drop("least", "alone", "some")
 
 
 def _lead(open_: DataFrame, done: DataFrame, leaders: int) -> DataFrame:
@@ -174,24 +191,14 @@ def _lead(open_: DataFrame, done: DataFrame, leaders: int) -> DataFrame:
     largest = held.groupBy("bucket").agg(F.max_by("comp", F.struct("held", "comp")).alias("largest"))
     fresh = open_.join(done, ["bucket", "doc"], "left_anti").join(largest, "bucket").where("comp <> largest")
     slot = F.pmod(F.xxhash64("doc", F.lit(leaders)), F.lit(leaders)).alias("slot")
-    chosen = fresh.groupBy("bucket", slot).agg(F.min(F.struct("doc", "n", "r", "comp")).alias("x"))
+    chosen = fresh.groupBy("bucket", slot).agg(F.min(F.struct("doc", "n", "r", "comp", "all")).alias("x"))
     x = F.col("x")
-    return chosen.select("bucket", x["doc"].alias("a"), x["n"].alias("na"), x["r"].alias("ra"), x["comp"].alias("ca"))
+    return chosen.select("bucket", *[x[c].alias(d) for c, d in (("doc", "a"), ("n", "na"), ("r", "ra"), ("comp", "ca"), ("all", "alla"))])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id and class_id (the least id of its class), one row for each row with an id."""
-    texts = id_and_text(docs).where("doc_id is not null")
-    sketches = checkpoint(sketch(texts, width, n_bands, rows))
-    groups = sketches.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copies = groups.where("copies > 1").select("k1", "k2", "rep")
-    member_of = sketches.where("n > 0").select("doc_id", "k1", "k2").join(copies, ["k1", "k2"], "left")
-    member_of = member_of.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-
-    single = sketches.where("n > 0").join(groups.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
-    repeats = _repeats(sketches)
-    single = single.dropDuplicates(["doc_id"]) if repeats else single
-    banded = single.select(F.col("doc_id").alias("doc"), "n", F.explode("bands").alias("bucket"))
+def _linked(nodes: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(node, comp) of the nodes that have a link; ``comp`` is the least node of the component."""
+    banded = nodes.select(F.col("node").alias("doc"), "n", F.explode("bands").alias("bucket"))
     full = settled(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     few = full.count() <= BROADCAST_BUCKETS
     members = settled(banded.join(F.broadcast(full) if few else full, "bucket"))
@@ -199,11 +206,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     central = members.join(score, "doc").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("doc")).alias("doc"))).alias("x"))
     central = central.select("bucket", (-F.col("x.doc")).alias("leader"))
     members = settled(members.join(F.broadcast(central) if few else central, "bucket"))
-    wanted = settled(members.select(F.col("doc").alias("doc_id")).distinct())
-    few = wanted.count() <= BROADCAST_IDS
-    # A row that repeats an id holds the same text; one of them is enough.
-    kept = elements(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), width)
-    sets = settled(kept.dropDuplicates(["doc"]) if repeats else kept, SETS_PER_TASK)
+    sets = _sets(nodes.join(members.select(F.col("doc").alias("node")).distinct(), "node", "left_semi"), texts, width)
 
     sized = members.select(F.col("doc").alias("leader"), F.col("n").alias("na")).distinct()
     star = members.where("doc <> leader").select("leader", F.col("doc").alias("b"), F.col("n").alias("nb")).distinct()
@@ -214,17 +217,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     open_ = settled(_labelled(members, labels))
     pairs = _crossing(open_.where(F.col("size") <= SMALL_BUCKET))
     large = settled(open_.where(F.col("size") > SMALL_BUCKET))
-    large = settled(_labelled(_linkable(large, sets, threshold).drop("comp"), labels))
+    if not large.isEmpty():
+        rare, large = _shared(large, sets, threshold)
+        pairs = pairs.union(rare)
+        large = settled(_labelled(large.drop("comp"), labels))
+        # A pair meets in the least bucket that both are in, and in no other.
+        all_ = large.groupBy("doc").agg(F.collect_set("bucket").alias("all"))
+        large = settled(large.join(all_, "doc"))
     done = large.select("bucket", F.col("leader").alias("doc")).distinct()
     leaders = FIRST_LEADERS
     while True:
-        chosen = settled(_lead(large, done, leaders))
-        finished = chosen.isEmpty()
+        chosen = None if large.isEmpty() else settled(_lead(large, done, leaders))
+        finished = chosen is None or chosen.isEmpty()
         if not finished:
-            others = large.select("bucket", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("comp").alias("cb"))
+            others = large.select("bucket", *[F.col(c).alias(d) for c, d in (("doc", "b"), ("n", "nb"), ("r", "rb"), ("comp", "cb"), ("all", "allb"))])
             both = F.least("ra", "rb")
             near = (F.col("ca") != F.col("cb")) & (both >= threshold * (F.col("na") + F.col("nb") - both))
-            led = others.join(chosen, "bucket").where(near)
+            first = F.array_min(F.array_intersect("alla", "allb")) == F.col("bucket")
+            led = others.join(chosen, "bucket").where(near & first)
             first = F.col("a") < F.col("b")  # a pair is one pair, whichever leads
             led = led.select(
                 F.least("a", "b").alias("a"),
@@ -239,25 +249,100 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
                 edges = settled(edges.union(new))
                 labels = components(edges)
         if finished:
-            break
+            return labels
         pairs = None
         done = settled(done.union(chosen.select("bucket", F.col("a").alias("doc"))))
         large = settled(_labelled(large.drop("comp"), labels))
         leaders *= 8
 
-    named = labels.select(F.col("node").alias("rep"), "comp")
-    found = member_of.join(named, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
+
+def _sets(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """doc (a node), e and cells of the wanted nodes, each made from one of its rows."""
+    wanted = settled(wanted.select("node", "k1", "k2", "rep"))
+    few = wanted.count() <= BROADCAST_IDS
+    ids = wanted.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct()
+    rows = texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    if not wanted.where("rep is null").isEmpty():
+        rows = rows.union(texts.where("doc_id is null"))
+    found = elements(rows.select("doc_id", "text"), width)
+    named = wanted.select("k1", "k2", F.col("node").alias("doc"))
+    found = checkpoint(found.join(F.broadcast(named) if few else named, ["k1", "k2"]).select("doc", "e", "cells"))
+    n = found.count()
+    # Rows that repeat an id, or have none, may bring a node several times.
+    found = found if n == wanted.count() else checkpoint(found.dropDuplicates(["doc"]))
+    return found.coalesce(max(1, -(-n // SETS_PER_TASK)))
+
+
+def classified(texts: DataFrame, threshold: float, width: int, n_bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """A sketch of each row; and k1, k2, class_id, rep and leads of the multisets with copies or links.
+
+    ``rep`` is the least id of a multiset's rows, ``class_id`` that of its class, and one
+    multiset of each class leads it.
+    """
+    sketches = checkpoint(sketch(texts, width, n_bands, rows))
+    nodes = sketches.where("n > 0").groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
+    )
+    nodes = checkpoint(nodes.withColumn("node", F.monotonically_increasing_id()))
+    labels = _linked(nodes, texts, threshold, width)
+    kept = nodes.select("node", "k1", "k2", "rep", "copies")
+    few = labels.count() <= BROADCAST_TEXTS
+    named = kept.join(F.broadcast(labels) if few else labels, "node", "left")
+    linked = settled(named.where("comp is not null"))
+    order = F.struct(F.col("rep").isNull().alias("none"), "rep", "node")
+    heads = linked.groupBy("comp").agg(F.min("rep").alias("class_id"), F.min(order).alias("head"))
+    linked = linked.join(heads, "comp").select("k1", "k2", "class_id", "rep", (F.col("node") == F.col("head.node")).alias("leads"))
+    copied = named.where("comp is null and copies > 1").select("k1", "k2", F.col("rep").alias("class_id"), "rep", F.lit(True).alias("leads"))
+    return sketches, settled(linked.union(copied))
+
+
+def _with_class(sketches: DataFrame, classes: DataFrame, how: str) -> DataFrame:
+    """Rows with words beside what is known of their text.
+
+    A text may have any number of copies: its rows stay where they are if ``classes`` is small,
+    and else it is their side of the join that Spark splits.
+    """
+    few = classes.count() <= BROADCAST_TEXTS
+    return sketches.where("n > 0").select("doc_id", "k1", "k2").join(F.broadcast(classes) if few else classes, ["k1", "k2"], how)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id and class_id (the least id of its class), one row for each row with an id."""
+    sketches, classes = classified(id_and_text(docs).where("doc_id is not null"), threshold, width, n_bands, rows)
+    found = _with_class(sketches, classes, "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return found.union(sketches.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without all but the least id of each class; rows with a null id stay.
+    """One document of each class, all its columns as they are.
 
-    Where ids repeat, one row of each id stays.
+    The least id stays (of rows without one any, if no other has the text); of rows that also
+    share id and text, one. Documents without words all stay.
     """
-    classes = checkpoint(near_duplicates(docs, threshold))
-    rest = without_ids(docs, classes.where("doc_id <> class_id"))
-    if not _repeats(classes):
+    texts = id_and_text(docs)
+    sketches, classes = classified(texts, threshold, WIDTH, BANDS, ROWS)
+    stays = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("rep"))
+    rest = without_ids(docs, _with_class(sketches, classes, "inner").where(~stays & F.col("doc_id").isNotNull()))
+    repeated = checkpoint(sketches.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")))
+    if repeated.isEmpty() and sketches.where("doc_id is null").isEmpty():
         return rest
-    named = rest.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(rest.where("doc_id is null"))
+    # Ids don't tell the other rows apart, so that these are judged by their texts once more.
+    few = repeated.count() <= BROADCAST_IDS
+    ids = F.broadcast(repeated) if few else repeated
+    same = F.col("doc_id").cast("long") == F.col("__id")
+    plain = rest.where("doc_id is not null").join(ids, same, "left_anti")
+    odd = docs.join(ids, same, "left_semi").unionByName(docs.where("doc_id is null"))
+
+    @F.pandas_udf("k1 long, k2 long, n long")
+    def key(text: pd.Series) -> pd.DataFrame:
+        bags = [multiset(t or "") for t in text]
+        pairs = np.array([_key(occurrences(*b)) for b in bags], np.uint64).reshape(len(bags), 2).view(np.int64)
+        return pd.DataFrame({"k1": pairs[:, 0], "k2": pairs[:, 1], "n": [int(b[1].sum()) for b in bags]})
+
+    text = F.col("text").cast("string")
+    odd = odd.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key(text).alias("key"))
+    odd = odd.select("row", "doc_id", "text", "key.*")
+    few = classes.count() <= BROADCAST_TEXTS
+    worded = odd.where("n > 0").join(F.broadcast(classes) if few else classes, ["k1", "k2"], "left").where(F.col("leads").isNull() | stays)
+    one = worded.groupBy("k1", "k2").agg(F.min_by("row", "text").alias("row"))
+    return plain.unionByName(one.union(odd.where("n = 0").select("k1", "k2", "row")).select("row.*"))

@@ -76,10 +76,39 @@ def test_edges_of_input(spark):
     got = sorted((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(docs).collect())
     assert got == [(1, 1), (2, 2), (3, 3), (3, 3), (4, 3)]
     kept = sorted((r.doc_id or -1, r.text) for r in near_dedup.keep_one(docs).collect() if r.text)
-    assert kept == [(-1, "a b c"), (3, "a b c")]
+    assert kept == [(3, "a b c")]
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_no_text_is_lost_with_repeated_and_null_ids(spark):
+    same = "totally other words stand here for once"
+    rows = [
+        (1, "alpha beta gamma delta epsilon zeta", "p"), (1, same, "q"), (2, same, "r"), (None, "only here and nowhere else at all", "s"),
+        (None, "only here and nowhere else at all", "s"), (None, same, "t"), (4, "once more the same row as before", "u"),
+        (4, "once more the same row as before", "u"), (5, "", "v"), (None, None, "w"), (6, "a single one of its own kind", "x"),
+    ]
+    docs = spark.createDataFrame([(*r, 7, {"a": 1}) for r in rows], "doc_id long, text string, rep string, k1 int, row map<string,int>")
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or -1, r.text or "", r.rep, r.k1) for r in kept.collect())
+    assert got == [
+        (-1, "", "w", 7), (-1, "only here and nowhere else at all", "s", 7), (1, "alpha beta gamma delta epsilon zeta", "p", 7), (1, same, "q", 7),
+        (4, "once more the same row as before", "u", 7), (5, "", "v", 7), (6, "a single one of its own kind", "x", 7),
+    ]
+
+
+@pytest.mark.parametrize("rare", [0, 8])
+def test_shuffled_forms_and_rare_elements(spark, monkeypatch, rare):
+    """No result depends on what is broadcast, or on how many members make an element rare."""
+    for name in ("BROADCAST_IDS", "BROADCAST_BUCKETS", "BROADCAST_TEXTS"):
+        monkeypatch.setattr(near_dedup, name, 0)
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(near_dedup, "RARE", rare)
+    rows = documents(11)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == classes(rows)
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     names = rng.integers(0, 2**63, 60).astype(np.uint64)
