@@ -1,35 +1,38 @@
 """Operator 3: benchmark decontamination over canonical templates.
 
-Texts become templates: names, numbers and units give way to typed placeholders, case and
-punctuation go. Windows of template words are hashed and joined with those of the
-benchmark; matches along one diagonal are one alignment of a document with an item. The
-values that stand in the placeholders must map one to one between the two (an item's "12"
-may have become "15", but then everywhere), which catches re-parameterised questions and
-leaves chance template matches alone.
+Texts become templates: names (capitalised words, at the start of a sentence too), numbers and
+units give way to typed placeholders, neighbouring placeholders of one type to one, so that a
+name may have become two; case and punctuation go. Windows of template words are hashed and
+joined with those of the benchmark; matches along one diagonal are one alignment of a document
+with an item. Each value of an item must stand for one value of the document throughout (an
+item's "12" may have become "15", but then everywhere), and short alignments also the other
+way round. This catches re-parameterised questions and leaves chance template matches alone.
 
 Documents are searched twice. Seeds are short windows: every one of an item, but only each
 fourth of a document, so that any full window that they share has a seed within it. Only
 documents with a seed are then cut into all their windows.
 
-Texts are searched as they are and with neighbouring placeholders of one type taken as one, so
-that a name may have become two. Items with fewer windows than make an alignment (short ones,
-and those dense with placeholders) are also searched whole: by their exact words and, if enough
-of these are no placeholders, by their template.
+Items with fewer windows than make an alignment (short ones, and those dense with placeholders)
+are also searched whole: by their exact words and, if enough of these are no placeholders, by
+their template. Only documents that have such an item's longest word are looked at for that.
 
 Only DataFrame functions run here. The benchmark side is broadcast only if its windows have
 been counted and are few; otherwise the join shuffles.
 
-Defined results: null texts and those without words match nothing, on either side; rows
-with a null id are left out; repeated rows and benchmark items with equal text give the same
-matches; empty tables give no rows; other columns are ignored.
+Defined results: null texts and those without words match nothing, on either side; texts of any
+length are searched whole; rows with a null id are left out of ``contaminated`` and judged like
+any other by ``keep_clean``; repeated rows and benchmark items with equal text give the same
+matches; empty tables give no rows; other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, checkpoint, id_and_text, settled, without_ids
+from .common import BROADCAST_IDS, checkpoint, id_and_text, settled
 
 WINDOW = 8
 #: Words of a window that must not be placeholders.
@@ -38,6 +41,8 @@ MIN_LITERAL = 5
 SEED, SEED_STEP = 5, 4
 #: Matched windows along one diagonal that make an alignment (an item's all, if it has fewer).
 MIN_WINDOWS = 3
+#: Windows from which two values of an item may have become one value of the document.
+LONG = 6
 #: Windows of the benchmark up to which it is broadcast (about 20 MB).
 BROADCAST_WINDOWS = 200_000
 
@@ -49,26 +54,36 @@ UNITS = (
 NAME, NUMBER, UNIT = "§a", "§0", "§u"
 
 
+#: White space besides the blank.
+RARE_BLANKS = "\t\x0b\x0c\r"
+
+
+def spaced(text: Column) -> Column:
+    """The text with a blank for each character of white space, so that places stay."""
+    out = text
+    for c in RARE_BLANKS:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.replace(F.when(text.rlike(f"[{RARE_BLANKS}]"), out).otherwise(text), F.lit("\n"), F.lit(" "))
+
+
 def template(text: Column) -> Column:
-    """The text with typed placeholders, lower case, one canonical word for each of its words.
+    """The (spaced) text with typed placeholders, lower case, one canonical word for each of its words.
 
     Blanks stay as they are; a word of punctuation only becomes an empty one.
     """
     out = F.replace(text, F.lit("§"), F.lit(""))
     # The capital comes first, so that the look behind it is rare.
-    out = F.regexp_replace(out, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})[\p{L}\p{M}'’-]*", NAME)
+    out = F.regexp_replace(out, r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})[\p{L}\p{M}'’-]*", NAME)
     number = r"(?<![\p{L}\p{N}§])[$€£+-]?\p{Nd}+(?:[.,:/]\p{Nd}+)*"
     numbers = F.regexp_replace(out, number + rf"(?:%|{UNITS})?(?![\p{{L}}\p{{N}}])", NUMBER)
     units = F.regexp_replace(numbers, rf"(?<={NUMBER} )(?i:{UNITS})(?![\p{{L}}\p{{N}}])", UNIT)
     out = F.when(text.rlike(r"\p{Nd}"), units).otherwise(out)
-    return F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}§\x20\x09-\x0D]+", "")
-
+    return F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}§ ]+", "")
 
-#: One blank, so that a word that the template empties keeps its place beside the raw one.
-BLANK = r"[\x20\x09-\x0D]"
 
-#: Neighbouring placeholders of one type.
-ADJACENT = r"(?<![^\x20\x09-\x0D])(§[a0u])(?:[\x20\x09-\x0D]+\1)+(?![^\x20\x09-\x0D])"
+def exact(text: Column) -> Column:
+    """The (spaced) text in lower case without punctuation."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N} ]+", "")
 
 
 def _window(words: str, i: Column, size: int | Column) -> Column:
@@ -80,56 +95,58 @@ def _held(joined: Column) -> Column:
     return F.length(joined) - F.length(F.replace(joined, F.lit("§"), F.lit("")))
 
 
+def _goes_on(canon: str, i: Column) -> Column:
+    """Whether a word is a placeholder of the same type as the one before it."""
+    here = F.get(canon, i)
+    return here.isin(NAME, NUMBER, UNIT) & F.coalesce(here == F.get(canon, i - 1), F.lit(False))
+
+
 def seeds(docs: DataFrame, key: str, size: int, seed: int, step: int, max_held: int | None = None) -> DataFrame:
     """key and h of short windows, from each ``step``-th word, of texts of at least ``size`` words.
 
     With ``max_held`` only those with no more placeholders; one side of a join is enough.
     """
-    canon = docs.select(key, template(F.col("text")).alias("canon"))
-    both = F.array("canon", F.regexp_replace("canon", ADJACENT, "$1"))
-    canon = canon.select(key, F.explode(F.when(F.col("canon").rlike(ADJACENT), both).otherwise(F.array("canon"))).alias("canon"))
-    words = canon.select(key, F.array_remove(F.split("canon", BLANK, -1), "").alias("canon"))
-    starts = F.sequence(F.lit(0), F.size("canon") - seed, F.lit(step))
+    canon = docs.select(key, template(spaced(F.col("text"))).alias("text"))
+    canon = canon.select(key, F.col("text").rlike("(§[a0u]) +\\1").alias("runs"), F.array_remove(F.split("text", " ", -1), "").alias("canon"))
+    one = F.filter("canon", lambda _, i: ~_goes_on("canon", i))
+    words = canon.select(key, F.when(F.col("runs"), one).otherwise(F.col("canon")).alias("canon"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("canon") - seed, F.lit(0)), F.lit(step))
 
-    def one(i: Column) -> Column:
+    def hashed(i: Column) -> Column:
         joined = _window("canon", i, seed)
         return F.xxhash64(joined) if max_held is None else F.when(_held(joined) <= max_held, F.xxhash64(joined))
 
-    found = words.where(F.size("canon") >= size).select(key, F.explode(F.transform(starts, one)).alias("h"))
+    # No filter on the words: it would be pushed below, where they are made again for it.
+    listed = F.when(F.size("canon") >= size, F.transform(starts, hashed))
+    found = words.select(key, F.explode(listed).alias("h"))
     return found if max_held is None else found.where("h is not null")
 
 
-def _paired(docs: DataFrame, key: str, canon: Column) -> DataFrame:
+def _paired(docs: DataFrame, key: str, form: Callable[[Column], Column]) -> DataFrame:
     """key, canon and raw: the words of a canonical form and of the text, without those that it empties."""
-    pairs = docs.select(key, F.split(canon, BLANK, -1).alias("canon"), F.split(F.col("text"), BLANK, -1).alias("raw"))
-    full = F.filter(F.arrays_zip("canon", "raw"), lambda x: x["canon"] != "")
-    words = pairs.select(key, full.alias("words")).where(F.size("words") > 0)
-    return words.select(key, F.col("words.canon").alias("canon"), F.col("words.raw").alias("raw"))
-
-
-def forms(words: DataFrame, key: str) -> DataFrame:
-    """key, form, canon and raw: words as they are (0) and, if that differs, neighbouring placeholders as one (1)."""
-    first = F.filter(
-        F.sequence(F.lit(0), F.size("canon") - 1),
-        lambda i: ~(F.get("canon", i).isin(NAME, NUMBER, UNIT) & F.coalesce(F.get("canon", i) == F.get("canon", i - 1), F.lit(False))),
+    step = docs.select(key, spaced(F.col("text")).alias("text"))
+    pairs = step.select(key, F.split(form(F.col("text")), " ", -1).alias("each"), F.split("text", " ", -1).alias("other"))
+    # Arrays of their own: a field of an array of structs would be taken out again for each word.
+    full = F.filter("other", lambda _, i: F.get("each", i) != "")
+    return pairs.select(key, F.array_remove("each", "").alias("canon"), full.alias("raw"))
+
+
+def templated(docs: DataFrame, key: str) -> DataFrame:
+    """key, canon and raw: template words and what stands for them in the text."""
+    # Other names than those of the result, which a lambda would read instead.
+    words = _paired(docs, key, template).withColumnsRenamed({"canon": "each", "raw": "text"})
+    words = words.withColumn("first", F.filter(F.transform("each", lambda _, i: i), lambda i: ~_goes_on("each", i)))
+    until = lambda k: F.coalesce(F.get("first", k + 1), F.size("each"))
+    return words.select(
+        key,
+        F.transform("first", lambda i: F.get("each", i)).alias("canon"),
+        F.transform("first", lambda i, k: F.array_join(F.slice("text", i + 1, until(k) - i), " ")).alias("raw"),
     )
-    words = words.withColumn("first", first)
-    size = F.size("canon")
-    one = F.struct(
-        F.lit(1).alias("form"),
-        F.transform("first", lambda i: F.get("canon", i)).alias("canon"),
-        F.transform(
-            "first", lambda i, k: F.array_join(F.slice("raw", i + 1, F.coalesce(F.get("first", k + 1), size) - i), " ")
-        ).alias("raw"),
-    )
-    plain = F.struct(F.lit(0).alias("form"), F.col("canon"), F.col("raw"))
-    listed = F.when(F.size("first") < size, F.array(plain, one)).otherwise(F.array(plain))
-    return words.select(key, F.explode(listed).alias("w")).select(key, "w.*")
 
 
 def spans(words: DataFrame, key: str, sizes: Column) -> DataFrame:
-    """key, form, size, pos, h, held (number of placeholders) and slots (the values behind them), for each window of each size."""
-    words = words.select(key, "form", "canon", "raw", F.explode(F.filter(sizes, lambda n: n <= F.size("canon"))).alias("size"))
+    """key, size, pos, h, held (number of placeholders) and slots (the values behind them), for each window of each size."""
+    words = words.select(key, "canon", "raw", F.explode(F.filter(sizes, lambda n: n <= F.size("canon"))).alias("size"))
 
     def window(i: Column) -> Column:
         joined = _window("canon", i, F.col("size"))
@@ -147,47 +164,52 @@ def spans(words: DataFrame, key: str, sizes: Column) -> DataFrame:
         )
         return F.struct(i.alias("pos"), F.xxhash64(joined).alias("h"), held.alias("held"), slots.alias("slots"))
 
-    listed = F.transform(F.sequence(F.lit(0), F.size("canon") - F.col("size")), window)
-    return words.select(key, "form", "size", F.explode(listed).alias("w")).select(key, "form", "size", "w.*")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("canon") - F.col("size"), F.lit(0)))
+    listed = F.when(F.size("canon") >= F.col("size"), F.transform(starts, window))
+    return words.select(key, "size", F.explode(listed).alias("w")).select(key, "size", "w.*")
 
 
 def windows(docs: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
-    """The windows of one size, of both forms."""
-    return spans(forms(_paired(docs, key, template(F.col("text"))), key), key, F.array(F.lit(size))).drop("size")
+    """The template windows of one size."""
+    return spans(templated(docs, key), key, F.array(F.lit(size))).drop("size")
 
 
-def exact(docs: DataFrame, key: str) -> DataFrame:
-    """Words in lower case without punctuation, as form 2."""
-    canon = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\x20\x09-\x0D]+", "")
-    return _paired(docs, key, canon).select(key, F.lit(2).alias("form"), "canon", "raw")
+def _holding(texts: DataFrame, thin: DataFrame) -> DataFrame:
+    """The texts that have the longest word of a thin item, one that its template keeps if there is any."""
+    both = templated(thin, "item_id").select("item_id", F.col("canon").alias("kept")).join(_paired(thin, "item_id", exact).drop("raw"), "item_id")
+    kept = F.filter("kept", lambda c: ~c.contains("§"))
+    listed = F.when(F.size(kept) > 0, kept).otherwise(F.col("canon"))
+    longest = F.array_max(F.transform(listed, lambda c: F.struct(F.length(c).alias("n"), c.alias("word"))))
+    anchors = checkpoint(both.select(longest["word"].alias("word")).distinct())
+    few = anchors.count() <= BROADCAST_WINDOWS
+    words = F.array_distinct(F.split(exact(spaced(F.col("text"))), " ", -1))
+    own = texts.select("doc_id", F.explode(words).alias("word")).join(F.broadcast(anchors) if few else anchors, "word", "left_semi")
+    ids = settled(own.select("doc_id").distinct())
+    few = ids.count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
 def whole(texts: DataFrame, thin: DataFrame) -> DataFrame:
     """doc_id, item_id and pairs, for each place where a document holds all of a thin item."""
-    # After a word and a blank the first word reads as it does within a text.
-    inner = _paired(thin.withColumn("text", F.concat(F.lit("x "), "text")), "item_id", template(F.col("text")))
-    inner = inner.select("item_id", *(F.expr(f"slice({c}, 2, size({c}) - 1)").alias(c) for c in ("canon", "raw"))).where(F.size("canon") > 0)
-    parts = forms(_paired(thin, "item_id", template(F.col("text"))), "item_id").unionByName(forms(inner, "item_id"))
+    texts = _holding(texts, thin)
     literal = F.size(F.filter("canon", lambda c: ~c.startswith("§")))
-    parts = parts.where(literal >= MIN_LITERAL).unionByName(exact(thin, "item_id"))
-    sought = checkpoint(
-        spans(parts, "item_id", F.array(F.size("canon")))
-        .select("item_id", (F.col("form") == 2).alias("exact"), "size", "h", F.col("slots").alias("item_slots"))
-        .distinct()
-    )
+    parts = templated(thin, "item_id").where(literal >= MIN_LITERAL).withColumn("exact", F.lit(False))
+    parts = parts.unionByName(_paired(thin, "item_id", exact).withColumn("exact", F.lit(True)))
+    sought = [
+        spans(parts.where(F.col("exact") == e), "item_id", F.array(F.size("canon"))).select(F.lit(e).alias("exact"), "item_id", "size", "h", "slots")
+        for e in (False, True)
+    ]
+    sought = checkpoint(sought[0].unionByName(sought[1]).withColumnRenamed("slots", "item_slots").distinct())
     few = sought.count() <= BROADCAST_WINDOWS
 
     def found(words: DataFrame, is_exact: bool) -> DataFrame:
         items = sought.where(F.col("exact") == is_exact).drop("exact")
-        sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]
-        if not sizes:
-            return None
-        hit = spans(words, "doc_id", F.array(*map(F.lit, sizes)))
+        # Few numbers: a size is that of an item with few windows.
+        sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
+        hit = spans(words, "doc_id", F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"))
         return hit.join(F.broadcast(items) if few else items, ["size", "h"]).select("doc_id", "item_id", _pairs().alias("pairs"))
 
-    verbatim = found(exact(texts, "doc_id"), True)
-    changed = found(forms(_paired(texts, "doc_id", template(F.col("text"))), "doc_id"), False)
-    return changed if verbatim is None else verbatim if changed is None else verbatim.unionByName(changed)
+    return found(_paired(texts, "doc_id", exact), True).unionByName(found(templated(texts, "doc_id"), False))
 
 
 #: Values of an item and a document in the same places.
@@ -199,9 +221,13 @@ def _pairs() -> Column:
     return F.array_distinct(F.coalesce(zipped, F.array().cast(PAIRED_TYPE)))
 
 
+def _function() -> Column:
+    """Whether each value of the item stands for one value of the document."""
+    return F.size("pairs") == F.size(F.array_distinct("pairs.i"))
+
+
 def _one_to_one() -> Column:
-    n = F.size("pairs")
-    return (n == F.size(F.array_distinct("pairs.i"))) & (n == F.size(F.array_distinct("pairs.d")))
+    return _function() & (F.size("pairs") == F.size(F.array_distinct("pairs.d")))
 
 
 def _n_changed() -> Column:
@@ -214,9 +240,8 @@ def alignments(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Dat
     items = id_and_text(benchmark, "item_id").where("doc_id is not null").withColumnRenamed("doc_id", "item_id").distinct()
     every = windows(items, "item_id", size)
     sought = every.where(F.col("held") <= size - MIN_LITERAL).drop("held")
-    sought = checkpoint(sought.withColumnsRenamed({"pos": "item_pos", "slots": "item_slots", "form": "item_form"}))
-    total = sought.groupBy("item_id", "item_form").agg(F.count(F.lit(1)).alias("n"))
-    total = total.groupBy("item_id").agg(F.max("n").alias("item_windows"))
+    sought = checkpoint(sought.withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"}))
+    total = sought.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
     few = sought.count() <= BROADCAST_WINDOWS
     short = seeds(items, "item_id", size, SEED, 1, size - MIN_LITERAL).select("h").distinct()
     seeded = seeds(texts, "doc_id", size, SEED, SEED_STEP).join(F.broadcast(short) if few else short, "h", "left_semi")
@@ -226,7 +251,7 @@ def alignments(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Dat
     hit = hashed.join(F.broadcast(sought) if few else sought, "h")
     found = (
         hit.withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-        .groupBy("doc_id", "item_id", "form", "item_form", "diagonal")
+        .groupBy("doc_id", "item_id", "diagonal")
         .agg(F.count_distinct("item_pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(_pairs()))).alias("pairs"))
         .join(F.broadcast(total) if few else total, "item_id")
     )
@@ -238,18 +263,16 @@ def alignments(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Dat
         "item_windows",
         F.size("pairs").cast("long").alias("n_slots"),
         _n_changed().alias("n_changed"),
-        _one_to_one().alias("consistent"),
+        (_one_to_one() | (_function() & (F.col("n_windows") >= LONG))).alias("consistent"),
     )
 
 
 def thin_items(benchmark: DataFrame, size: int, min_windows: int) -> DataFrame:
-    """item_id and text of the items one of whose forms has fewer sought windows than make an alignment."""
+    """item_id and text of the items that have fewer sought windows than make an alignment."""
     items = id_and_text(benchmark, "item_id").where("doc_id is not null").withColumnRenamed("doc_id", "item_id").distinct()
-    listed = forms(_paired(items, "item_id", template(F.col("text"))), "item_id")
-    every = spans(listed, "item_id", F.array(F.lit(size))).where(F.col("held") <= size - MIN_LITERAL)
-    enough = every.groupBy("item_id", "form").count().where(F.col("count") >= min_windows)
-    short = listed.select("item_id", "form").join(enough, ["item_id", "form"], "left_anti").select("item_id").distinct()
-    return checkpoint(items.join(short, "item_id", "left_semi"))
+    every = windows(items, "item_id", size).where(F.col("held") <= size - MIN_LITERAL)
+    enough = every.groupBy("item_id").count().where(F.col("count") >= min_windows)
+    return checkpoint(items.join(enough, "item_id", "left_anti").where(exact(F.col("text")).rlike(r"[\p{L}\p{N}]")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_windows: int = MIN_WINDOWS) -> DataFrame:
@@ -275,5 +298,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, all their columns as they are."""
-    return without_ids(docs, contaminated(docs, benchmark))
+    """The documents that hold no benchmark item, all their columns as they are.
+
+    Rows are told apart by a hash of id and text, so that rows without an id are judged too,
+    and of an id that stands for several texts only those with an item go.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark)
+    gone = checkpoint(found.select(F.col("doc_id").alias("__gone")).distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, key == F.col("__gone"), "left_anti")

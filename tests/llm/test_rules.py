@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from pathlib import Path
@@ -83,8 +84,8 @@ def test_contamination(spark):
     assert {r.n_changed for r in rows if r.doc_id == 5} == {0}
     assert all(r.n_changed > 0 for r in rows if r.doc_id == 1)
     kept = {r.doc_id for r in decontaminate.keep_clean(docs, items).collect()}
-    assert kept >= {2, 3, 4, 8, None}
-    assert not kept & {1, 5, 7}
+    assert kept >= {2, 3, 4, 8}
+    assert not kept & {1, 5, 7, None}
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
@@ -114,6 +115,53 @@ def test_contamination_of_dense_and_short_items(spark):
     assert got == {(1, 1), (2, 2), (5, 3), (6, 4)}
 
 
+NAMES = "Alice Bob Carla Dan Erin Frank Gita Hugo Iris Jack Lena Mark".split()
+THINGS = "apples pears coins books stamps marbles cards shells".split()
+QUESTIONS = [
+    "{0} has {a} {x} and {b} {y}. {1} takes {c} of them. How many are left?", "{0} walks {a} km to the old mill and back. How far does {1} walk in {b} days at that pace?",
+    "A train leaves the station with {a} people. At the next stop {b} get off and {c} get on. How many people does {0} count now?",
+    "{0} buys {a} {x} for {b} dollars each, gives {c} to {1} and sells what is left for twice the price. What does {0} earn?",
+    "In a box there are {a} red and {b} blue {x}. {0} draws {c} without looking. What is the chance that all are red?",
+    "If {0} reads {a} pages on each day of a week and {1} reads {b} more than that, when will both have read {c} pages?",
+]
+
+
+def test_recall_of_reparameterised_questions(spark):
+    """Questions with new names and numbers are found; the same sentences with values that clash, and others, are not."""
+    rng = random.Random(3)
+
+    def made(text, things):
+        names = rng.sample(NAMES, 2)
+        a, b, c = rng.sample(range(2, 99), 3)
+        return text.format(*names, a=a, b=b, c=c, x=things[0], y=things[1])
+
+    lead = lambda: " ".join(rng.choice("the of once some people like to think about old things in town".split()) for _ in range(15))
+    items, docs, true = [], [], set()
+    for k, q in enumerate(QUESTIONS * 5):
+        things = rng.sample(THINGS, 2)
+        items.append((k, made(q, things)))
+        docs.append((k, f"{lead()}. {made(q, things)} {lead()}"))
+        true.add((k, k))
+    clean = [(1000 + k, f"{lead()}. {rng.choice(NAMES)} has {k} dogs. {lead()}? {lead()}") for k in range(60)]
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs + clean, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert len(found & true) >= 0.9 * len(true)
+    # An item with the same words apart from its values is a match as well.
+    assert all(d < 1000 and d % len(QUESTIONS) == i % len(QUESTIONS) for d, i in found)
+
+
+def test_contamination_of_rows_without_own_ids(spark):
+    items = spark.createDataFrame([(1, QUESTION), (2, "Alice has 3 apples and 4 pears. Bob takes 2 of them. How many are left?")], "item_id long, text string")
+    changed = "Carla has 5 apples and 9 pears. Dan takes 3 of them. How many are left?"
+    rows = [(1, "a clean text", "u"), (1, QUESTION, "v"), (None, "so: " + changed, "w"), (None, "another clean one", "x"), (2, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, canon string")
+    assert sorted(r.canon for r in decontaminate.keep_clean(docs, items).collect()) == ["u", "x", "y"]
+    # Two values of a long item may have become one.
+    same = QUESTION.replace("12", "5").replace(" 3 ", " 5 ")
+    docs = spark.createDataFrame([(1, same)], "doc_id long, text string")
+    assert decontaminate.contaminated(docs, items).count() == 1
+
+
 def test_contamination_against_plain_search(spark, sf_dir):
     """Every document that holds 13 words of an item in a row is found, and no other."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
