@@ -170,19 +170,18 @@ def _shared(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFr
     held = sets.join(F.broadcast(named) if few else named, "doc").select("doc", "n", "comp", F.explode("e").alias("x"))
     seen = held.groupBy("x").agg(F.count(F.lit(1)).alias("held"), F.min("doc").alias("one"))
     seen = settled(seen.where(F.col("held") <= RARE), 500_000)
-    alone = seen.where("held = 1").groupBy(F.col("one").alias("doc")).agg(F.count(F.lit(1)).alias("alone"))
     rare = seen.where("held > 1").select("x")
     few = rare.count() <= BROADCAST_IDS
     own = settled(held.join(F.broadcast(rare) if few else rare, "x", "left_semi"), 100_000)
     left = own.select("x", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     right = own.select("x", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     pairs = left.join(right, "x").where("a < b and ca <> cb").select("a", "na", "b", "nb").distinct()
-    some = own.groupBy("doc").agg(F.count(F.lit(1)).alias("some"))
+    apart = own.select("doc").union(seen.where("held = 1").select("one")).groupBy("doc").agg(F.count(F.lit(1)).alias("apart"))
     least = large.groupBy("bucket").agg(F.min("n").alias("least"))
-    bounded = large.join(alone, "doc", "left").join(some, "doc", "left").join(least, "bucket")
-    r = F.col("n") - F.coalesce("alone", F.lit(0)) - F.coalesce("some", F.lit(0))
+    bounded = large.join(apart, "doc", "left").join(least, "bucket")
+    r = F.col("n") - F.coalesce("apart", F.lit(0))
     reach = F.col("r") >= threshold * (F.col("n") + F.greatest("least", "r") - F.col("r"))
-    return pairs, bounded.withColumn("r", r).where(reach).drop("least", "alone", "some")
+    return pairs, bounded.withColumn("r", r).where(reach).drop("least", "apart")
 
 
 def _lead(open_: DataFrame, done: DataFrame, leaders: int) -> DataFrame:
@@ -206,7 +205,8 @@ def _linked(nodes: DataFrame, texts: DataFrame, threshold: float, width: int) ->
     central = members.join(score, "doc").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("doc")).alias("doc"))).alias("x"))
     central = central.select("bucket", (-F.col("x.doc")).alias("leader"))
     members = settled(members.join(F.broadcast(central) if few else central, "bucket"))
-    sets = _sets(nodes.join(members.select(F.col("doc").alias("node")).distinct(), "node", "left_semi"), texts, width)
+    spread = _sets(nodes.join(members.select(F.col("doc").alias("node")).distinct(), "node", "left_semi"), texts, width)
+    sets = spread.coalesce(max(1, -(-spread.count() // SETS_PER_TASK)))
 
     sized = members.select(F.col("doc").alias("leader"), F.col("n").alias("na")).distinct()
     star = members.where("doc <> leader").select("leader", F.col("doc").alias("b"), F.col("n").alias("nb")).distinct()
@@ -218,7 +218,7 @@ def _linked(nodes: DataFrame, texts: DataFrame, threshold: float, width: int) ->
     pairs = _crossing(open_.where(F.col("size") <= SMALL_BUCKET))
     large = settled(open_.where(F.col("size") > SMALL_BUCKET))
     if not large.isEmpty():
-        rare, large = _shared(large, sets, threshold)
+        rare, large = _shared(large, spread, threshold)
         pairs = pairs.union(rare)
         large = settled(_labelled(large.drop("comp"), labels))
         # A pair meets in the least bucket that both are in, and in no other.
@@ -267,10 +267,8 @@ def _sets(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     found = elements(rows.select("doc_id", "text"), width)
     named = wanted.select("k1", "k2", F.col("node").alias("doc"))
     found = checkpoint(found.join(F.broadcast(named) if few else named, ["k1", "k2"]).select("doc", "e", "cells"))
-    n = found.count()
     # Rows that repeat an id, or have none, may bring a node several times.
-    found = found if n == wanted.count() else checkpoint(found.dropDuplicates(["doc"]))
-    return found.coalesce(max(1, -(-n // SETS_PER_TASK)))
+    return found if found.count() == wanted.count() else checkpoint(found.dropDuplicates(["doc"]))
 
 
 def classified(texts: DataFrame, threshold: float, width: int, n_bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
