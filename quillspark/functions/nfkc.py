@@ -5,14 +5,17 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def _normalize(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+    other = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)
+    changed = [unicodedata.normalize("NFKC", t) for t in texts.filter(other).to_pylist()]
+    return pc.replace_with_mask(texts, other, pa.array(changed, texts.type)).cast(pa.string()) if changed else texts
 
 
 def nfkc(c: Column) -> Column:
-    """Arrow batches through ``unicodedata``; NULL stays NULL."""
+    """Arrow batches through ``unicodedata``; NULL stays NULL, and ASCII text, which is normal, is not looked at."""
     return F.arrow_udf("string")(_normalize)(c)

@@ -57,9 +57,13 @@ def equals(a: Column, b: ColumnOrText) -> Column:
 
 
 def equals_ignore_case(a: Column, b: ColumnOrText) -> Column:
-    """Equality under simple case folding, character by character; NULL counts as empty text."""
-    right = F.coalesce(_text(b), F.lit(""))
-    return F.regexp_like(F.coalesce(a, F.lit("")), F.concat(F.lit(r"(?iu)\A"), _quoted(right), F.lit(r"\z")))
+    """Equality under simple case folding, character by character; NULL counts as empty text.
+
+    Equal texts, and texts of different length, need no regular expression.
+    """
+    left, right = F.coalesce(a, F.lit("")), F.coalesce(_text(b), F.lit(""))
+    folded = F.regexp_like(left, F.concat(F.lit(r"(?iu)\A"), _quoted(right), F.lit(r"\z")))
+    return F.when(left == right, True).when(F.char_length(left) != F.char_length(right), False).otherwise(folded)
 
 
 def reverse(c: Column) -> Column:

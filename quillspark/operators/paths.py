@@ -79,6 +79,24 @@ def _bracketed(inside: str) -> Token:
     return Property(inside)
 
 
+class CachedParser:
+    """``parse`` with a cache of its own; beyond ``capacity`` the least recently used paths go, 0 keeps none."""
+
+    def __init__(self, capacity: int = CACHE_SIZE) -> None:
+        if capacity < 0:
+            raise ValueError("a capacity must not be negative")
+        self._tokens = lru_cache(maxsize=capacity)(parse)
+
+    def __call__(self, path: str | None) -> tuple[Token, ...]:
+        return self._tokens(path)
+
+    def size(self) -> int:
+        return self._tokens.cache_info().currsize
+
+    def clear(self) -> None:
+        self._tokens.cache_clear()
+
+
 class PathError(ValueError):
     """A path does not fit the schema it is used on."""
 
@@ -167,7 +185,7 @@ class MapAdapter:
 
 
 class VariantAdapter:
-    """Keys of a variant object; a scalar in the way reads as NULL and ignores writes."""
+    """Keys of a variant object; a scalar or an array in the way reads as NULL and ignores writes."""
 
     ENTRIES = T.MapType(T.StringType(), T.VariantType())
 
@@ -336,6 +354,8 @@ def json_get(column: Column, path: str, as_type: str = "string") -> Column:
 
 
 def json_set(column: Column, path: str, value: Column, value_kind: T.DataType) -> Column:
-    """JSON text with ``value`` at ``path``; NULL text counts as an empty object."""
-    root = F.coalesce(F.try_parse_json(column), F.parse_json(F.lit("{}")))
-    return F.to_json(path_set(root, T.VariantType(), path, value, value_kind))
+    """JSON text with ``value`` at ``path``; NULL text counts as an empty object, malformed text stays as it is."""
+    parsed = F.try_parse_json(column)
+    root = F.coalesce(parsed, F.parse_json(F.lit("{}")))
+    changed = F.to_json(path_set(root, T.VariantType(), path, value, value_kind))
+    return F.when(column.isNotNull() & parsed.isNull(), column).otherwise(changed)

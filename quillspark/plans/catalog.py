@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -253,8 +256,89 @@ def clone_custom(spark, sf_dir):
     return copy.select("o_orderkey", F.col("o.info.priority.level").alias("level"), _joined(F.col("words")).alias("words"), F.try_element_at("tags", F.lit("6")).alias("tag"))
 
 
+class JsonText:
+    """Named steps into JSON text, as a library user may register them."""
+
+    def supports(self, kind: T.DataType) -> bool:
+        return isinstance(kind, T.StringType)
+
+    def get(self, node, name):
+        return P.Node(F.get_json_object(node.column, f"$.{name}"), T.StringType())
+
+    def set(self, node, name, change):
+        entries = F.from_json(node.column, "map<string,string>")
+        others = F.map_filter(F.coalesce(entries, F.create_map().cast("map<string,string>")), lambda k, _: k != name)
+        new = change(self.get(node, name)).column.cast("string")
+        return P.Node(F.to_json(F.map_concat(others, F.create_map(F.lit(name), new))), T.StringType())
+
+
+class FromEnd(P.ArrayAdapter):
+    """Indexes that count from the end."""
+
+    def get(self, node, at):
+        return super().get(P.Node(F.reverse(node.column), node.kind), at)
+
+    def set(self, node, at, change):
+        made = super().set(P.Node(F.reverse(node.column), node.kind), at, change)
+        return P.Node(F.reverse(made.column), made.kind)
+
+
+def path_custom_adapter(spark, sf_dir):
+    events = _read(spark, sf_dir, "events")
+    accessor = P.AccessorBuilder().register_property(JsonText()).with_parser(P.CachedParser(10)).build()
+    text = T.StringType()
+    new = accessor.set(F.col("props"), text, "added", F.col("event_id"), T.LongType())
+    return events.select("event_id", accessor.get(F.col("props"), text, "k").alias("k"), accessor.get(new, text, "added").alias("added"))
+
+
+def path_custom_collection(spark, sf_dir):
+    n = _nested(spark, sf_dir)
+    kind = n.schema["words"].dataType
+    accessor = P.AccessorBuilder().register_property(P.MapAdapter()).register_collection(FromEnd()).build()
+    new = accessor.set(F.col("words"), kind, "[0]", F.lit("end"), T.StringType())
+    return n.select("o_orderkey", accessor.get(F.col("words"), kind, "[0]").alias("last"), _joined(new).alias("words"))
+
+
+def clone_marks(spark, sf_dir):
+    """A transient field is left out, and a type that is immutable is shared with the marks in it."""
+    customers = _read(spark, sf_dir, "customer")
+    inner = F.struct(F.col("c_name").alias("name", metadata={C.IGNORE: True})).alias("inner")
+    tagged = customers.select("c_custkey", F.col("c_acctbal").alias("c_acctbal", metadata={C.TRANSIENT: True}), inner)
+    kind = tagged.schema["inner"].dataType
+    shared = C.ClonerBuilder().immutable_type(kind).build().clone(tagged)
+    copied = C.deep_clone(tagged).select("c_custkey", F.col("inner.name").alias("copied"))
+    return shared.select("c_custkey", "c_acctbal", F.col("inner.name").alias("shared")).join(copied, "c_custkey")
+
+
 def storage_metadata(spark, sf_dir):
-    return storage.metadata_table(spark, sf_dir)
+    """The tables' files: names, types and etags, and whether their sizes and times are there."""
+    files = storage.metadata_table(spark, sf_dir)
+    name = F.regexp_extract("path", r"([^/]+)\.parquet", 1)
+    return files.select(
+        name.alias("name"), "contentType", "etag", (F.col("size") > 0).alias("sized"), F.col("lastModified").isNotNull().alias("dated")
+    ).distinct()
+
+
+def storage_round_trip(spark, sf_dir):
+    """Each region's name is uploaded, read again and deleted, in a new folder of the warehouse."""
+    store = storage.FileStorage(spark, "http://files.test/")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/store-{uuid.uuid4().hex}"
+    where, fs = store._open(folder)
+    fs.mkdirs(where)
+    out = []
+    # Five rows at any scale.
+    for r in _read(spark, sf_dir, "region").collect():
+        path = f"{folder}/{r.r_regionkey}.txt"
+        before = store.exists(path)
+        store.upload(path, r.r_name.encode())
+        with store.download(path) as source:
+            content = source.read().decode()
+        about, there = store.metadata(path), store.exists(path)
+        url = store.signed_url("a.txt", storage.SignedUrlOptions.default_read(timedelta(minutes=5)))
+        store.delete(path)
+        out.append((r.r_regionkey, content, about.size, about.content_type, before, there, store.exists(path), url))
+    store.delete(folder)
+    return spark.createDataFrame(out, "r_regionkey int, content string, size long, type string, before boolean, there boolean, after boolean, url string")
 
 
 def storage_url(spark, sf_dir):
@@ -271,7 +355,8 @@ QUERIES = {
             str_strip_right, str_split, str_split_preserve, str_split_limit, str_rsplit, str_rsplit_preserve, str_contains,
             str_lower, str_upper, str_capitalize, str_word_capitalize, path_get_json, path_get_struct, path_get_map,
             path_get_array, path_get_safe, path_get_missing, path_set_json, path_set_struct, path_set_map, path_set_array_pad,
-            clone_ignore_field, clone_nested, clone_custom, storage_metadata, storage_url,
+            clone_ignore_field, clone_nested, clone_custom, storage_metadata, storage_url, path_custom_adapter,
+            path_custom_collection, clone_marks, storage_round_trip,
         )
     },
 }
@@ -339,5 +424,13 @@ ORACLES = {
         array_to_string(w, '|') AS words FROM {_NESTED}""",
     "clone_custom": f"""SELECT o_orderkey, CAST(length(r) AS VARCHAR) AS level,
         array_to_string(list_transform(w, lambda x: CAST(length(x) AS VARCHAR)), '|') AS words, CAST(length(s) AS VARCHAR) AS tag FROM {_NESTED}""",
+    "path_custom_adapter": """SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(event_id AS VARCHAR) AS added FROM events""",
+    "path_custom_collection": f"""SELECT o_orderkey, w[-1] AS last, array_to_string(list_concat(w[:-2], ['end']), '|') AS words FROM {_NESTED}""",
+    "clone_marks": "SELECT c_custkey, CAST(NULL AS DOUBLE) AS c_acctbal, c_name AS shared, CAST(NULL AS VARCHAR) AS copied FROM customer",
+    "storage_metadata": """SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents',
+        'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name, 'application/vnd.apache.parquet' AS contentType, '' AS etag,
+        true AS sized, true AS dated""",
+    "storage_round_trip": """SELECT r_regionkey, r_name AS content, length(r_name) AS size, 'text/plain' AS type, false AS before, true AS there,
+        false AS after, 'http://files.test/a.txt' AS url FROM region""",
     "storage_url": "SELECT page_id, 'http://files.test/x///p/' || page_id AS url FROM pages",
 }

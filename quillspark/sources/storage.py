@@ -6,7 +6,7 @@ URLs only. Signed URLs are plain URLs here, and etags are empty.
 
 from __future__ import annotations
 
-import mimetypes
+import io
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
@@ -43,7 +43,7 @@ class StorageService(Protocol):
 
     def upload(self, path: str, data: bytes | BinaryIO, content_type: str | None = None) -> None: ...
 
-    def download(self, path: str) -> bytes: ...
+    def download(self, path: str) -> BinaryIO: ...
 
     def delete(self, path: str) -> None: ...
 
@@ -66,19 +66,42 @@ def url_column(base_url: str | None, path: Column) -> Column:
     return F.concat(F.lit(clean_base(base_url) + "/"), path.cast("string"))
 
 
-def content_type(path: str) -> str | None:
-    return mimetypes.guess_type(path)[0]
-
-
-#: File extensions whose type the metadata table knows.
+#: File extensions whose type is known.
 EXTENSIONS = {
     "txt": "text/plain", "csv": "text/csv", "html": "text/html", "json": "application/json", "xml": "text/xml",
     "pdf": "application/pdf", "zip": "application/zip", "gz": "application/gzip", "png": "image/png",
     "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "mp4": "video/mp4",
-    "mp3": "audio/mpeg", "parquet": "application/vnd.apache.parquet",
+    "mp3": "audio/mpeg", "parquet": "application/vnd.apache.parquet", "md": "text/markdown", "css": "text/css",
+    "js": "text/javascript", "htm": "text/html", "avif": "image/avif", "webp": "image/webp", "tar": "application/x-tar",
 }
 
 
+def content_type(path: str) -> str | None:
+    """The type that the extension names, in either case; None for others."""
+    name = path.rpartition("/")[2]
+    return EXTENSIONS.get(name.rpartition(".")[2].lower()) if "." in name else None
+
+
+class _Download(io.RawIOBase):
+    """A file of a Hadoop file system, read as it is asked for."""
+
+    def __init__(self, source) -> None:
+        self._source = source
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        got = bytes(self._source.readNBytes(len(buffer)))
+        buffer[: len(got)] = got
+        return len(got)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._source.close()
+        super().close()
+
+
 def metadata_table(spark: SparkSession, path: str) -> DataFrame:
     """path, size, contentType, lastModified and etag of all files below ``path``; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -124,13 +147,12 @@ class FileStorage:
         finally:
             out.close()
 
-    def download(self, path: str) -> bytes:
-        """The file's bytes; a missing file is an error."""
+    def download(self, path: str) -> BinaryIO:
+        """The file as a stream, to be closed by the caller; a missing file is an error."""
         where, fs = self._open(path)
         if not fs.exists(where):
             raise FileNotFoundError(path)
-        row = self._spark.read.format("binaryFile").load(path).select("content").first()
-        return bytes(row.content)
+        return io.BufferedReader(_Download(fs.open(where)), self.CHUNK)
 
     def delete(self, path: str) -> None:
         """Removes a file or an empty folder; a missing one is no error, a full folder is."""

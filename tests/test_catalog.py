@@ -36,7 +36,9 @@ def test_parity(spark, sf_dir, database, name):
 
 def test_entry_and_metadata(spark, sf_dir):
     assert entry.entry(spark).columns == ["event_id", "k", "kind"]
-    rows = entry.queries()["storage_metadata"](spark, sf_dir).collect()
+    from quillspark.sources.storage import metadata_table
+
+    rows = metadata_table(spark, sf_dir).collect()
     assert {Path(r.path).name for r in rows} == {p.name for p in Path(sf_dir).glob("*.parquet")}
 
 

@@ -78,7 +78,8 @@ def test_files(spark, tmp_path):
     store = S.FileStorage(spark)
     path = str(tmp_path / "a.txt")
     store.upload(path, b"hello")
-    assert store.download(path) == b"hello"
+    with store.download(path) as source:
+        assert source.read(2) + source.read() == b"hello"
     assert store.exists(path)
     with pytest.raises(FileExistsError):
         store.upload(path, b"again")
@@ -98,3 +99,39 @@ def test_files(spark, tmp_path):
     assert not store.exists(path)
     with pytest.raises(FileNotFoundError):
         store.download(path)
+
+
+def test_download_takes_names_as_they_are_and_streams(spark, tmp_path):
+    store = S.FileStorage(spark)
+    path = str(tmp_path / "a[1]{x}*.TXT")
+    data = bytes(range(256)) * 9000
+    store.upload(path, data)
+    with store.download(path) as source:
+        assert source.read() == data
+    assert store.metadata(path).content_type == "text/plain"
+
+
+def test_types_of_files_agree(spark, tmp_path):
+    for name in ("a.md", "b.parquet", "c.unknown", "noextension", "d.JPG"):
+        (tmp_path / name).write_bytes(b"x")
+    listed = {r.path.rpartition("/")[2]: r.contentType for r in S.metadata_table(spark, str(tmp_path)).collect()}
+    assert listed == {n: S.content_type(n) for n in listed}
+    assert (listed["a.md"], listed["c.unknown"], listed["d.JPG"]) == ("text/markdown", None, "image/jpeg")
+
+
+def test_types_left_out_as_keys_are_an_error(spark):
+    kind = T.MapType(T.StringType(), T.IntegerType())
+    df = frame(spark, ({"a": 1},), T.StructField("m", kind))
+    with pytest.raises(ValueError, match="keys"):
+        C.ClonerBuilder().ignore_type(T.StringType()).build().clone(df)
+
+
+def test_types_compare_without_nullability_and_metadata(spark):
+    inner = T.StructType([T.StructField("key", T.StringType())])
+    strict = T.StructType([T.StructField("key", T.StringType(), False, {"a": 1})])
+    df = frame(spark, (("k",),), T.StructField("s", inner))
+    assert C.ClonerBuilder().ignore_type(strict).build().clone(df).first().s is None
+    left_out = T.StructType([C.marked(T.StructField("key", T.StringType()), C.TRANSIENT)])
+    df = frame(spark, (("k",),), T.StructField("s", left_out))
+    assert C.deep_clone(df).first().s.key is None
+    assert C.ClonerBuilder().immutable_type(inner).build().clone(df).first().s.key == "k"

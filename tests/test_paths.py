@@ -132,3 +132,23 @@ def test_builder():
     built = P.AccessorBuilder().register_property(P.StructAdapter(strict=True)).with_parser(lambda p: [Property(p)]).build()
     assert built.parser("a.b") == [Property("a.b")]
     assert isinstance(built.properties[0], P.StructAdapter)
+
+
+def test_malformed_json_text_stays(spark):
+    df = spark.createDataFrame([("{bad json",), (None,), ("[1]",), ('{"a":1}',)], "j string")
+    got = [r.j for r in df.select(P.json_set(F.col("j"), "a", F.lit(7), T.IntegerType()).alias("j")).collect()]
+    assert got == ["{bad json", '{"a":7}', "[1]", '{"a":7}']
+
+
+def test_cached_parser():
+    parser = P.CachedParser(2)
+    assert parser("a.b") == P.parse("a.b")
+    for path in ("c", "d", "e"):
+        parser(path)
+    assert parser.size() == 2
+    parser.clear()
+    assert parser.size() == 0
+    with pytest.raises(ValueError):
+        P.CachedParser(-1)
+    with pytest.raises(ValueError):
+        parser(" ")

@@ -159,3 +159,17 @@ def test_strings_on_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r.x for r in spark.table("capitalized").collect()] == ["Hello"]
+
+
+def test_nfkc_looks_at_other_than_ascii_only(spark):
+    from quillspark.functions.nfkc import nfkc
+
+    df = spark.createDataFrame([("plain",), (None,), ("ﬁn\u00a0x",), ("",)], "t string")
+    assert [r.t for r in df.select(nfkc(F.col("t")).alias("t")).collect()] == ["plain", None, "fin x", ""]
+    assert [r.t for r in df.limit(2).select(nfkc(F.col("t")).alias("t")).collect()] == ["plain", None]
+
+
+def test_equals_ignore_case_with_columns(spark):
+    rows = [("ABC", "abc", True), ("abc", "abcd", False), ("", None, True), ("a.c", "abc", False), ("ÄÖ", "äö", True), ("ß", "SS", False)]
+    df = spark.createDataFrame(rows, "a string, b string, e boolean")
+    assert df.where(S.equals_ignore_case(F.col("a"), F.col("b")) != F.col("e")).count() == 0
