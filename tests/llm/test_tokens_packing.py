@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,11 +186,13 @@ def test_pack_digest(spark, encoder):
 def test_range_coder_round_trip():
     rng = np.random.default_rng(0)
     blocks = [rng.integers(0, 65536, n) for n in (0, 1, 5, 300)]
-    blocks += [np.zeros(200, int), np.full(100, 65535), rng.integers(0, 3, 500), np.tile([1, 2, 3, 50256], 200)]
+    blocks += [np.arange(8192) * 7 % 65536, rng.integers(0, 50, 8000), np.zeros(200, int), np.full(100, 65535), rng.integers(0, 3, 500), np.tile([1, 2, 3, 50256], 200)]
     coded = range_coder.encode(blocks)
     for a, b in zip(blocks, range_coder.decode(coded, [len(b) for b in blocks]), strict=True):
         assert np.array_equal(a, b)
     assert len(coded[-1]) < 2 * len(blocks[-1]) / 2
+    with pytest.raises(ValueError):
+        range_coder.encode([np.array([65536])])
     alone = range_coder.encode([blocks[3]])[0]
     assert alone == coded[3]  # no block depends on its neighbours
 
@@ -202,6 +205,22 @@ def test_range_coder_property(blocks):
     assert [d.tolist() for d in decoded] == blocks
 
 
+def test_ids_take_fewer_bits_than_plain_coders(encoder):
+    """Fewer than zlib, and than the entropy of a block's own counts with its table of counts."""
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id")["text"]
+    ids, _ = encoder.encode(docs.combine_chunks().fill_null(""))
+    blocks = [ids[k : k + 8192] for k in range(0, 16 * 8192, 8192)]
+    coded = range_coder.encode(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, range_coder.decode(coded, [len(b) for b in blocks]), strict=True))
+    own = 8 * sum(map(len, coded))
+    static = 0.0
+    for b in blocks:
+        names, n = np.unique(b, return_counts=True)
+        static += -(n * np.log2(n / len(b))).sum() + 8 * len(zlib.compress(np.concatenate([np.diff(names, prepend=0), n]).astype("<u2").tobytes(), 9))
+    assert own < 0.95 * static
+    assert own < 0.95 * sum(8 * len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+
+
 def test_files_round_trip(spark, encoder, tmp_path):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     path = str(tmp_path / "ids")
