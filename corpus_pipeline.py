@@ -3,6 +3,11 @@
 Each stage reads what its predecessor kept, as Parquet, and all but the last return the
 columns of ``documents``. Documents that are rejected, repeated or contaminated go; secrets
 are masked in their documents, which stay.
+
+Defined results of every stage: null texts count as empty; rows without an id, and of an id
+that stands for several texts each, are judged by their own text; texts of any length are
+taken whole; other columns, of whatever name, stay as they are; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -14,22 +19,27 @@ from quillspark.llm.common import read, scratch_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the quality classifier (operator 10) scores 0.5 or more."""
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near duplicates (operator 1), and every document without words."""
     return near_dedup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that hold no benchmark item (operator 3)."""
     return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks the secrets that the forest (operator 9) confirms; every document stays."""
     return secret_scan.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence (operator 7)."""
     return packing.pack(docs)
 
 
