@@ -54,6 +54,8 @@ CELLS = 256
 PAIRS_PER_TASK, SETS_PER_TASK = 25_000, 2000
 #: Members of large buckets up to which an element that they share makes pairs of them.
 RARE = 8
+#: Bytes of text that are sketched at once; the points of their processes take some fifty times as much.
+SLICE = 1_000_000
 #: Buckets with several members, and texts with copies or links, up to which their tables are broadcast (about 40 MB).
 BROADCAST_BUCKETS, BROADCAST_TEXTS = 500_000, 1_000_000
 #: Sets over this size skip the fingerprint test, whose cells hold small numbers.
@@ -74,7 +76,7 @@ def sketch(docs: DataFrame, width: int = WIDTH, n_bands: int = BANDS, rows: int
     """doc_id, k1, k2 (key of the multiset), n (its size) and bands (null without words)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, SLICE):
             bags = [multiset(t, width) for t in texts]
             n = np.array([c.sum() for _, c in bags], np.int64)
             key = _keys([occurrences(*bag) for bag in bags])
@@ -95,7 +97,7 @@ def elements(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """k1, k2, the multiset as a set of numbered occurrences, and the set's fingerprint."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, SLICE):
             sets = [occurrences(*multiset(t, width)) for t in texts]
             offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
             listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))
@@ -167,7 +169,9 @@ def _shared(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFr
     """
     named = settled(large.select("doc", "n", "comp").distinct())
     few = named.count() <= BROADCAST_IDS
-    held = sets.join(F.broadcast(named) if few else named, "doc").select("doc", "n", "comp", F.explode("e").alias("x"))
+    # A group's sets may lie in few parts; its elements are counted in many.
+    held = sets.join(F.broadcast(named) if few else named, "doc").select("doc", "n", "comp", "e").repartition("doc")
+    held = held.select("doc", "n", "comp", F.explode("e").alias("x"))
     seen = held.groupBy("x").agg(F.count(F.lit(1)).alias("held"), F.min("doc").alias("one"))
     seen = settled(seen.where(F.col("held") <= RARE), 500_000)
     rare = seen.where("held > 1").select("x")
@@ -205,8 +209,8 @@ def _linked(nodes: DataFrame, texts: DataFrame, threshold: float, width: int) ->
     central = members.join(score, "doc").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("doc")).alias("doc"))).alias("x"))
     central = central.select("bucket", (-F.col("x.doc")).alias("leader"))
     members = settled(members.join(F.broadcast(central) if few else central, "bucket"))
-    spread = _sets(nodes.join(members.select(F.col("doc").alias("node")).distinct(), "node", "left_semi"), texts, width)
-    sets = spread.coalesce(max(1, -(-spread.count() // SETS_PER_TASK)))
+    sets = _sets(nodes.join(members.select(F.col("doc").alias("node")).distinct(), "node", "left_semi"), texts, width)
+    sets = sets.coalesce(max(1, -(-sets.count() // SETS_PER_TASK)))
 
     sized = members.select(F.col("doc").alias("leader"), F.col("n").alias("na")).distinct()
     star = members.where("doc <> leader").select("leader", F.col("doc").alias("b"), F.col("n").alias("nb")).distinct()
@@ -218,7 +222,7 @@ def _linked(nodes: DataFrame, texts: DataFrame, threshold: float, width: int) ->
     pairs = _crossing(open_.where(F.col("size") <= SMALL_BUCKET))
     large = settled(open_.where(F.col("size") > SMALL_BUCKET))
     if not large.isEmpty():
-        rare, large = _shared(large, spread, threshold)
+        rare, large = _shared(large, sets, threshold)
         pairs = pairs.union(rare)
         large = settled(_labelled(large.drop("comp"), labels))
         # A pair meets in the least bucket that both are in, and in no other.
