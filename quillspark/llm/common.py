@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -36,11 +39,13 @@ def remainder(id_col: Column, divisor: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode, where that is unset."""
     found = spark.sparkContext.getCheckpointDir()
     if found:
         return found
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = named or tempfile.mkdtemp(prefix="quillspark-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir() or folder
@@ -67,6 +72,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def release() -> None:
+    """Gives freed memory back to the system; later tasks reuse the worker, and executors have one limit for all of it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into row slices of about ``limit`` bytes of text, whole texts only."""
     for batch in batches:
@@ -79,6 +91,7 @@ def row_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) -> I
             held += n or 0
         if start < len(sizes):
             yield batch.slice(start)
+    release()
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

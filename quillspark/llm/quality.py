@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -232,11 +231,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = 0.5, max_per_
     """
     model = trained(docs, labels, max_per_label)
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        texts = [t or "" for t in text.tolist()]
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
         if not isinstance(model, Attention):
-            return pd.Series([model >= keep_at] * len(texts))
-        return pd.Series(model.forward(*bags(texts), len(texts))["s"] >= keep_at)
+            return pa.array([model >= keep_at] * len(text), pa.bool_())
+        rows = pa.RecordBatch.from_arrays([text.fill_null("")], names=["text"])
+        kept = [model.forward(*passages(some), len(some))["s"] >= keep_at for _, some in text_slices([rows], SLICE)]
+        return pa.array(np.concatenate([*kept, np.zeros(0, bool)]))
 
     return docs.where(good(F.col("text").cast("string")))

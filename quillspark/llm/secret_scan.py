@@ -18,7 +18,6 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,16 +200,17 @@ def redact(docs: DataFrame, path_col: str = "source", mask: str = MASK) -> DataF
     """The documents with every secret replaced by ``mask`` and ``n_chars`` (if there) brought up to date."""
     model = fitted()
 
-    @F.pandas_udf("string")
-    def masked(text: pd.Series, path: pd.Series) -> pd.Series:
-        texts = text.tolist()
-        _, kept = secrets([t or "" for t in texts], path.tolist(), model)
+    @F.arrow_udf("string")
+    def masked(text: pa.Array, path: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([text, path], names=["text", "path"])
         out = []
-        for t, spans in zip(texts, kept, strict=True):
-            for a, b in reversed(spans):
-                t = t[:a] + mask + t[b:]
-            out.append(t)
-        return pd.Series(out, dtype=object)
+        for part, texts in text_slices([rows]):
+            _, kept = secrets([t or "" for t in texts], part.column(1).to_pylist(), model)
+            for i, spans in enumerate(kept):
+                for a, b in reversed(spans):
+                    texts[i] = texts[i][:a] + mask + texts[i][b:]
+            out.append(pa.array(texts, pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     clean = docs.withColumn("text", masked(F.col("text").cast("string"), F.col(path_col).cast("string")))
     if "n_chars" in docs.columns:

@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of text that are encoded at once: the more, the more often a word is there already.
-SLICE = 6_000_000
+SLICE = 4_000_000
 #: Bytes of chunks and ids that a worker keeps between batches, and what a chunk costs besides its letters.
 CACHE_BYTES, ENTRY_BYTES = 40_000_000, 180
 #: New chunks that go to the tokenizer as one text.
