@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, id_files, licences, near_dedup, packing, pii, quality, secret_scan, toxicity
+from . import (
+    decontaminate, divergence, filter_audit, id_files, licences, mixing, near_dedup, packing, pii, quality, secret_scan, source_audit, toxicity,
+)
 from .common import read
 from .oracles import ORACLES as ORACLES
 
@@ -51,6 +53,18 @@ def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_retraction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", read(spark, sf_dir, "labels"))
+
+
+def op12_pointer_sort_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_bag_minhash": op1_bag_minhash,
     "op2_divergence_rules": op2_divergence_rules,
@@ -62,4 +76,7 @@ QUERIES = {
     "op8_licence_paragraphs": op8_licence_paragraphs,
     "op9_forest_secrets": op9_forest_secrets,
     "op10_attention_quality": op10_attention_quality,
+    "op11_retraction_audit": op11_retraction_audit,
+    "op12_pointer_sort_audit": op12_pointer_sort_audit,
+    "op13_fair_queueing": op13_fair_queueing,
 }
