@@ -10,9 +10,10 @@ index, ``['k']``, ``["k"]`` or ``[k]`` for a name; a name may end in ``?`` to be
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import groupby
 from typing import Protocol
 
 from pyspark.sql import Column
@@ -101,12 +102,20 @@ class PathError(ValueError):
     """A path does not fit the schema it is used on."""
 
 
+#: Mark in ``StructField.metadata``: whether unknown fields of the structs in this field are errors.
+STRICT = "strict"
+
+
 @dataclass(frozen=True)
 class Node:
-    """A value and what is known of its type while a path is followed."""
+    """A value and what is known of its type while a path is followed.
+
+    ``strict`` is what the nearest field on the way says of its structs; None if none does.
+    """
 
     column: Column
     kind: T.DataType
+    strict: bool | None = None
 
 
 class PropertyAdapter(Protocol):
@@ -134,8 +143,16 @@ def _null(kind: T.DataType) -> Node:
 VOID = T.NullType()
 
 
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
 class StructAdapter:
-    """Fields by exact name. Lenient: an unknown field reads as NULL and ignores writes; strict: an error."""
+    """Fields by exact name. Lenient: an unknown field reads as NULL and ignores writes; strict: an error.
+
+    A field's metadata may say for its own structs (also those in its arrays and maps) which of
+    the two they are, ``{"strict": true}`` or ``{"strict": false}``; others follow the adapter.
+    """
 
     def __init__(self, strict: bool = False) -> None:
         self.strict = strict
@@ -143,28 +160,54 @@ class StructAdapter:
     def supports(self, kind: T.DataType) -> bool:
         return isinstance(kind, T.StructType)
 
-    def _field(self, kind: T.StructType, name: str) -> T.StructField | None:
-        found = next((f for f in kind.fields if f.name == name), None)
-        if found is None and self.strict:
+    def _field(self, node: Node, name: str) -> T.StructField | None:
+        found = next((f for f in node.kind.fields if f.name == name), None)
+        if found is None and (self.strict if node.strict is None else node.strict):
             raise PathError(f"no field {name!r}")
         return found
 
+    @staticmethod
+    def _child(node: Node, wanted: T.StructField) -> Node:
+        """Spark finds fields whatever their case, so that names which differ in nothing else are told apart by place."""
+        strict = wanted.metadata.get(STRICT, node.strict) if wanted.metadata else node.strict
+        if not _clashes(node.kind):
+            return Node(node.column.getField(wanted.name), wanted.dataType, strict)
+        at = next(i for i, f in enumerate(node.kind.fields) if f.name == wanted.name)
+        by_place = T.StructType([T.StructField(f"f{i}", f.dataType, f.nullable) for i, f in enumerate(node.kind.fields)])
+        return Node(node.column.cast(by_place).getField(f"f{at}"), wanted.dataType, strict)
+
     def get(self, node: Node, name: str) -> Node:
-        field = self._field(node.kind, name)
-        return _null(VOID) if field is None else Node(node.column.getField(name), field.dataType)
+        found = self._field(node, name)
+        return _null(VOID) if found is None else self._child(node, found)
 
     def set(self, node: Node, name: str, change: Callable[[Node], Node]) -> Node:
-        field = self._field(node.kind, name)
-        if field is None:
+        found = self._field(node, name)
+        if found is None:
+            return node
+        if _clashes(node.kind):
+            return self.set_many(node, {name: change})
+        new = change(self._child(node, found))
+        # A NULL struct comes into being with NULL fields; the value itself stands here only once.
+        held = F.coalesce(node.column, F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in node.kind.fields]))
+        fields = [T.StructField(f.name, new.kind if f.name == name else f.dataType, True, f.metadata) for f in node.kind.fields]
+        return Node(held.withField(_quoted(name), new.column), T.StructType(fields), node.strict)
+
+    def set_many(self, node: Node, changes: Mapping[str, Callable[[Node], Node]]) -> Node:
+        """All changes in one rebuild."""
+        known = {name for name in changes if self._field(node, name) is not None}
+        if not known:
             return node
-        new = change(Node(node.column.getField(name), field.dataType))
-        # Rebuilt field by field, so that a NULL struct comes into being too.
         columns, fields = [], []
         for f in node.kind.fields:
-            part = new if f.name == name else Node(node.column.getField(f.name), f.dataType)
+            part = self._child(node, f)
+            part = changes[f.name](part) if f.name in known else part
             columns.append(part.column.alias(f.name))
-            fields.append(T.StructField(f.name, part.kind, True))
-        return Node(F.struct(*columns), T.StructType(fields))
+            fields.append(T.StructField(f.name, part.kind, True, f.metadata))
+        return Node(F.struct(*columns), T.StructType(fields), node.strict)
+
+
+def _clashes(kind: T.StructType) -> bool:
+    return len({f.name.lower() for f in kind.fields}) < len(kind.fields)
 
 
 class MapAdapter:
@@ -174,14 +217,26 @@ class MapAdapter:
         return isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType)
 
     def get(self, node: Node, name: str) -> Node:
-        return Node(F.try_element_at(node.column, F.lit(name)), node.kind.valueType)
+        return Node(F.try_element_at(node.column, F.lit(name)), node.kind.valueType, node.strict)
 
     def set(self, node: Node, name: str, change: Callable[[Node], Node]) -> Node:
-        new = change(self.get(node, name))
-        value = new.column if new.kind == node.kind.valueType else new.column.cast(node.kind.valueType)
+        return self.set_many(node, {name: change})
+
+    def set_many(self, node: Node, changes: Mapping[str, Callable[[Node], Node]]) -> Node:
+        kind = node.kind.valueType
+        made = {name: change(self.get(node, name)) for name, change in changes.items()}
+        values = [x for name, new in made.items() for x in (F.lit(name), new.column if new.kind == kind else new.column.cast(kind))]
         base = F.coalesce(node.column, F.create_map().cast(node.kind))
-        others = F.map_filter(base, lambda k, _: k != F.lit(name))
-        return Node(F.map_concat(others, F.create_map(F.lit(name), value)), node.kind)
+        others = F.map_filter(base, lambda k, _: ~k.isin(*made))
+        return Node(F.map_concat(others, F.create_map(*values)), node.kind, node.strict)
+
+
+def as_variant(node: Node) -> Column:
+    """The value as a variant; parts of structs, maps and arrays keep their form."""
+    if isinstance(node.kind, T.VariantType):
+        return node.column
+    nested = isinstance(node.kind, T.StructType | T.MapType | T.ArrayType)
+    return F.to_variant_object(node.column) if nested else node.column.cast("variant")
 
 
 class VariantAdapter:
@@ -199,11 +254,14 @@ class VariantAdapter:
         return Node(F.try_element_at(entries, F.lit(name)), T.VariantType())
 
     def set(self, node: Node, name: str, change: Callable[[Node], Node]) -> Node:
-        new = change(self.get(node, name))
-        value = new.column if isinstance(new.kind, T.VariantType) else new.column.cast("variant")
+        return self.set_many(node, {name: change})
+
+    def set_many(self, node: Node, changes: Mapping[str, Callable[[Node], Node]]) -> Node:
+        made = {name: change(self.get(node, name)) for name, change in changes.items()}
+        values = [x for name, new in made.items() for x in (F.lit(name), as_variant(new))]
         entries = F.coalesce(F.try_variant_get(node.column, "$", "map<string,variant>"), F.create_map().cast(self.ENTRIES))
-        others = F.map_filter(entries, lambda k, _: k != F.lit(name))
-        built = F.to_variant_object(F.map_concat(others, F.create_map(F.lit(name), value)))
+        others = F.map_filter(entries, lambda k, _: ~k.isin(*made))
+        built = F.to_variant_object(F.map_concat(others, F.create_map(*values)))
         shape = F.schema_of_variant(node.column)
         # A JSON null is no value, so it gives way like a missing one.
         fits = node.column.isNull() | (shape == "VOID") | shape.startswith("OBJECT")
@@ -218,7 +276,7 @@ class ArrayAdapter:
 
     def get(self, node: Node, at: int) -> Node:
         if isinstance(node.kind, T.ArrayType):
-            return Node(F.get(node.column, F.lit(at)), node.kind.elementType)
+            return Node(F.get(node.column, F.lit(at)), node.kind.elementType, node.strict)
         if isinstance(node.kind, T.VariantType):
             return Node(F.try_variant_get(node.column, f"$[{at}]", "variant"), T.VariantType())
         if isinstance(node.kind, T.NullType):
@@ -226,20 +284,52 @@ class ArrayAdapter:
         raise PathError(f"no index into {node.kind.simpleString()}")
 
     def set(self, node: Node, at: int, change: Callable[[Node], Node]) -> Node:
+        return self.set_many(node, {at: change})
+
+    def set_many(self, node: Node, changes: Mapping[int, Callable[[Node], Node]]) -> Node:
         if isinstance(node.kind, T.VariantType):
             held = F.try_variant_get(node.column, "$", "array<variant>")
-            made = self.set(Node(held, T.ArrayType(T.VariantType())), at, change)
+            made = self.set_many(Node(held, T.ArrayType(T.VariantType())), changes)
             return Node(F.to_variant_object(made.column), T.VariantType())
         if not isinstance(node.kind, T.ArrayType):
+            (at, change), *others = changes.items()
             new = change(_null(VOID))
             empty = [F.lit(None).cast(new.kind)] * at
-            return Node(F.array(*empty, new.column), T.ArrayType(new.kind))
-        new = change(self.get(node, at))
+            made = Node(F.array(*empty, new.column), T.ArrayType(new.kind))
+            return self.set_many(made, dict(others)) if others else made
         kind = node.kind.elementType
-        value = new.column if new.kind == kind else new.column.cast(kind)
+        values = {}
+        for at, change in changes.items():
+            new = change(ArrayAdapter.get(self, node, at))
+            values[at] = new.column if new.kind == kind else as_variant(new) if isinstance(kind, T.VariantType) else new.column.cast(kind)
         held = F.coalesce(node.column, F.array().cast(node.kind))
-        places = F.sequence(F.lit(0), F.greatest(F.size(held) - 1, F.lit(at)))
-        return Node(F.transform(places, lambda j: F.when(j == at, value).otherwise(F.get(held, j))), T.ArrayType(kind))
+        places = F.sequence(F.lit(0), F.greatest(F.size(held) - 1, F.lit(max(values))))
+
+        def element(j: Column) -> Column:
+            found = F.get(held, j)
+            for at, value in values.items():
+                found = F.when(j == at, value).otherwise(found)
+            return found
+
+        return Node(F.transform(places, element), T.ArrayType(kind), node.strict)
+
+
+@dataclass
+class Writes:
+    """A trie of writes: the value that replaces what is here, if any, and what is then written below."""
+
+    value: Node | None = None
+    below: dict[Token, Writes] = field(default_factory=dict)
+
+    def add(self, tokens: Sequence[Token], value: Node) -> None:
+        if not tokens:
+            self.value, self.below = value, {}
+            return
+        head = Property(tokens[0].name) if isinstance(tokens[0], Property) else tokens[0]
+        # The latest write stands last, as it does after single writes.
+        branch = self.below.pop(head, None) or Writes()
+        self.below[head] = branch
+        branch.add(tokens[1:], value)
 
 
 class Accessor:
@@ -269,34 +359,51 @@ class Accessor:
                 return adapter.get(node, token.name)
             if isinstance(node.kind, T.ArrayType):
                 raise PathError(f"no property {token.name!r} in an array")
-        except PathError:
+        except Exception:  # a safe step gives NULL whatever an adapter raises
             if not token.safe:
                 raise
         return _null(VOID)
 
     def set(self, column: Column, kind: T.DataType, path: str, value: Column, value_kind: T.DataType) -> Column:
         """The root with ``value`` at ``path``; intermediate values that are NULL are made."""
-        return self._set(Node(column, kind), tuple(self.parser(path)), Node(value, value_kind)).column
-
-    def _set(self, node: Node, tokens: tuple[Token, ...], value: Node) -> Node:
-        if not tokens:
-            return value
-        head, rest = tokens[0], tokens[1:]
-        if isinstance(node.kind, T.NullType):
-            node = self._made(head)
-        if isinstance(head, Index):
-            return self.collection.set(node, head.at, lambda child: self._set(child, rest, value))
-        adapter = self._adapter(node.kind)
-        if adapter is None:
-            if isinstance(node.kind, T.ArrayType):
-                raise PathError(f"no property {head.name!r} in an array")
-            return node  # below a scalar nothing can be set
-        return adapter.set(node, head.name, lambda child: self._set(child, rest, value))
-
-    @staticmethod
-    def _made(head: Token) -> Node:
-        """What a step makes where nothing is known: an array or a variant object."""
-        return _null(VOID) if isinstance(head, Index) else _null(T.VariantType())
+        return self.set_many(column, kind, [(path, value, value_kind)])
+
+    def set_many(self, column: Column, kind: T.DataType, writes: Sequence[tuple[str, Column, T.DataType]]) -> Column:
+        """The root after all writes (path, value, type of the value), as if they were made one after the other.
+
+        Each value on the way is rebuilt once, so that the plan grows with the writes, not with
+        their number as a power. Adapters without ``set_many`` are given one change at a time.
+        """
+        trie = Writes()
+        for path, value, value_kind in writes:
+            trie.add(tuple(self.parser(path)), Node(value, value_kind))
+        return self._write(Node(column, kind), trie).column
+
+    def _write(self, node: Node, writes: Writes) -> Node:
+        node = node if writes.value is None else writes.value
+        for indexed, group in groupby(writes.below.items(), key=lambda x: isinstance(x[0], Index)):
+            changes = {
+                token.at if indexed else token.name: lambda child, branch=branch: self._write(child, branch) for token, branch in group
+            }
+            if isinstance(node.kind, T.NullType):
+                node = _null(VOID) if indexed else _null(T.VariantType())
+            adapter = self.collection if indexed else self._adapter(node.kind)
+            if adapter is None:
+                if isinstance(node.kind, T.ArrayType):
+                    raise PathError(f"no property {next(iter(changes))!r} in an array")
+                continue  # below a scalar nothing can be set
+            if len(changes) > 1 and _takes_many(adapter):
+                node = adapter.set_many(node, changes)
+            else:
+                for key, change in changes.items():
+                    node = adapter.set(node, key, change)
+        return node
+
+
+def _takes_many(adapter: object) -> bool:
+    """Whether ``set_many`` goes with the adapter's ``set``, and is not that of a class whose ``set`` it replaces."""
+    owner = next((c for c in type(adapter).__mro__ if "set" in vars(c) or "set_many" in vars(c)), None)
+    return owner is not None and "set_many" in vars(owner)
 
 
 class AccessorBuilder:
@@ -347,6 +454,16 @@ def path_set(column: Column, kind: T.DataType, path: str, value: Column, value_k
     return accessor(strict).set(column, kind, path, value, value_kind)
 
 
+def path_set_many(column: Column, kind: T.DataType, writes: Sequence[tuple[str, Column, T.DataType]], strict: bool = False) -> Column:
+    """The column after several writes, each (path, value, type of the value), in one rebuild."""
+    return accessor(strict).set_many(column, kind, writes)
+
+
+def strict_field(found: T.StructField, strict: bool = True) -> T.StructField:
+    """The field with a mark that its structs are strict (records) or lenient (beans)."""
+    return T.StructField(found.name, found.dataType, found.nullable, {**(found.metadata or {}), STRICT: strict})
+
+
 def json_get(column: Column, path: str, as_type: str = "string") -> Column:
     """The value at ``path`` of JSON text; NULL for malformed text."""
     found = path_get(F.try_parse_json(column), T.VariantType(), path)
