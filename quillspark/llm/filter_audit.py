@@ -2,20 +2,20 @@
 
 Every document has a mask of the filters that it fails. Four filters look at its text alone;
 the fifth fails if a smaller id has the same text, which only all files together can tell. The
-stream takes the files in ``BATCHES`` available-now micro-batches. Its state holds, for each
-text, the least id so far and the counters that its rows stand in. When a smaller id arrives,
-the earlier rows are retracted from the counters of their old mask and added to that with the
-fifth filter. The sum over all batches is the audit's only table: rows for each part, mask and
-pair of labels. All orders of filters are read off it.
+stream takes the files in ``BATCHES`` available-now micro-batches. Its keyed state is a table:
+for each text the rows of the least id so far. When a smaller id arrives, the rows of the
+earlier one are retracted from the counters of their old mask and added to that with the fifth
+filter. The sum over all batches is the audit's only table: rows for each part, mask and pair of
+labels. All orders of filters are read off it.
 
-Texts are keyed by their sha-256. One call of the state holds ``TEXTS_PER_CALL`` texts, those
-of one bucket of keys, so that a call works on arrays and buckets grow in number, not in size.
-Before the shuffle each Arrow batch is combined: of a text's rows only those of the least id go
-on by key, all others are known to fail the fifth filter and are only counted. A text that
-fills a third of the corpus is so at most one id for each batch of rows.
+Texts are keyed by their sha-256. A row counts as failing the fifth filter when it comes, which
+needs no key; only the rows of a text's least id in the batch, found by partial aggregation in
+each task, meet the state and are put right. So a text that fills a third of the corpus is one
+row for each task in the shuffle by key.
 
-The counters of a micro-batch are written under its number, which makes a batch that is run
-again after a failure replace itself; state and progress are in the shared folder.
+State and counters of a micro-batch are written under its number, and a batch only reads the
+state of those before it. One that is run again after a failure so replaces itself; both lie in
+the shared folder, as the stream's progress does.
 
 Defined results: null texts are empty; null sources and empty ones are one part; a row with a
 null id neither fails the fifth filter nor makes others fail; rows with equal least id and text
@@ -25,13 +25,10 @@ of whatever name, are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from itertools import permutations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .common import BROADCAST_IDS, checkpoint, scratch_path
 
@@ -40,14 +37,11 @@ BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 WORD = r"[^\x20\x09-\x0D]+"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCHES = 4
-TEXTS_PER_CALL = 1000
 
-_COMBINED = "bucket long, key binary, doc_id long, part string, mask int, flags int, n long"
-_DELTAS = "part string, mask int, flags int, n long"
-_STATE = "key array<binary>, doc_id array<long>, part array<string>, mask array<int>, flags array<int>, n array<long>"
-_HELD = ["key", "doc_id", "part", "mask", "flags", "n"]
+_COUNTERS = "part string, mask int, flags int, n long"
 _COUNTER = ["part", "mask", "flags"]
-_KINDS = {"doc_id": "int64", "mask": "int32", "flags": "int32", "n": "int64"}
+_HOLDERS = "array<struct<part:string,flags:int,n:long>>"
+_STATE = f"key binary, doc_id long, mask int, holders {_HOLDERS}, retracted {_HOLDERS}"
 
 
 def text_mask(text: Column, words: Column) -> Column:
@@ -71,50 +65,44 @@ def flagged(labels: DataFrame) -> DataFrame:
     return checkpoint(known.where("flags > 0"))
 
 
-def combine(frames: Iterable[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
-    """Rows of the least id of each text, and counters of all other rows, for each batch of rows.
+def first_holders(rows: DataFrame, state: DataFrame | None) -> DataFrame:
+    """What a batch changes in the state: the texts whose least id it lowers or meets again.
 
-    A counter travels in the bucket of some row of its batch; it has no key.
+    ``holders`` are the batch's rows of the least id, ``retracted`` those that held the text
+    before and do no longer. The state may have several entries of a text, of which the least counts.
     """
-    for rows in frames:
-        ids, no_id = rows[rows["has_id"]], rows[~rows["has_id"]]
-        least = ids["doc_id"] == ids.groupby("key")["doc_id"].transform("min")
-        first = ids[least].groupby(_HELD[:-1], as_index=False).size().rename(columns={"size": "n"})
-        first["bucket"] = [int.from_bytes(k[:7], "big") % buckets for k in first["key"]]
-        rest = pd.concat([no_id, ids[~least].assign(mask=lambda x: x["mask"] | BIT["E"])])
-        rest = rest.groupby(_COUNTER, as_index=False).size().rename(columns={"size": "n"})
-        rest = rest.assign(key=None, doc_id=0, bucket=first["bucket"].iloc[0] if len(first) else 0)
-        for part in (first, rest):
-            if len(part):
-                yield part.astype(_KINDS)[["bucket", *_HELD]]
-
-
-def update(held: pd.DataFrame, new: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """The rows of the least ids after ``new`` has come, and what that changes in the counters."""
-    counted = new[new["key"].isna()]
-    rows = pd.concat([held.astype(_KINDS).assign(old=True), new[new["key"].notna()].assign(old=False)], ignore_index=True)
-    least = rows["doc_id"] == rows.groupby("key")["doc_id"].transform("min")
-    late = ~least
-    with_e = rows["mask"] | BIT["E"]
-    changes = pd.concat(
-        [
-            counted[[*_COUNTER, "n"]],
-            rows[least & ~rows["old"]][[*_COUNTER, "n"]],
-            rows[late].assign(mask=with_e[late])[[*_COUNTER, "n"]],
-            rows[late & rows["old"]].assign(n=lambda x: -x["n"])[[*_COUNTER, "n"]],
-        ]
-    )
-    changes = changes.groupby(_COUNTER, as_index=False)["n"].sum()
-    return rows[least].groupby(_HELD[:-1], as_index=False)["n"].sum(), changes[changes["n"] != 0]
-
-
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = pd.DataFrame(dict(zip(_HELD, state.get, strict=True)) if state.exists else {c: [] for c in _HELD})
-    held["key"] = held["key"].map(bytes)
-    new = pd.concat(list(frames), ignore_index=True)
-    kept, changes = update(held, new)
-    state.update(tuple(kept[c].tolist() for c in _HELD))
-    yield changes.astype({k: _KINDS[k] for k in ("mask", "flags", "n")})
+    # One exchange for both steps: rows of an id, then of an id and text, meet in it.
+    known = rows.where("has_id").repartition("key", "doc_id").groupBy("key", "mask", "doc_id", "part", "flags").agg(F.count(F.lit(1)).alias("n"))
+    known = known.groupBy("key", "mask", "doc_id").agg(F.collect_list(F.struct("part", "flags", "n")).alias("holders"))
+    new = F.struct("doc_id", "mask", "holders").alias("new")
+    none = F.lit(None).cast(f"struct<doc_id:bigint,holders:{_HOLDERS}>").alias("old")
+    entries = known.select("key", new, none)
+    if state is not None:
+        held = F.lit(None).cast(f"struct<doc_id:bigint,mask:int,holders:{_HOLDERS}>").alias("new")
+        entries = entries.union(state.select("key", held, F.struct("doc_id", "holders").alias("old")))
+    # At most an entry for each earlier batch is listed for a text.
+    texts = entries.groupBy("key").agg(F.min_by("new", F.col("new.doc_id")).alias("new"), F.collect_list("old").alias("olds"))
+    before = F.array_min("olds.doc_id")
+    texts = texts.where(F.col("new").isNotNull()).withColumn("before", before).where("before IS NULL OR new.doc_id <= before")
+    lost = F.flatten(F.transform(F.filter("olds", lambda o: (o["doc_id"] == F.col("before")) & (o["doc_id"] > F.col("new.doc_id"))), lambda o: o["holders"]))
+    return texts.select("key", "new.*", lost.alias("retracted"))
+
+
+def _moved(entered: DataFrame, holders: str, passes: bool) -> DataFrame:
+    """Counters of rows that now pass the fifth filter, or no longer do: taken from one mask, added to the other."""
+    with_e = F.col("mask").bitwiseOR(F.lit(BIT["E"]))
+    away, to = (with_e, F.col("mask")) if passes else (F.col("mask"), with_e)
+    both = F.array(F.struct(away.alias("mask"), F.lit(-1).alias("sign")), F.struct(to.alias("mask"), F.lit(1).alias("sign")))
+    rows = entered.select(both.alias("both"), F.explode(holders).alias("h")).select("h.*", F.explode("both").alias("m"))
+    return rows.select("part", "m.mask", "flags", (F.col("n") * F.col("m.sign")).alias("n"))
+
+
+def changes(rows: DataFrame, entered: DataFrame) -> DataFrame:
+    """What a batch changes in the counters; rows with an id come as failing the fifth filter."""
+    mask = F.when(F.col("has_id"), F.col("mask").bitwiseOR(F.lit(BIT["E"]))).otherwise(F.col("mask"))
+    came = rows.select("part", mask.alias("mask"), "flags", F.lit(1).cast("long").alias("n"))
+    every = came.union(_moved(entered, "holders", True)).union(_moved(entered, "retracted", False))
+    return every.groupBy(*_COUNTER).agg(F.sum("n").alias("n"))
 
 
 def _source(path: str, files: list[str]) -> str:
@@ -124,49 +112,45 @@ def _source(path: str, files: list[str]) -> str:
     return f"{whole[:-1]}[{whole[-1]}]" if alone else path
 
 
-def counters(
-    spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES, buckets: int | None = None, progress: str | None = None
-) -> DataFrame:
+def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES, progress: str | None = None) -> DataFrame:
     """``part``, ``mask``, ``flags`` and ``n`` of the Parquet table at ``path``.
 
-    ``progress`` names the folder of the stream's state, progress and counters; a call with the
+    ``progress`` names the folder of the stream's progress, state and counters; a call with the
     folder of one that was stopped goes on after its last whole micro-batch, and takes files that
-    have come since. Texts keep their buckets only if the number of these stays, so it has to be
-    named then; else it follows the number of rows.
+    have come since.
     """
-    if progress and not buckets:
-        raise ValueError("a stream that may go on needs a fixed number of buckets")
     table = spark.read.parquet(path)
     files = table.inputFiles()
     folder = progress or scratch_path(spark, "filter-audit")
-    buckets = buckets or max(1, -(-table.count() // TEXTS_PER_CALL))
+    if table.isEmpty():
+        return spark.createDataFrame([], _COUNTERS)
     good = flagged(labels)
     few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max(1, -(-len(files) // batches))).parquet(_source(path, files))
+    docs = docs.select("doc_id", "source", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # A projection of its own, so that the words of a text are made once.
-    docs = docs.withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).select(
-        F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"),
-        F.col("doc_id").cast("long").alias("__doc"),
+    docs = docs.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).select(
+        F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("key"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("doc_id").isNotNull().alias("has_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"),
-        text_mask(text, F.col("__words")).alias("mask"),
+        text_mask(F.col("text"), F.col("words")).alias("mask"),
     )
-    docs = docs.join(F.broadcast(good) if few else good, F.col("__doc") == F.col("__id"), "left")
-    # No nulls, so that pandas keeps ids whole numbers.
-    known = F.col("__doc").isNotNull().alias("has_id")
-    docs = docs.select("key", F.coalesce("__doc", F.lit(0)).alias("doc_id"), known, "part", "mask", F.coalesce("flags", F.lit(0)).alias("flags"))
-    changes = docs.mapInPandas(lambda frames: combine(frames, buckets), _COMBINED).groupBy("bucket")
-    changes = changes.applyInPandasWithState(_step, _DELTAS, _STATE, "update", GroupStateTimeout.NoTimeout)
-
-    def write(batch: DataFrame, number: int) -> None:
-        summed = batch.groupBy(*_COUNTER).agg(F.sum("n").alias("n"))
-        summed.write.mode("overwrite").parquet(f"{folder}/counters/batch={number}")
-
-    query = changes.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/stream")
-    query.trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    if not files or not table.limit(1).count():
-        return spark.createDataFrame([], _DELTAS)
-    found = spark.read.schema(_DELTAS).option("recursiveFileLookup", "true").parquet(f"{folder}/counters")
+    docs = docs.join(F.broadcast(good) if few else good, F.col("doc_id") == F.col("__id"), "left")
+    docs = docs.select("key", "doc_id", "has_id", "part", "mask", F.coalesce("flags", F.lit(0)).alias("flags"))
+
+    def take(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        rows = checkpoint(batch)
+        earlier = [f"{folder}/state/batch={k}" for k in range(number)]
+        state = session.read.schema(_STATE).parquet(*earlier) if earlier else None
+        first_holders(rows, state).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        entered = session.read.schema(_STATE).parquet(f"{folder}/state/batch={number}")
+        changes(rows, entered).write.mode("overwrite").parquet(f"{folder}/counters/batch={number}")
+
+    query = docs.writeStream.option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True)
+    query.foreachBatch(take).start().awaitTermination()
+    found = spark.read.schema(_COUNTERS).option("recursiveFileLookup", "true").parquet(f"{folder}/counters")
     return checkpoint(found.groupBy(*_COUNTER).agg(F.sum("n").alias("n")).where("n > 0"))
 
 

@@ -102,13 +102,11 @@ def test_audit_goes_on_where_it_stopped(spark, tmp_path):
     rows, labels = audit_rows(2)
     folder, progress, labels_df = str(tmp_path / "d"), str(tmp_path / "progress"), spark.createDataFrame(labels, LABELS)
     as_files(spark, rows[:200], folder, 2)
-    first = filter_audit.counters(spark, folder, labels_df, batches=2, buckets=3, progress=progress)
+    first = filter_audit.counters(spark, folder, labels_df, batches=2, progress=progress)
     assert as_dict(filter_audit.orders(first)) == brute_audit(rows[:200], labels)
     as_files(spark, rows[200:], folder, 2)
-    again = filter_audit.counters(spark, folder, labels_df, batches=2, buckets=3, progress=progress)
+    again = filter_audit.counters(spark, folder, labels_df, batches=2, progress=progress)
     assert as_dict(filter_audit.orders(again)) == brute_audit(rows, labels)
-    with pytest.raises(ValueError, match="buckets"):
-        filter_audit.counters(spark, folder, labels_df, progress=progress)
 
 
 def test_audit_of_one_file_and_of_nothing(spark, tmp_path):
@@ -120,18 +118,21 @@ def test_audit_of_one_file_and_of_nothing(spark, tmp_path):
     assert filter_audit.audit(spark, str(tmp_path / "e"), spark.createDataFrame([], LABELS)).count() == 0
 
 
-def test_update_takes_back_earlier_rows():
-    import pandas as pd
-
-    def frame(*rows):
-        return pd.DataFrame(rows, columns=["key", "doc_id", "part", "mask", "flags", "n"])
-
-    none = frame().astype({"doc_id": "int64", "mask": "int32", "flags": "int32", "n": "int64"})
-    held, changes = filter_audit.update(none, frame((b"k", 9, "s", 2, 0, 1)))
-    assert changes.values.tolist() == [["s", 2, 0, 1]]
-    held, changes = filter_audit.update(held, frame((b"k", 5, "t", 2, 1, 1), (None, 0, "u", 16, 0, 4)))
-    assert sorted(changes.values.tolist()) == [["s", 2, 0, -1], ["s", 18, 0, 1], ["t", 2, 1, 1], ["u", 16, 0, 4]]
-    assert held.values.tolist() == [[b"k", 5, "t", 2, 1, 1]]
+def test_a_smaller_id_takes_back_earlier_rows(spark):
+    kind = "key binary, doc_id long, has_id boolean, part string, mask int, flags int"
+    first = spark.createDataFrame([(b"k", 9, True, "s", 2, 0), (b"k", 12, True, "s", 2, 1), (b"k", None, False, "u", 2, 0)], kind)
+    entered = filter_audit.first_holders(first, None)
+    as_set = lambda df: {(r.part, r["mask"], r.flags, r.n) for r in df.collect() if r.n}
+    assert as_set(filter_audit.changes(first, entered)) == {("s", 2, 0, 1), ("s", 18, 1, 1), ("u", 2, 0, 1)}
+    second = spark.createDataFrame([(b"k", 5, True, "t", 2, 1), (b"k", 5, True, "t", 2, 1), (b"k", 9, True, "s", 2, 0)], kind)
+    again = filter_audit.first_holders(second, entered)
+    assert as_set(filter_audit.changes(second, again)) == {("t", 2, 1, 2), ("s", 2, 0, -1), ("s", 18, 0, 2)}
+    third = spark.createDataFrame([(b"k", 5, True, "v", 2, 0), (b"k", 6, True, "v", 2, 0)], kind)
+    met = filter_audit.first_holders(third, entered.union(again))
+    assert as_set(filter_audit.changes(third, met)) == {("v", 2, 0, 1), ("v", 18, 0, 1)}
+    last = spark.createDataFrame([(b"k", 1, True, "w", 2, 0)], kind)
+    end = filter_audit.changes(last, filter_audit.first_holders(last, entered.union(again).union(met)))
+    assert as_set(end) == {("w", 2, 0, 1), ("t", 2, 1, -2), ("t", 18, 1, 2), ("v", 2, 0, -1), ("v", 18, 0, 1)}
 
 
 # ---- source divergence ----
