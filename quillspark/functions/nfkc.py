@@ -1,21 +1,19 @@
-"""Unicode compatibility normalisation, the one step that Spark has no function for."""
+"""Unicode compatibility normalisation, in the JVM by the ICU library that Spark brings along."""
 
 from __future__ import annotations
 
-import unicodedata
-
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _normalize(texts: pa.Array) -> pa.Array:
-    other = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)
-    changed = [unicodedata.normalize("NFKC", t) for t in texts.filter(other).to_pylist()]
-    return pc.replace_with_mask(texts, other, pa.array(changed, texts.type)).cast(pa.string()) if changed else texts
+#: A character that NFKC may change or join with its neighbours: of those below U+0300 the ones
+#: with a compatibility form, of the others any. Fixed values.
+MAY_CHANGE = (
+    r"[\x{A0}\x{A8}\x{AA}\x{AF}\x{B2}-\x{B5}\x{B8}-\x{BA}\x{BC}-\x{BE}\x{132}\x{133}\x{13F}\x{140}\x{149}\x{17F}"
+    r"\x{1C4}-\x{1CC}\x{1F1}-\x{1F3}\x{2B0}-\x{2B8}\x{2D8}-\x{2DD}\x{2E0}-\x{2E4}]|[^\x00-\x{2FF}]"
+)
 
 
 def nfkc(c: Column) -> Column:
-    """Arrow batches through ``unicodedata``; NULL stays NULL, and ASCII text, which is normal, is not looked at."""
-    return F.arrow_udf("string")(_normalize)(c)
+    """NFKC; NULL stays NULL. Text that only has letters which stay as they are is not looked at again."""
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(c.rlike(MAY_CHANGE), composed).otherwise(c)

@@ -7,7 +7,9 @@ and U+202F are not white space. Case mapping follows Spark's locale-free ``lower
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .nfkc import nfkc
@@ -56,14 +58,32 @@ def equals(a: Column, b: ColumnOrText) -> Column:
     return a.eqNullSafe(_text(b))
 
 
-def equals_ignore_case(a: Column, b: ColumnOrText) -> Column:
-    """Equality under simple case folding, character by character; NULL counts as empty text.
+def _simple_fold(c: str) -> str:
+    """One character in upper, then in lower case, where these are one character."""
+    upper = next((u for u in (c.upper(), c.title()) if len(u) == 1), c)
+    return upper.lower()[0]  # "İ", whose lower case has a dot of its own, goes with "i"
+
+
+@lru_cache(maxsize=1)
+def fold_table() -> tuple[str, str]:
+    """The characters that fold to another, and those others, in order."""
+    folds = [(c, _simple_fold(c)) for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    changed = [(c, f) for c, f in folds if c != f]
+    return "".join(c for c, _ in changed), "".join(f for _, f in changed)
+
 
-    Equal texts, and texts of different length, need no regular expression.
+def fold_key(c: Column) -> Column:
+    """A key that texts share if they are equal under simple case folding; NULL has that of the empty text.
+
+    It makes case-blind equality a hash join, a group or a sort. ASCII text only needs ``lower``.
     """
-    left, right = F.coalesce(a, F.lit("")), F.coalesce(_text(b), F.lit(""))
-    folded = F.regexp_like(left, F.concat(F.lit(r"(?iu)\A"), _quoted(right), F.lit(r"\z")))
-    return F.when(left == right, True).when(F.char_length(left) != F.char_length(right), False).otherwise(folded)
+    text = F.coalesce(c, F.lit(""))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, *fold_table())).otherwise(F.lower(text))
+
+
+def equals_ignore_case(a: Column, b: ColumnOrText) -> Column:
+    """Equality under simple case folding, character by character; NULL counts as empty text."""
+    return fold_key(a) == fold_key(_text(b))
 
 
 def reverse(c: Column) -> Column:
@@ -98,14 +118,23 @@ def _strip(c: Column, piece: ColumnOrText, shape: str) -> Column:
     return F.when(F.coalesce(piece, F.lit("")) == "", c).otherwise(F.regexp_replace(c, pattern, F.lit("")))
 
 
-def _parts(c: Column, pattern: str, keep_trailing: bool) -> Column:
-    """All pieces between matches; trailing empty ones only if asked for."""
+Pattern = Column | str
+
+
+def _pieces(c: Column, pattern: Pattern) -> Column:
+    """All pieces between matches. An empty pattern parts all characters, with an empty piece at the end."""
+    letters = F.when(c == "", F.array(F.lit(""))).otherwise(F.concat(F.split(c, "", -1), F.array(F.lit(""))))
     if pattern is None:
         raise ValueError("a split pattern is required")
-    if pattern == "":
-        parts = F.when(c == "", F.array(F.lit(""))).otherwise(F.concat(F.split(c, "", -1), F.array(F.lit(""))))
-    else:
-        parts = F.split(c, pattern, -1)
+    if isinstance(pattern, str):
+        return letters if pattern == "" else F.split(c, pattern, -1)
+    missing = F.raise_error(F.lit("a split pattern is required")).cast("array<string>")
+    return F.when(pattern.isNull(), missing).when(pattern == "", letters).otherwise(F.split(c, pattern, -1))
+
+
+def _parts(c: Column, pattern: Pattern, keep_trailing: bool) -> Column:
+    """All pieces between matches; trailing empty ones only if asked for."""
+    parts = _pieces(c, pattern)
     if keep_trailing:
         return parts
     last = F.array_max(F.transform(parts, lambda x, i: F.when(x != "", i + 1)))
@@ -113,41 +142,58 @@ def _parts(c: Column, pattern: str, keep_trailing: bool) -> Column:
     return F.when(F.size(parts) == 1, parts).otherwise(F.slice(parts, F.lit(1), F.coalesce(last, F.lit(0))))
 
 
+def _rejoined(parts: Column, pattern: Pattern) -> Column:
+    """The pieces with the pattern's own text between them."""
+    return F.call_function("array_join", parts, pattern if isinstance(pattern, Column) else F.lit(pattern))
+
+
 def _none_to_empty(c: Column, parts: Column) -> Column:
     return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(parts)
 
 
-def split(c: Column, pattern: str, limit: int = 0, preserve_empty: bool = False) -> Column:
+def split(c: Column, pattern: Pattern, limit: int = 0, preserve_empty: bool = False) -> Column:
     """Pieces of the text between matches of a Java regular expression; NULL gives no pieces.
 
     Without ``preserve_empty`` trailing empty pieces go (unless ``limit`` is negative) and a
     positive limit has no effect. With it all stay, and a positive limit keeps the first
-    ``limit - 1`` pieces and joins the rest with the pattern's text.
+    ``limit - 1`` pieces and joins the rest with the pattern's text. The pattern may be a column,
+    of which each row's own pattern is used; a NULL pattern is an error.
     """
     parts = _parts(c, pattern, preserve_empty or limit < 0)
     if preserve_empty and limit > 0:
-        tail = F.array_join(F.slice(parts, F.lit(limit), F.greatest(F.size(parts), F.lit(1))), pattern)
+        tail = _rejoined(F.slice(parts, F.lit(limit), F.greatest(F.size(parts), F.lit(1))), pattern)
         merged = F.concat(F.slice(parts, 1, limit - 1), F.array(tail))
         parts = F.when(F.size(parts) <= limit, parts).otherwise(merged)
     return _none_to_empty(c, parts)
 
 
-def split_preserve_empty(c: Column, pattern: str) -> Column:
+def split_preserve_empty(c: Column, pattern: Pattern) -> Column:
     return split(c, pattern, 0, True)
 
 
-def rsplit(c: Column, pattern: str, limit: int = 0, preserve_empty: bool = False) -> Column:
+def rsplit(c: Column, pattern: Pattern, limit: int = 0, preserve_empty: bool = False) -> Column:
     """Like ``split``, but a positive limit keeps the last ``limit - 1`` pieces and joins those before."""
     parts = _parts(c, pattern, preserve_empty or limit < 0)
     if limit > 0:
         over = F.greatest(F.size(parts) - (limit - 1), F.lit(0))
-        head = F.array_join(F.slice(parts, F.lit(1), over), pattern)
+        head = _rejoined(F.slice(parts, F.lit(1), over), pattern)
         merged = F.concat(F.array(head), F.slice(parts, over + 1, F.lit(limit - 1)))
         parts = F.when(F.size(parts) <= limit, parts).otherwise(merged)
     return _none_to_empty(c, parts)
 
 
-def rsplit_preserve_empty(c: Column, pattern: str, limit: int = 0) -> Column:
+def check_patterns(df: DataFrame, column: str) -> None:
+    """Raises ValueError if a pattern in the column is NULL or malformed; each is compiled once."""
+    patterns = df.select(F.col(column).alias("p")).distinct()
+    if not patterns.where("p IS NULL").isEmpty():
+        raise ValueError("a split pattern is required")
+    try:
+        patterns.where(F.regexp_like(F.lit(""), F.col("p"))).count()
+    except Exception as error:
+        raise ValueError(f"a malformed pattern in {column!r}: {error}") from error
+
+
+def rsplit_preserve_empty(c: Column, pattern: Pattern, limit: int = 0) -> Column:
     return rsplit(c, pattern, limit, True)
 
 

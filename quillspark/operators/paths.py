@@ -20,7 +20,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.strings import WHITESPACE
+
 CACHE_SIZE = 250
+#: What may stand around a name in brackets: everything up to the blank.
+TRIMMED = "".join(map(chr, range(0x21)))
 
 
 @dataclass(frozen=True)
@@ -39,7 +43,7 @@ Token = Property | Index
 
 def parse(path: str | None) -> tuple[Token, ...]:
     """Tokens of a path; raises ValueError for a blank path or a bracket without an end."""
-    if path is None or not path.strip():
+    if path is None or not path.strip(WHITESPACE):
         raise ValueError("a path must not be blank")
     return _parse(path)
 
@@ -55,7 +59,7 @@ def _parse(path: str) -> tuple[Token, ...]:
             inside, end, after = rest[1:].partition("]")
             if not end:
                 raise ValueError(f"no closing bracket in path {path!r}")
-            out.append(_bracketed(inside.strip()))
+            out.append(_bracketed(inside.strip(TRIMMED)))
             rest = after
         else:
             size = min((k for k in (rest.find("."), rest.find("[")) if k >= 0), default=len(rest))

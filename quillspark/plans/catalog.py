@@ -11,8 +11,13 @@ from pyspark.sql import types as T
 
 from ..functions import strings as S
 from ..operators import clone as C
+from ..operators import graph_clone as G
+from ..operators import path_columns as PC
 from ..operators import paths as P
+from ..operators import variant_clone as V
+from ..scratch import fresh_path
 from ..sources import storage
+from ..streaming import runs
 from ..workers import make_importable
 
 
@@ -64,12 +69,21 @@ def str_equals_nullsafe(spark, sf_dir):
 def str_equals_ignore_case(spark, sf_dir):
     segment = F.col("c_mktsegment")
     customers = _read(spark, sf_dir, "customer")
-    other = F.lower(F.col("c_name"))
+    lowered = F.lower(F.col("c_name"))
+    other = F.when(F.col("c_custkey") % 3 == 0, F.reverse(lowered)).when(F.col("c_custkey") % 3 == 1, F.concat(lowered, F.lit("s"))).otherwise(lowered)
     return customers.select(
         "c_custkey", S.equals_ignore_case(segment, "building").alias("same"), S.equals_ignore_case(F.col("c_name"), other).alias("same_name")
     )
 
 
+def str_fold_join(spark, sf_dir):
+    """Names in upper and in lower case meet in an ordinary join."""
+    customers = _read(spark, sf_dir, "customer")
+    left = customers.select("c_custkey", S.fold_key(F.upper("c_name")).alias("key"))
+    right = customers.select(F.col("c_custkey").alias("other"), S.fold_key(F.lower("c_name")).alias("key"), "c_mktsegment")
+    return left.join(right, "key").select("c_custkey", "other", "key", S.fold_key(F.col("c_mktsegment")).alias("segment"))
+
+
 def str_reverse(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "pos", S.reverse(F.col("line")).alias("reversed"))
 
@@ -115,6 +129,17 @@ def str_split_limit(spark, sf_dir):
     )
 
 
+def str_split_by(spark, sf_dir):
+    """Each row is split by its own pattern, and rejoined with that pattern's text."""
+    pages = _read(spark, sf_dir, "pages")
+    kind = F.char_length("url") % 3
+    pattern = F.when(kind == 0, F.lit("/")).when(kind == 1, F.lit("[aeiou]")).otherwise(F.lit("[.]|:"))
+    pages = pages.withColumn("pattern", pattern)
+    S.check_patterns(pages, "pattern")
+    url, by = F.col("url"), F.col("pattern")
+    return pages.select("page_id", _joined(S.split(url, by, 3, True)).alias("left_parts"), _joined(S.rsplit(url, by, 2, True)).alias("right_parts"))
+
+
 def str_rsplit(spark, sf_dir):
     parts = S.rsplit(F.col("url"), "/", 2)
     return _url(spark, sf_dir).select("page_id", F.size(parts).alias("n"), _joined(parts).alias("parts"))
@@ -209,6 +234,57 @@ def path_set_struct(spark, sf_dir):
     return n.select("o_orderkey", get(new, "info.priority.level").alias("level"), get(new, "info.status").alias("status"), get(same, "info.priority.level").alias("same"))
 
 
+def path_set_many(spark, sf_dir):
+    """Thirteen writes into a struct, a map and an array below it, in one rebuild."""
+    n = _nested(spark, sf_dir)
+    row = F.struct("o", "tags", "words")
+    kind = n.select(row.alias("x")).schema["x"].dataType
+    text = T.StringType()
+    writes = [("o.info.status", F.lit("lost"), text), ("o.info.status", F.lit("done"), text), ("o.info.priority.level", F.col("o_orderkey").cast("string"), text)]
+    writes += [(f"tags.t{i}", F.lit(str(i)), text) for i in range(8)] + [("words[0]", F.lit("first"), text), ("words[5]", F.lit("last"), text)]
+    x = n.select("o_orderkey", P.path_set_many(row, kind, writes).alias("x"))
+    get = lambda p: P.path_get(F.col("x"), kind, p)
+    return x.select(
+        "o_orderkey", get("o.info.status").alias("status"), get("o.info.priority.level").alias("level"), get("o.customer").alias("customer"),
+        F.size(get("tags")).alias("n_tags"), get("tags.t7").alias("t7"), F.array_join(get("words"), "|", "~").alias("words"),
+    )
+
+
+def _mixed_paths(spark, sf_dir):
+    """Events as variants, each with a path of its own."""
+    events = _read(spark, sf_dir, "events")
+    text = F.concat(F.lit('{"p":'), "props", F.lit(',"list":[{"a.b":"x"},'), F.col("event_id").cast("string"), F.lit("]}"))
+    paths = ["p.k", "list[0]['a.b']", ".list..[1]", "p['nope'].x?", "list[7].y", "[p][\"k\"]"]
+    by_turn = F.element_at(F.array(*map(F.lit, paths)), (F.col("event_id") % len(paths) + 1).cast("int"))
+    return events.select("event_id", F.parse_json(text).alias("v"), by_turn.alias("path"))
+
+
+def path_get_by(spark, sf_dir):
+    found = PC.path_get_by(F.col("v"), F.col("path"))
+    return _mixed_paths(spark, sf_dir).select("event_id", F.to_json(found).alias("found"))
+
+
+def path_set_by(spark, sf_dir):
+    rows = _mixed_paths(spark, sf_dir)
+    new = PC.path_set_by(F.col("v"), F.col("path"), F.col("event_id").cast("variant"))
+    return rows.select("event_id", F.to_json(new).alias("changed"))
+
+
+def path_strict_fields(spark, sf_dir):
+    """A field whose structs are strict beside one whose structs are lenient."""
+    n = _nested(spark, sf_dir)
+    info = n.schema["o"].dataType["info"]
+    kind = T.StructType([P.strict_field(info), n.schema["o"].dataType["customer"]])
+    get = lambda p: P.path_get(F.col("o"), kind, p).cast("string")
+    refused = 0
+    for path in ("info.nope", "info.priority.nope"):
+        try:
+            get(path)
+        except P.PathError:
+            refused += 1
+    return n.select("o_orderkey", get("info.nope?").alias("safe"), get("nope").alias("lenient"), get("info.status").alias("status"), F.lit(refused).alias("refused"))
+
+
 def path_set_map(spark, sf_dir):
     n = _nested(spark, sf_dir)
     kind = n.schema["tags"].dataType
@@ -300,14 +376,77 @@ def path_custom_collection(spark, sf_dir):
 
 
 def clone_marks(spark, sf_dir):
-    """A transient field is left out, and a type that is immutable is shared with the marks in it."""
-    customers = _read(spark, sf_dir, "customer")
+    """A transient field is left out, a type or a field that is immutable is shared with the marks in it."""
     inner = F.struct(F.col("c_name").alias("name", metadata={C.IGNORE: True})).alias("inner")
-    tagged = customers.select("c_custkey", F.col("c_acctbal").alias("c_acctbal", metadata={C.TRANSIENT: True}), inner)
-    kind = tagged.schema["inner"].dataType
-    shared = C.ClonerBuilder().immutable_type(kind).build().clone(tagged)
-    copied = C.deep_clone(tagged).select("c_custkey", F.col("inner.name").alias("copied"))
-    return shared.select("c_custkey", "c_acctbal", F.col("inner.name").alias("shared")).join(copied, "c_custkey")
+    tagged = _read(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("c_acctbal", metadata={C.TRANSIENT: True}), inner)
+    balance, held = tagged.schema["c_acctbal"], tagged.schema["inner"]
+    cloner, sharing = C.Cloner(), C.ClonerBuilder().immutable_type(held.dataType).build()
+    column = F.col("inner")
+    return tagged.select(
+        "c_custkey",
+        cloner.field(F.col("c_acctbal"), balance).alias("c_acctbal"),
+        sharing.field(column, held)["name"].alias("shared"),
+        cloner.field(column, held)["name"].alias("copied"),
+        cloner.field(column, C.marked(held, C.IMMUTABLE))["name"].alias("shared_field"),
+    )
+
+
+def clone_variant(spark, sf_dir):
+    """Members named "secret" are left out at any depth, and booleans emptied, in values of unknown form."""
+    events = _read(spark, sf_dir, "events")
+    text = F.concat(
+        F.lit('{"k":'), "props", F.lit(',"list":[{"secret":{"x":1},"t":"'), "event_type", F.lit('"},[true,[{"secret":'), "props", F.lit(',"z":'),
+        F.col("event_id").cast("string"), F.lit('}]]],"secret":"s"}'),
+    )
+    rows = events.select("event_id", F.parse_json(text).alias("v"))
+    return V.clone_variants(rows, "v", ["secret"], ["BOOLEAN"]).select("event_id", F.to_json("v").alias("copy"))
+
+
+def _object_graph(spark, sf_dir):
+    """Customers, nations, regions and suppliers as objects, with a tree, shared objects and cycles of references."""
+    customers, nations, suppliers = (_read(spark, sf_dir, t) for t in ("customer", "nation", "supplier"))
+    name = lambda kind, key: F.concat(F.lit(kind), key.cast("string"))
+
+    def refs(rows, of, field, to):
+        return rows.select(of.alias("object"), F.lit(field).alias("field"), to.alias("target"))
+
+    c, half = name("C", F.col("c_custkey")), (F.col("c_custkey") / 2).cast("long")
+    n, r, s = name("N", F.col("n_nationkey")), name("R", F.col("n_regionkey")), name("S", F.col("s_suppkey"))
+    capital = nations.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("n_nationkey"))
+    parts = [
+        refs(customers, c, "nation", name("N", F.col("c_nationkey"))), refs(customers.where("c_custkey > 1"), c, "referrer", name("C", half)),
+        refs(customers, c, "agent", name("S", F.col("c_custkey") % 7 + 1)), refs(nations, n, "region", r), refs(capital, r, "capital", n),
+        refs(suppliers, s, "nation", name("N", F.col("s_nationkey"))),
+    ]
+    references = parts[0]
+    for part in parts[1:]:
+        references = references.union(part)
+    ids = [customers.select(c.alias("id")), nations.select(n.alias("id")), nations.select(r.alias("id")).distinct(), suppliers.select(s.alias("id"))]
+    return ids[0].union(ids[1]).union(ids[2]).union(ids[3]), references, customers.where("c_custkey % 9 = 0").select(c.alias("id"))
+
+
+def clone_graph(spark, sf_dir):
+    """A third of a third of the customers are copied with all they lead to, but for their agents."""
+    objects, references, roots = _object_graph(spark, sf_dir)
+    return G.clone_graph(objects, references, roots, ignored_fields=["agent"])[1]
+
+
+def clone_graph_objects(spark, sf_dir):
+    """The same copy's objects; nations are immutable, so that they are shared and lead no further."""
+    objects, references, roots = _object_graph(spark, sf_dir)
+    return G.clone_graph(objects, references, roots, immutable=F.col("id").startswith("N"))[0]
+
+
+def stream_projection(spark, sf_dir):
+    """The flagship's columns made by a stream, in available-now micro-batches with a checkpoint."""
+    stream = runs.file_stream(spark, f"{sf_dir}/events.parquet")
+    kind = F.col("event_type")
+
+    def columns(events):
+        kept = events.where(S.is_not_blank(kind))
+        return kept.select("event_id", P.json_get(F.col("props"), "k", "bigint").alias("k"), S.capitalize(kind).alias("kind"))
+
+    return runs.run_available(stream, columns, fresh_path(spark, "stream"))
 
 
 def storage_metadata(spark, sf_dir):
@@ -356,7 +495,8 @@ QUERIES = {
             str_lower, str_upper, str_capitalize, str_word_capitalize, path_get_json, path_get_struct, path_get_map,
             path_get_array, path_get_safe, path_get_missing, path_set_json, path_set_struct, path_set_map, path_set_array_pad,
             clone_ignore_field, clone_nested, clone_custom, storage_metadata, storage_url, path_custom_adapter,
-            path_custom_collection, clone_marks, storage_round_trip,
+            path_custom_collection, clone_marks, storage_round_trip, str_fold_join, str_split_by, path_set_many, path_get_by,
+            path_set_by, path_strict_fields, clone_variant, clone_graph, clone_graph_objects, stream_projection,
         )
     },
 }
@@ -376,6 +516,24 @@ def _cap(text: str) -> str:
     return f"upper(replace(left({text}, 1), 'ß', 'SS')) || lower(substr({text}, 2))"
 
 
+_REFS = """refs AS (
+      SELECT 'C' || c_custkey AS object, 'nation' AS field, 'N' || c_nationkey AS target FROM customer
+      UNION ALL SELECT 'C' || c_custkey, 'referrer', 'C' || (c_custkey // 2) FROM customer WHERE c_custkey > 1
+      UNION ALL SELECT 'C' || c_custkey, 'agent', 'S' || (c_custkey % 7 + 1) FROM customer
+      UNION ALL SELECT 'N' || n_nationkey, 'region', 'R' || n_regionkey FROM nation
+      UNION ALL SELECT 'R' || n_regionkey, 'capital', 'N' || min(n_nationkey) FROM nation GROUP BY n_regionkey
+      UNION ALL SELECT 'S' || s_suppkey, 'nation', 'N' || s_nationkey FROM supplier)"""
+
+
+def _walk(follow: str) -> str:
+    """Recursive SQL that walks the references for which ``follow`` holds."""
+    return f"""WITH RECURSIVE {_REFS},
+      walk AS (SELECT 'C' || c_custkey AS id FROM customer WHERE c_custkey % 9 = 0
+        UNION SELECT target FROM walk JOIN refs ON object = id AND {follow})"""
+
+
+_GRAPH, _GRAPH_SHARED = _walk("field <> 'agent'"), _walk("id[1] <> 'N'")
+
 ORACLES = {
     "flagship": f"""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, {_cap('event_type')} AS kind
         FROM events WHERE regexp_matches(event_type, '[^ ]')""",
@@ -384,7 +542,7 @@ ORACLES = {
     "str_is_empty": f"""SELECT event_id, coalesce(t = '', false) AS empty, NOT coalesce(t = '', false) AS not_empty
         FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '' ELSE nullif(a, 'view') END AS t FROM {_KINDS})""",
     "str_equals_nullsafe": f"SELECT event_id, a IS NOT DISTINCT FROM b AS same, a IS NULL AS missing FROM {_KINDS}",
-    "str_equals_ignore_case": "SELECT c_custkey, lower(c_mktsegment) = 'building' AS same, true AS same_name FROM customer",
+    "str_equals_ignore_case": "SELECT c_custkey, lower(c_mktsegment) = 'building' AS same, c_custkey % 3 = 2 AS same_name FROM customer",
     "str_reverse": f"SELECT doc_id, pos, array_to_string(list_reverse(regexp_extract_all(line, '(?s).')), '') AS reversed FROM {_LINES}",
     "str_strip": f"""SELECT doc_id, pos, coalesce(t, '') AS stripped, t AS or_null FROM (SELECT doc_id, pos, CASE WHEN pos % 3 <> 0
         THEN regexp_replace(line, '\\A{_WS}+|{_WS}+\\z', '', 'g') END AS t FROM {_LINES})""",
@@ -426,7 +584,29 @@ ORACLES = {
         array_to_string(list_transform(w, lambda x: CAST(length(x) AS VARCHAR)), '|') AS words, CAST(length(s) AS VARCHAR) AS tag FROM {_NESTED}""",
     "path_custom_adapter": """SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(event_id AS VARCHAR) AS added FROM events""",
     "path_custom_collection": f"""SELECT o_orderkey, w[-1] AS last, array_to_string(list_concat(w[:-2], ['end']), '|') AS words FROM {_NESTED}""",
-    "clone_marks": "SELECT c_custkey, CAST(NULL AS DOUBLE) AS c_acctbal, c_name AS shared, CAST(NULL AS VARCHAR) AS copied FROM customer",
+    "clone_marks": "SELECT c_custkey, CAST(NULL AS DOUBLE) AS c_acctbal, c_name AS shared, CAST(NULL AS VARCHAR) AS copied, c_name AS shared_field FROM customer",
+    "str_fold_join": """SELECT a.c_custkey, b.c_custkey AS other, lower(a.c_name) AS key, lower(b.c_mktsegment) AS segment
+        FROM customer a JOIN customer b ON lower(a.c_name) = lower(b.c_name)""",
+    "str_split_by": """SELECT page_id, CASE WHEN len(p) <= 3 THEN array_to_string(p, '|') ELSE p[1] || '|' || p[2] || '|' || list_reduce(p[3:], lambda x, y: x || r || y) END AS left_parts,
+        CASE WHEN len(p) <= 2 THEN array_to_string(p, '|') ELSE list_reduce(p[:-2], lambda x, y: x || r || y) || '|' || p[-1] END AS right_parts
+        FROM (SELECT page_id, r, string_split_regex(url, r) AS p FROM (
+          SELECT page_id, url, CASE length(url) % 3 WHEN 0 THEN '/' WHEN 1 THEN '[aeiou]' ELSE '[.]|:' END AS r FROM pages))""",
+    "path_set_many": f"""SELECT o_orderkey, 'done' AS status, CAST(o_orderkey AS VARCHAR) AS level, o_custkey AS customer, CAST(10 AS INTEGER) AS n_tags,
+        '7' AS t7, array_to_string(list_concat(['first'], w[2:], list_transform(range(5 - len(w)), lambda x: '~'), ['last']), '|') AS words FROM {_NESTED}""",
+    "path_get_by": """SELECT event_id, CASE event_id % 6 WHEN 1 THEN '"x"' WHEN 2 THEN CAST(event_id AS VARCHAR)
+        WHEN 0 THEN json_extract_string(props, '$.k') WHEN 5 THEN json_extract_string(props, '$.k') END AS found FROM events""",
+    "path_set_by": """SELECT event_id, '{"list":[' || CASE event_id % 6
+          WHEN 1 THEN '{"a.b":' || event_id || '},' || event_id WHEN 4 THEN '{"a.b":"x"},' || event_id || ',null,null,null,null,null,{"y":' || event_id || '}'
+          ELSE '{"a.b":"x"},' || event_id END || '],"p":{"k":' || CASE event_id % 6 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 5 THEN CAST(event_id AS VARCHAR)
+          ELSE json_extract_string(props, '$.k') END || CASE event_id % 6 WHEN 3 THEN ',"nope":{"x":' || event_id || '}' ELSE '' END || '}}' AS changed FROM events""",
+    "path_strict_fields": f"""SELECT o_orderkey, CAST(NULL AS VARCHAR) AS safe, CAST(NULL AS VARCHAR) AS lenient, s AS status, CAST(2 AS INTEGER) AS refused FROM {_NESTED}""",
+    "clone_variant": """SELECT event_id, '{"k":{"k":' || json_extract_string(props, '$.k') || '},"list":[{"t":"' || event_type || '"},[null,[{"z":' || event_id || '}]]]}'
+        AS copy FROM events""",
+    "clone_graph": f"""{_GRAPH}
+        SELECT 'copy of ' || object AS object, field, 'copy of ' || target AS target FROM refs JOIN walk ON object = id WHERE field <> 'agent'""",
+    "clone_graph_objects": f"""{_GRAPH_SHARED} SELECT 'copy of ' || id AS id FROM walk WHERE id[1] <> 'N'""",
+    "stream_projection": f"""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, {_cap('event_type')} AS kind
+        FROM events WHERE regexp_matches(event_type, '[^ ]')""",
     "storage_metadata": """SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents',
         'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name, 'application/vnd.apache.parquet' AS contentType, '' AS etag,
         true AS sized, true AS dated""",
