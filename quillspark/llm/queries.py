@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     decontaminate, divergence, filter_audit, id_files, licences, mixing, near_dedup, packing, pii, quality, secret_scan, source_audit, toxicity,
@@ -25,7 +26,7 @@ def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return out.select("doc_id", "held_out", "score", "predicted", "n_toxic_tokens")
+    return out.withColumn("spans", F.array_join("spans", ","))
 
 
 def op5_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
