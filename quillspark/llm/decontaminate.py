@@ -12,9 +12,14 @@ Documents are searched twice. Seeds are short windows: every one of an item, but
 fourth of a document, so that any full window that they share has a seed within it. Only
 documents with a seed are then cut into all their windows.
 
-Items with fewer windows than make an alignment (short ones, and those dense with placeholders)
-are also searched whole: by their exact words and, if enough of these are no placeholders, by
-their template. Only documents that have such an item's longest word are looked at for that.
+Names are seen by their capitals, so a copy in capitals, in title case or in lower case has
+other templates. Beside the templates, windows of exact words in lower case are joined as well,
+with seeds of their own; each alignment of ``MIN_WINDOWS`` of them is a verbatim copy.
+
+Items with fewer windows of either kind than make an alignment (short ones, and those dense
+with placeholders) are also searched whole: by their exact words or, if enough words are no
+placeholders, by their template. For that a document is cut only where an item's longest word
+stands, at the item's own distance from it.
 
 Only DataFrame functions run here. The benchmark side is broadcast only if its windows have
 been counted and are few; otherwise the join shuffles.
@@ -101,6 +106,43 @@ def _goes_on(canon: str, i: Column) -> Column:
     return here.isin(NAME, NUMBER, UNIT) & F.coalesce(here == F.get(canon, i - 1), F.lit(False))
 
 
+def plain_words(text: Column) -> Column:
+    """Lower-case words of letters and digits; an empty one may stand at either end."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1)
+
+
+def plain_windows(docs: DataFrame, key: str, size: int, step: int = 1) -> DataFrame:
+    """key, pos and h of windows of exact words, from each ``step``-th word."""
+    words = docs.select(key, plain_words(F.col("text")).alias("words"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)), F.lit(step))
+    listed = F.when(F.size("words") >= size, F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("words", i + 1, F.lit(size))).alias("h"))))
+    return words.select(key, F.explode(listed).alias("w")).select(key, "w.*")
+
+
+def verbatim(texts: DataFrame, items: DataFrame, size: int, min_windows: int) -> DataFrame:
+    """doc_id, item_id, n_windows and item_windows of copies in exact words, whatever their case and punctuation.
+
+    The shortest copy has ``size + min_windows - 1`` words, of which each seed of a document that
+    stands at a multiple of what this exceeds a seed by lies within.
+    """
+    run = size + min_windows - 1
+    items = items.where(F.size(F.array_remove(plain_words(F.col("text")), "")) >= run)
+    # The empty words at the ends of an item are none of a document's.
+    bare = items.withColumn("text", F.regexp_replace("text", r"\A[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z", ""))
+    sought = checkpoint(plain_windows(bare, "item_id", size).withColumnRenamed("pos", "item_pos"))
+    few = sought.count() <= BROADCAST_WINDOWS
+    total = sought.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))
+    short = plain_windows(bare, "item_id", SEED).select("h").distinct()
+    seeded = plain_windows(texts, "doc_id", SEED, run - SEED + 1).join(F.broadcast(short) if few else short, "h", "left_semi")
+    seeded = settled(seeded.select("doc_id").distinct())
+    listed = seeded.count() <= BROADCAST_IDS
+    held = texts.join(F.broadcast(seeded) if listed else seeded, "doc_id", "left_semi")
+    hit = plain_windows(held, "doc_id", size).join(F.broadcast(sought) if few else sought, "h")
+    found = hit.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count_distinct("item_pos").alias("n_windows"))
+    found = found.where(F.col("n_windows") >= min_windows).groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"))
+    return found.join(F.broadcast(total) if few else total, "item_id").select("doc_id", "item_id", "n_windows", "item_windows")
+
+
 def seeds(docs: DataFrame, key: str, size: int, seed: int, step: int, max_held: int | None = None) -> DataFrame:
     """key and h of short windows, from each ``step``-th word, of texts of at least ``size`` words.
 
@@ -174,42 +216,58 @@ def windows(docs: DataFrame, key: str, size: int = WINDOW) -> DataFrame:
     return spans(templated(docs, key), key, F.array(F.lit(size))).drop("size")
 
 
-def _holding(texts: DataFrame, thin: DataFrame) -> DataFrame:
-    """The texts that have the longest word of a thin item, one that its template keeps if there is any."""
-    both = templated(thin, "item_id").select("item_id", F.col("canon").alias("kept")).join(_paired(thin, "item_id", exact).drop("raw"), "item_id")
-    kept = F.filter("kept", lambda c: ~c.contains("§"))
-    listed = F.when(F.size(kept) > 0, kept).otherwise(F.col("canon"))
-    longest = F.array_max(F.transform(listed, lambda c: F.struct(F.length(c).alias("n"), c.alias("word"))))
-    anchors = checkpoint(both.select(longest["word"].alias("word")).distinct())
-    few = anchors.count() <= BROADCAST_WINDOWS
-    words = F.array_distinct(F.split(exact(spaced(F.col("text"))), " ", -1))
-    own = texts.select("doc_id", F.explode(words).alias("word")).join(F.broadcast(anchors) if few else anchors, "word", "left_semi")
-    ids = settled(own.select("doc_id").distinct())
-    few = ids.count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-
-
-def whole(texts: DataFrame, thin: DataFrame) -> DataFrame:
-    """doc_id, item_id and pairs, for each place where a document holds all of a thin item."""
-    texts = _holding(texts, thin)
-    literal = F.size(F.filter("canon", lambda c: ~c.startswith("§")))
-    parts = templated(thin, "item_id").where(literal >= MIN_LITERAL).withColumn("exact", F.lit(False))
-    parts = parts.unionByName(_paired(thin, "item_id", exact).withColumn("exact", F.lit(True)))
-    sought = [
-        spans(parts.where(F.col("exact") == e), "item_id", F.array(F.size("canon"))).select(F.lit(e).alias("exact"), "item_id", "size", "h", "slots")
-        for e in (False, True)
-    ]
-    sought = checkpoint(sought[0].unionByName(sought[1]).withColumnRenamed("slots", "item_slots").distinct())
-    few = sought.count() <= BROADCAST_WINDOWS
+def _forms(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, exact, canon and raw: a row for the exact words of a text, and one for its template."""
+    packed = docs.select(F.struct(*keys).alias("keys"), "text")
+    both = _paired(packed, "keys", exact).withColumn("exact", F.lit(True)).unionByName(templated(packed, "keys").withColumn("exact", F.lit(False)))
+    return both.select("keys.*", "exact", "canon", "raw")
+
+
+def _slots(start: Column, size: Column) -> Column:
+    """The values behind the placeholders of a window."""
+    values = F.zip_with(
+        F.slice("canon", start + 1, size),
+        F.slice("raw", start + 1, size),
+        lambda c, r: F.when(c.startswith("§"), F.regexp_replace(F.lower(r), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$", "")),
+    )
+    return F.filter(values, lambda v: v.isNotNull())
 
-    def found(words: DataFrame, is_exact: bool) -> DataFrame:
-        items = sought.where(F.col("exact") == is_exact).drop("exact")
-        # Few numbers: a size is that of an item with few windows.
-        sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
-        hit = spans(words, "doc_id", F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"))
-        return hit.join(F.broadcast(items) if few else items, ["size", "h"]).select("doc_id", "item_id", _pairs().alias("pairs"))
 
-    return found(_paired(texts, "doc_id", exact), True).unionByName(found(templated(texts, "doc_id"), False))
+def whole(texts: DataFrame, thin: DataFrame, longest_exact: int) -> DataFrame:
+    """doc_id, item_id and pairs, for each place where a document holds all of a thin item.
+
+    Items of more than ``longest_exact`` words are not sought by their exact words, which
+    ``verbatim`` does.
+    """
+    literal = F.size(F.filter("canon", lambda c: ~c.startswith("§")))
+    parts = _forms(thin, ["item_id"]).where(F.when(F.col("exact"), F.size("canon") <= longest_exact).otherwise(literal >= MIN_LITERAL))
+    numbered = F.transform("canon", lambda c, i: F.struct((~c.startswith("§")).alias("kept"), F.length(c).alias("n"), c.alias("word"), (-i).alias("back")))
+    parts = parts.withColumn("anchor", F.array_max(numbered)).withColumn("size", F.size("canon"))
+    sought = checkpoint(
+        parts.select(
+            "exact", "item_id", F.col("anchor.word").alias("word"), (-F.col("anchor.back")).alias("offset"), "size",
+            F.xxhash64(F.array_join("canon", " ")).alias("h"), _slots(F.lit(0), F.col("size")).alias("item_slots"),
+        ).distinct()
+    )
+    few = sought.count() <= BROADCAST_WINDOWS
+    if sought.isEmpty():
+        return texts.sparkSession.createDataFrame([], f"doc_id long, item_id long, pairs {PAIRED_TYPE}")
+    # A template's anchor is one of the text's exact words too, since it is no placeholder.
+    anchors = sought.select("word").distinct()
+    own = texts.select("doc_id", F.explode(F.array_distinct(F.split(exact(spaced(F.col("text"))), " ", -1))).alias("word"))
+    ids = settled(own.join(F.broadcast(anchors) if few else anchors, "word", "left_semi").select("doc_id").distinct())
+    listed = ids.count() <= BROADCAST_IDS
+    held = texts.join(F.broadcast(ids) if listed else ids, "doc_id", "left_semi")
+    forms = checkpoint(_forms(held.withColumn("text_hash", F.xxhash64("text")).distinct(), ["doc_id", "text_hash"]))
+    places = forms.select("doc_id", "text_hash", "exact", F.posexplode("canon").alias("pos", "word"))
+    places = places.join(F.broadcast(sought) if few else sought, ["exact", "word"]).withColumn("start", F.col("pos") - F.col("offset"))
+    listed = F.collect_list(F.struct("start", "size", "h", "item_id", "item_slots")).alias("places")
+    near = places.where("start >= 0").groupBy("doc_id", "text_hash", "exact").agg(listed)
+    near = forms.join(near, ["doc_id", "text_hash", "exact"])
+    equal = F.filter("places", lambda p: F.xxhash64(F.array_join(F.slice("canon", p["start"] + 1, p["size"]), " ")) == p["h"])
+    hit = near.select("doc_id", "canon", "raw", F.explode(equal).alias("p"))
+    hit = hit.select("doc_id", F.col("p.item_id").alias("item_id"), F.col("p.item_slots").alias("item_slots"), _slots(F.col("p.start"), F.col("p.size")).alias("slots"))
+    return hit.select("doc_id", "item_id", _pairs().alias("pairs"))
 
 
 #: Values of an item and a document in the same places.
@@ -268,11 +326,13 @@ def alignments(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> Dat
 
 
 def thin_items(benchmark: DataFrame, size: int, min_windows: int) -> DataFrame:
-    """item_id and text of the items that have fewer sought windows than make an alignment."""
+    """item_id and text of the items that have fewer sought windows of either kind than make an alignment."""
     items = id_and_text(benchmark, "item_id").where("doc_id is not null").withColumnRenamed("doc_id", "item_id").distinct()
     every = windows(items, "item_id", size).where(F.col("held") <= size - MIN_LITERAL)
     enough = every.groupBy("item_id").count().where(F.col("count") >= min_windows)
-    return checkpoint(items.join(enough, "item_id", "left_anti").where(exact(F.col("text")).rlike(r"[\p{L}\p{N}]")))
+    short = F.size(F.array_remove(F.split(exact(spaced(F.col("text"))), " ", -1), "")) < size + min_windows
+    few = items.join(enough, "item_id", "left_anti").union(items.where(short)).distinct()
+    return checkpoint(few.where(exact(F.col("text")).rlike(r"[\p{L}\p{N}]")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_windows: int = MIN_WINDOWS) -> DataFrame:
@@ -283,10 +343,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
     aligned = alignments(docs, benchmark, size)
     taken = aligned.where(F.col("consistent") & (F.col("n_windows") >= F.least(F.lit(min_windows), F.col("item_windows"))))
     taken = taken.select("doc_id", "item_id", "n_windows", "item_windows", "n_changed")
+    texts = id_and_text(docs).where("doc_id is not null")
+    items = id_and_text(benchmark, "item_id").where("doc_id is not null").withColumnRenamed("doc_id", "item_id").distinct()
+    none = F.lit(0).cast("long")
+    taken = taken.unionByName(verbatim(texts, items, size, min_windows).withColumn("n_changed", none))
     thin = thin_items(benchmark, size, min_windows)
     if not thin.isEmpty():
         one = F.lit(1).cast("long")
-        entire = whole(id_and_text(docs).where("doc_id is not null"), thin).where(_one_to_one())
+        entire = whole(texts, thin, size + min_windows).where(_one_to_one())
         taken = taken.unionByName(
             entire.select("doc_id", "item_id", one.alias("n_windows"), one.alias("item_windows"), _n_changed().alias("n_changed"))
         )

@@ -69,7 +69,7 @@ QUESTION = "If Bob buys 12 apples at 3 dollars each and sells 12 of them to Alic
 CASES = [
     (1, "so we ask: if Carol buys 15 apples at 4 dollars each and sells 15 of them to Dave later then what is left for Carol? ok", True),
     (2, "if Carol buys 15 apples at 4 dollars each and sells 17 of them to Dave later then what is left for Erin", False),
-    (3, None, False), (4, "", False), (5, QUESTION, True), (6, "words " * 50 + QUESTION.upper().replace("BOB", "Bob") + " more", False),
+    (3, None, False), (4, "", False), (5, QUESTION, True), (6, "words " * 50 + QUESTION.upper().replace("BOB", "Bob") + " more", True),
     (7, "text before.\n" + QUESTION + ".\nText after", True), (8, "the quick brown fox jumps over the lazy dog again and again", False),
 ]
 
@@ -78,14 +78,11 @@ def test_contamination(spark):
     items = spark.createDataFrame([(1, QUESTION, "x"), (2, QUESTION, "y"), (3, None, "z"), (4, "too short", "z"), (None, QUESTION, "n")], "item_id long, text string, doc_id string")
     docs = spark.createDataFrame([(i, t, 9) for i, t, _ in CASES] + [(None, QUESTION, 9)], "doc_id long, text string, item_id int")
     rows = decontaminate.contaminated(docs, items).collect()
-    # Case 6 keeps only names and numbers in common with the item's capitals gone.
-    assert {(r.doc_id, r.item_id) for r in rows} >= {(i, k) for i, _, hit in CASES if hit for k in (1, 2)}
-    assert not {r.doc_id for r in rows} & {i for i, _, hit in CASES if not hit and i != 6}
+    assert {(r.doc_id, r.item_id) for r in rows} == {(i, k) for i, _, hit in CASES if hit for k in (1, 2)}
     assert {r.n_changed for r in rows if r.doc_id == 5} == {0}
     assert all(r.n_changed > 0 for r in rows if r.doc_id == 1)
     kept = {r.doc_id for r in decontaminate.keep_clean(docs, items).collect()}
-    assert kept >= {2, 3, 4, 8}
-    assert not kept & {1, 5, 7, None}
+    assert kept == {2, 3, 4, 8}
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
@@ -115,6 +112,46 @@ def test_contamination_of_dense_and_short_items(spark):
     assert got == {(1, 1), (2, 2), (5, 3), (6, 4)}
 
 
+PROSE = [
+    "A farmer keeps 14 hens in a yard. Each hen lays 5 eggs in a week. He sells every dozen for 3 dollars at the market in Lyon. How much does he earn?",
+    "The committee shall publish its annual report within ninety days after the close of the fiscal year to which it relates",
+    "Which of the following gases makes up the largest part of the air that we breathe: oxygen, nitrogen, argon or helium?",
+    "Maria and Tom paint a fence together. Maria alone needs 6 hours; Tom alone needs 4. How long do they need if both work?",
+    "Translate into French, please: my aunt has left the green umbrella - the old one - on the last train from Dover.",
+]
+
+
+def test_verbatim_copies_in_any_case(spark):
+    """Whole items in capitals, title case, lower case, mixed case and other punctuation, and parts of ten words, are found."""
+    mixed = lambda t: "".join(c.upper() if i % 3 else c.lower() for i, c in enumerate(t))
+    ten = lambda t: " ".join(re.findall(r"[^\W_]+", t)[3:13])
+    spoilt = lambda t: t.replace(" ", " - ").replace(".", " ...")
+    ways = [str, str.upper, str.title, str.lower, mixed, spoilt, ten, lambda t: ten(t).upper()]
+    items = [*enumerate([QUESTION, *PROSE]), (90, "Seven green stones"), (91, "What holds when nothing else does?")]
+    docs, expected = [], set()
+    for w, way in enumerate(ways):
+        for k, text in items:
+            if k >= 90 and w >= 6:
+                continue
+            docs.append((100 * w + k, f"some words before it and\nmore. {way(text)}\tand what comes then"))
+            expected.add((100 * w + k, k))
+    nine = lambda t: " ".join(re.findall(r"[^\W_]+", t)[3:12])
+    docs += [(1000 + k, f"before {nine(t).lower()} after it") for k, t in enumerate(PROSE)]
+    docs += [(2000, "seven stones"), (2001, "seven green"), (2002, "what holds when nothing does else"), (2003, "Stones Green Seven " * 20)]
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert found == expected
+
+
+def test_thin_items_of_many_sizes_cost_no_more_places(spark):
+    """Documents are cut only where a thin item's longest word stands."""
+    items = [(k, " ".join(f"tiny{k}" if i == k // 2 else f"w{i}" for i in range(k + 1))) for k in range(8)]
+    filler = " ".join(f"filler{i % 50}" for i in range(3000))
+    docs = [(k, f"{filler} {items[k][1]} {filler}") for k in range(8)] + [(50, filler + " tiny3 " + filler), (51, filler)]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k) for k in range(8)}
+
+
 NAMES = "Alice Bob Carla Dan Erin Frank Gita Hugo Iris Jack Lena Mark".split()
 THINGS = "apples pears coins books stamps marbles cards shells".split()
 QUESTIONS = [
