@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-from datetime import timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +14,8 @@ from ..operators import graph_clone as G
 from ..operators import path_columns as PC
 from ..operators import paths as P
 from ..operators import variant_clone as V
-from ..scratch import fresh_path
-from ..sources import storage
+from ..scratch import fresh_path, settled
+from ..sources import file_rows, storage
 from ..streaming import runs
 from ..workers import make_importable
 
@@ -459,25 +458,33 @@ def storage_metadata(spark, sf_dir):
 
 
 def storage_round_trip(spark, sf_dir):
-    """Each region's name is uploaded, read again and deleted, in a new folder of the warehouse."""
+    """Each supplier's name becomes a file of a new folder, is read again, looked up and deleted, by the executors."""
     store = storage.FileStorage(spark, "http://files.test/")
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/store-{uuid.uuid4().hex}"
-    where, fs = store._open(folder)
-    fs.mkdirs(where)
-    out = []
-    # Five rows at any scale.
-    for r in _read(spark, sf_dir, "region").collect():
-        path = f"{folder}/{r.r_regionkey}.txt"
-        before = store.exists(path)
-        store.upload(path, r.r_name.encode())
-        with store.download(path) as source:
-            content = source.read().decode()
-        about, there = store.metadata(path), store.exists(path)
-        url = store.signed_url("a.txt", storage.SignedUrlOptions.default_read(timedelta(minutes=5)))
-        store.delete(path)
-        out.append((r.r_regionkey, content, about.size, about.content_type, before, there, store.exists(path), url))
-    store.delete(folder)
-    return spark.createDataFrame(out, "r_regionkey int, content string, size long, type string, before boolean, there boolean, after boolean, url string")
+    folder = fresh_path(spark, "store")
+    key = F.col("s_suppkey").cast("string")
+    suppliers = _read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("s/"), key, F.lit(".txt")).alias("path"), F.col("s_name").cast("binary").alias("content"))
+    began = F.lit(datetime.now(UTC) - timedelta(seconds=5))
+    before = settled(file_rows.read_files(spark, folder).select("path"))
+    file_rows.write_files(suppliers, folder)
+    found = settled(file_rows.read_files(spark, folder).select("path", "size", "lastModified", F.col("contentType").alias("type"), F.col("content").cast("string").alias("content")))
+    about = storage.metadata_table(spark, folder)
+    about = settled(about.select(F.regexp_extract("path", r"(s/[^/]+)$", 1).alias("path"), F.col("size").alias("size_there"), F.col("lastModified").alias("time_there"), "etag"))
+    gone = settled(file_rows.delete_files(suppliers, folder))
+    after = settled(file_rows.read_files(spark, folder).select("path"))
+
+    def among(paths: DataFrame, name: str) -> DataFrame:
+        return paths.withColumn(name, F.lit(True)).withColumnRenamed("path", f"{name}_path")
+
+    rows = suppliers.select("s_suppkey", "path").join(found, "path").join(about, "path").join(gone, "path")
+    for paths, name in ((before, "before"), (after, "after")):
+        rows = rows.join(among(paths, name), rows["path"] == F.col(f"{name}_path"), "left")
+    same_time = F.abs(F.unix_micros("lastModified") - F.unix_micros("time_there")) < 1_000_000
+    url = store.signed_url("", storage.SignedUrlOptions.default_read(timedelta(minutes=5)))
+    return rows.select(
+        "s_suppkey", "path", "content", "size", (F.col("size") == F.col("size_there")).alias("same_size"), "type", "etag", same_time.alias("same_time"),
+        (F.col("lastModified") >= began).alias("dated"), F.coalesce("before", F.lit(False)).alias("before"), "there",
+        F.coalesce("after", F.lit(False)).alias("after"), F.concat(F.lit(url), "path").alias("url"),
+    )
 
 
 def storage_url(spark, sf_dir):
@@ -610,7 +617,8 @@ ORACLES = {
     "storage_metadata": """SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents',
         'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS name, 'application/vnd.apache.parquet' AS contentType, '' AS etag,
         true AS sized, true AS dated""",
-    "storage_round_trip": """SELECT r_regionkey, r_name AS content, length(r_name) AS size, 'text/plain' AS type, false AS before, true AS there,
-        false AS after, 'http://files.test/a.txt' AS url FROM region""",
+    "storage_round_trip": """SELECT s_suppkey, 's/' || s_suppkey || '.txt' AS path, s_name AS content, length(s_name) AS size, true AS same_size,
+        'text/plain' AS type, '' AS etag, true AS same_time, true AS dated, false AS before, true AS there, false AS after,
+        'http://files.test/s/' || s_suppkey || '.txt' AS url FROM supplier""",
     "storage_url": "SELECT page_id, 'http://files.test/x///p/' || page_id AS url FROM pages",
 }
