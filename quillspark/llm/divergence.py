@@ -1,18 +1,19 @@
 """Operator 2: quality rules by distribution divergence.
 
 Each document's character-class histogram and common-word histogram are compared with those
-of its language (the sums over all documents of that language) by Jensen-Shannon distance.
-A document whose language has no reference, because its tag is missing or rare, is held
-against all references and may be close to any. Too short documents skip a test (the
-minimum-length guards). Base rules on length and repeated words come first.
+of its language by Jensen-Shannon distance. A reference is the sum over all other documents of
+that language, so that none is held against itself; it counts from ``MIN_REFERENCE_WORDS``
+words on. A document without such a reference is held against the character classes of the
+whole corpus, and skips the words, which differ between languages. Too short documents skip a
+test (the minimum-length guards). Base rules on length and repeated words come first.
 
 Only DataFrame functions run here; the one shuffle sums a few counters per language. The
 counts of each document go to a table in the shared folder, from which the references and
 then the distances are made.
 
 Defined results: null text counts as empty, which fails the base rules; texts of any length
-are measured whole; a null language makes no reference, and without any reference only the
-base rules decide; rows, ties and repeated ids pass through one to one; an empty table
+are measured whole; a null language has no reference of its own, and a corpus of too few words
+none at all, where only the base rules decide; rows, ties and repeated ids pass through one to one; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import checkpoint, scratch_path
 
 #: Symbol characters, and the character classes.
 SYMBOLS = r"[#*$%&|<>]"
@@ -34,8 +35,10 @@ COMMON_WORDS = [
     "el", "los", "del", "se", "las", "por", "con", "una", "para", "al",
 ]
 
-#: Share of the documents with a language that a language needs for a reference.
-MIN_SHARE = 0.01
+#: Words of all others that a document's reference needs.
+MIN_REFERENCE_WORDS = 1000
+#: Languages up to which the references are broadcast (a thousand bytes each).
+BROADCAST_LANGS = 10_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Guards: characters without white space, and words, that a test needs.
@@ -150,19 +153,17 @@ def measure(docs: DataFrame) -> DataFrame:
     return histograms(repeats(spaced(docs))).drop("text", "even")
 
 
-def references(measured: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
-    """One row for each language that has ``min_share`` of all documents with one: the two histograms summed, as shares.
+def references(measured: DataFrame) -> DataFrame:
+    """One row for each language, a null one too: its words and the two histograms, summed.
 
-    At most ``1 / min_share`` languages have that, so the table is small for any number of tags.
     Sums run per counter with partial aggregation, so a hot language or source is no burden.
     """
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))]
     sums += [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(len(COMMON_WORDS) + 1)]
-    total = with_common(measured.where("lang is not null")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums)
-    total = total.join(F.broadcast(total.agg(F.sum("n").alias("tagged")))).where(F.col("n") >= min_share * F.col("tagged"))
+    total = with_common(measured).groupBy("lang").agg(F.sum("n_words").alias("ref_words"), *sums)
     classes = F.array(*[F.col(f"c{i}") for i in range(len(CLASSES))])
     common = F.array(*[F.col(f"w{i}") for i in range(len(COMMON_WORDS) + 1)])
-    return total.select("lang", _shares(classes).alias("classes"), _shares(common).alias("common"))
+    return total.select(F.col("lang").alias("ref_lang"), "ref_words", classes.alias("ref_classes"), common.alias("ref_common"))
 
 
 def _shares(counts: Column) -> Column:
@@ -190,26 +191,38 @@ def judge(
 ) -> DataFrame:
     """The base counts, ``base_failed``, the distances to the references, and ``kept``.
 
-    A document is held against the reference of its language, or against the nearest one if
-    its language has none. ``refs`` (as ``references`` makes them) may come from another
-    corpus; by default they are those of all of ``docs``. They are one row of at most
-    ``1 / MIN_SHARE`` languages, which rides along with the documents.
+    ``refs`` (as ``references`` makes them) may come from another corpus; by default they are
+    those of all of ``docs``, from which each document's own counts are taken away.
     """
     measured = measure(docs)
-    if refs is None:
+    own = refs is None
+    if own:
         # Some hundred bytes a document, without its text, so that texts are read once.
         path = scratch_path(docs.sparkSession, "measured")
         measured.write.parquet(path)
         measured = docs.sparkSession.read.parquet(path)
         refs = references(measured)
-    listed = refs.agg(F.collect_list(F.struct("lang", "classes", "common")).alias("refs"))
-    both = with_common(measured).join(F.broadcast(listed))
-    own = F.filter("refs", lambda r: r["lang"] == F.col("lang"))
-    both = both.withColumn("own", F.when(F.size(own) > 0, own).otherwise(F.col("refs")))
-    least = lambda name, shares: F.array_min(F.transform("own", lambda r: distance(shares, r[name])))
-    both = both.withColumns({"p": _shares(F.col("classes")), "q": _shares(F.col("common"))})
-    both = both.withColumn("class_distance", F.when(F.col("word_chars") >= min_chars, least("classes", F.col("p"))))
-    both = both.withColumn("word_distance", F.when(F.col("n_words") >= min_words, least("common", F.col("q"))))
+    refs = checkpoint(refs)
+    # Seven numbers: the classes and words of the corpus.
+    pool = refs.agg(*[F.sum(F.get("ref_classes", F.lit(i))) for i in range(len(CLASSES))], F.sum("ref_words")).first()
+    *pooled, pool_words = [n or 0 for n in pool]
+    known = refs.where("ref_lang IS NOT NULL")
+    few = known.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS
+    both = with_common(measured).join(F.broadcast(known) if few else known, F.col("lang") == F.col("ref_lang"), "left")
+    others = lambda total, mine: F.zip_with(total, mine, lambda a, b: a - b) if own else total
+    left = lambda words: words - F.col("n_words") if own else words
+    enough = left(F.col("ref_words")) >= MIN_REFERENCE_WORDS
+    whole = F.when(left(F.lit(pool_words)) >= MIN_REFERENCE_WORDS, others(F.array(*[F.lit(n).cast("long") for n in pooled]), F.col("classes")))
+    both = both.withColumns(
+        {
+            "p": _shares(F.col("classes")),
+            "q": _shares(F.col("common")),
+            "ref_p": _shares(F.when(enough, others(F.col("ref_classes"), F.col("classes"))).otherwise(whole)),
+            "ref_q": _shares(F.when(enough, others(F.col("ref_common"), F.col("common")))),
+        }
+    )
+    both = both.withColumn("class_distance", F.when(F.col("word_chars") >= min_chars, distance(F.col("p"), F.col("ref_p"))))
+    both = both.withColumn("word_distance", F.when(F.col("n_words") >= min_words, distance(F.col("q"), F.col("ref_q"))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= max_class) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word)
     return both.select(

@@ -43,20 +43,22 @@ histogram AS (
   UNION ALL
   SELECT doc_id, lang, 'word', ' other', n_words - coalesce(f.c, 0) FROM counts
     LEFT JOIN (SELECT doc_id, sum(c) AS c FROM frequent GROUP BY doc_id) f USING (doc_id)),
+sums AS (SELECT lang, kind, bin, sum(c) AS s FROM histogram GROUP BY lang, kind, bin),
+lang_words AS (SELECT lang, sum(n_words) AS w FROM counts GROUP BY lang),
+held AS (
+  SELECT h.doc_id AS doc_id, h.kind AS kind, h.bin AS bin, h.c AS c,
+    CASE WHEN lw.w - k.n_words >= {D.MIN_REFERENCE_WORDS} THEN s.s - h.c
+      WHEN h.kind = 'class' AND (SELECT sum(w) FROM lang_words) - k.n_words >= {D.MIN_REFERENCE_WORDS} THEN a.s - h.c END AS r
+  FROM histogram h JOIN counts k ON k.doc_id = h.doc_id LEFT JOIN lang_words lw ON lw.lang = h.lang
+    LEFT JOIN sums s ON s.lang = h.lang AND s.kind = h.kind AND s.bin = h.bin
+    LEFT JOIN (SELECT kind, bin, sum(s) AS s FROM sums GROUP BY kind, bin) a ON a.kind = h.kind AND a.bin = h.bin),
 shares AS (
-  SELECT doc_id, lang, kind, bin, c / greatest(sum(c) OVER (PARTITION BY doc_id, kind), 1) AS p FROM histogram),
-major AS (
-  SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang
-  HAVING count(*) >= {D.MIN_SHARE} * (SELECT count(lang) FROM documents)),
-refs AS (
-  SELECT lang, kind, bin, s / greatest(sum(s) OVER (PARTITION BY lang, kind), 1) AS q
-  FROM (SELECT lang, kind, bin, sum(c) AS s FROM histogram WHERE lang IN (SELECT lang FROM major) GROUP BY lang, kind, bin)),
+  SELECT doc_id, kind, c / greatest(sum(c) OVER (PARTITION BY doc_id, kind), 1) AS p,
+    r / greatest(sum(r) OVER (PARTITION BY doc_id, kind), 1) AS q FROM held WHERE r IS NOT NULL),
 distances AS (
-  SELECT doc_id, shares.kind AS kind, refs.lang AS lang, sqrt(greatest(sum(
+  SELECT doc_id, kind, sqrt(greatest(sum(
     (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2), 0)) AS d
-  FROM shares JOIN refs ON shares.kind = refs.kind AND shares.bin = refs.bin
-    AND (shares.lang = refs.lang OR shares.lang IS NULL OR shares.lang NOT IN (SELECT lang FROM major))
-  GROUP BY doc_id, shares.kind, refs.lang),
+  FROM shares GROUP BY doc_id, kind),
 least_distance AS (
   SELECT doc_id, min(d) FILTER (kind = 'class') AS class_d, min(d) FILTER (kind = 'word') AS word_d FROM distances GROUP BY doc_id),
 judged AS (

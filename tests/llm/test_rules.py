@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections import Counter
 from pathlib import Path
 
@@ -52,6 +53,65 @@ def test_divergence_rejects_other_shapes(spark):
     assert not kept[61][1]
 
 
+def brute_verdicts(rows):
+    """kept by plain Python, each document against all others of its language."""
+    import math
+
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, _ in rows]
+    classes, common = [], []
+    for w in words:
+        solid = "".join(w)
+        kinds = Counter()
+        for c in solid:
+            n = "lower" if unicodedata.category(c) == "Ll" else "upper" if unicodedata.category(c) == "Lu" else "digit" if unicodedata.category(c) == "Nd" else ""
+            kinds[n or ("symbol" if c in "#*$%&|<>" else "punct" if unicodedata.category(c)[0] == "P" else "other")] += 1
+        classes.append([kinds[k] for k in divergence.CLASSES])
+        plain = Counter(re.sub(r"[.,;:!?]+\Z", "", x.lower()) for x in w)
+        listed = [plain[c] for c in divergence.COMMON_WORDS]
+        common.append([*listed, len(w) - sum(listed)])
+
+    def far(own, others):
+        total = [sum(x) for x in zip(*others, strict=True)]
+        p, q = ([x / max(1, sum(v)) for x in v] for v in (own, total))
+        return math.sqrt(max(0, sum(a * math.log2(2 * a / (a + b)) for u, v in ((p, q), (q, p)) for a, b in zip(u, v, strict=True) if a > 0) / 2))
+
+    out = []
+    for i, (_, t, lang) in enumerate(rows):
+        n, chars, _, _, again = counted(t)
+        same = [k for k in range(len(rows)) if k != i and rows[k][2] == lang and lang is not None]
+        every = [k for k in range(len(rows)) if k != i]
+        enough = lambda ks: sum(len(words[k]) for k in ks) >= divergence.MIN_REFERENCE_WORDS
+        by_class = same if enough(same) else every if enough(every) else []
+        by_word = same if enough(same) else []
+        ok = not (n < 50 or 100 * again > 50 * n)
+        ok = ok and (chars < divergence.MIN_CHARS or not by_class or far(classes[i], [classes[k] for k in by_class]) <= divergence.MAX_CLASS_DISTANCE)
+        ok = ok and (n < divergence.MIN_HISTOGRAM_WORDS or not by_word or far(common[i], [common[k] for k in by_word]) <= divergence.MAX_WORD_DISTANCE)
+        out.append(ok)
+    return out
+
+
+def test_verdicts_against_all_other_documents_of_a_language(spark):
+    """A rare language has its own reference, a lone one and a null one have the classes of all, and none has itself."""
+    rng = random.Random(6)
+    vocabulary = {"en": "the of and river stone green walk", "nl": "het een van rivier steen groen lopen", "xx": "ba bo bu"}
+    made = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    prose = lambda lang, n: " ".join(rng.choice([*vocabulary[lang].split(), made(), made(), made()]) for _ in range(n))
+    junk = lambda n: " ".join("#$%"[rng.randrange(3)] * rng.randrange(3, 9) + str(k) for k in range(n))
+    rows = [(i, prose("en", rng.randrange(40, 200)), "en") for i in range(150)]
+    rows += [(200 + i, prose("nl", 300), "nl") for i in range(5)]  # a small share of all
+    rows += [(300, junk(70), "nl"), (301, prose("nl", 300), "en"), (302, junk(300), "lone"), (303, prose("en", 100), "lone two"), (304, prose("xx", 80), None)]
+    rows += [(305, junk(90), None), (306, None, "en"), (307, "", None), (308, prose("en", 20_000), "en"), (200, rows[150][1], "nl")]
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, lang string, n_words int, ref_lang string")
+    got = sorted((r.doc_id, r.kept) for r in divergence.judge(docs).collect())
+    want = brute_verdicts(rows)
+    assert got == sorted((r[0], k) for r, k in zip(rows, want, strict=True))
+    kept = dict(got)
+    assert kept[201] and kept[303] and not kept[300] and not kept[301] and not kept[302] and not kept[305]
+    alone = docs.where("doc_id = 302")
+    assert [r.kept for r in divergence.judge(alone).collect()] == [True]  # nothing to hold it against
+    assert [r.kept for r in divergence.judge(alone, divergence.references(divergence.measure(docs.where("doc_id < 200")))).collect()] == [False]
+
+
 def test_parity_with_sql(spark, sf_dir):
     con = duckdb.connect()
     for table in Path(sf_dir).glob("*.parquet"):
