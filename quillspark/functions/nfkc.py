@@ -5,15 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A character that NFKC may change or join with its neighbours: of those below U+0300 the ones
-#: with a compatibility form, of the others any. Fixed values.
-MAY_CHANGE = (
-    r"[\x{A0}\x{A8}\x{AA}\x{AF}\x{B2}-\x{B5}\x{B8}-\x{BA}\x{BC}-\x{BE}\x{132}\x{133}\x{13F}\x{140}\x{149}\x{17F}"
-    r"\x{1C4}-\x{1CC}\x{1F1}-\x{1F3}\x{2B0}-\x{2B8}\x{2D8}-\x{2DD}\x{2E0}-\x{2E4}]|[^\x00-\x{2FF}]"
-)
-
 
 def nfkc(c: Column) -> Column:
-    """NFKC; NULL stays NULL. Text that only has letters which stay as they are is not looked at again."""
+    """NFKC; NULL stays NULL. The library itself passes over text that is normal, faster than a regular expression could."""
     composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
-    return F.when(c.rlike(MAY_CHANGE), composed).otherwise(c)
+    return F.when(c.isNotNull(), composed)

@@ -474,9 +474,17 @@ def json_get(column: Column, path: str, as_type: str = "string") -> Column:
     return F.try_variant_get(found, "$", as_type)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def json_set(column: Column, path: str, value: Column, value_kind: T.DataType) -> Column:
     """JSON text with ``value`` at ``path``; NULL text counts as an empty object, malformed text stays as it is."""
-    parsed = F.try_parse_json(column)
-    root = F.coalesce(parsed, F.parse_json(F.lit("{}")))
-    changed = F.to_json(path_set(root, T.VariantType(), path, value, value_kind))
-    return F.when(column.isNotNull() & parsed.isNull(), column).otherwise(changed)
+
+    def changed(parsed: Column) -> Column:
+        root = F.coalesce(parsed, F.parse_json(F.lit("{}")))
+        new = F.to_json(path_set(root, T.VariantType(), path, value, value_kind))
+        return F.when(column.isNotNull() & parsed.isNull(), column).otherwise(new)
+
+    return let(F.try_parse_json(column), changed)

@@ -16,23 +16,19 @@ are shared as they are.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import settled
+from .paths import let
 
 #: Levels of one expression; more would take the analyzer too many rounds.
 LEVELS = 8
 _MEMBERS = "array<struct<key:string,value:variant>>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def shape(value: Column) -> Column:
     """The leading word of the type: OBJECT, ARRAY, VOID, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, DATE, ..."""
     return F.regexp_extract(F.schema_of_variant(value), r"\A[A-Z]+", 0)
@@ -70,7 +66,7 @@ class _Copy:
             inner = lambda m, i: F.struct(
                 m["key"].alias("key"), self.copy(m["value"], left - 1, None if path is None else _further(path, m, i), below).alias("value")
             )
-            rebuilt = _let(
+            rebuilt = let(
                 F.transform(self.members(x, kind), inner),
                 lambda c: F.when(kind == "OBJECT", F.to_variant_object(F.map_from_entries(c))).otherwise(
                     F.to_variant_object(F.transform(c, lambda m: m["value"]))
@@ -103,7 +99,7 @@ def clone_variant(value: Column, levels: int, names: Collection[str] = (), types
     """A copy of a variant that is at most ``levels`` deep, without members of ``names`` and values of ``types``."""
     if levels > LEVELS:
         raise ValueError(f"one expression copies {LEVELS} levels at most; see clone_variants")
-    return _let(value, lambda x: _Copy(names, types).copy(x, levels))
+    return let(value, lambda x: _Copy(names, types).copy(x, levels))
 
 
 def clone_variants(df: DataFrame, column: str, names: Collection[str] = (), types: Collection[str] = ()) -> DataFrame:
@@ -122,5 +118,5 @@ def clone_variants(df: DataFrame, column: str, names: Collection[str] = (), type
     # As many parts as one value has.
     below = parts.groupBy(F.col("__row").alias("__of")).agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("__below"))
     joined = deep.join(below, deep["__row"] == below["__of"], "left")
-    whole = joined.withColumn(column, _let(found, lambda x: how.copy(x, LEVELS, _root(), F.col("__below"))))
+    whole = joined.withColumn(column, let(found, lambda x: how.copy(x, LEVELS, _root(), F.col("__below"))))
     return df.where(depth(found) <= LEVELS).withColumn(column, flat).unionByName(whole.select(*df.columns))

@@ -161,7 +161,7 @@ def test_strings_on_a_stream(spark, tmp_path):
     assert [r.x for r in spark.table("capitalized").collect()] == ["Hello"]
 
 
-def test_nfkc_looks_at_other_than_ascii_only(spark):
+def test_nfkc_of_plain_and_null_text(spark):
     from quillspark.functions.nfkc import nfkc
 
     df = spark.createDataFrame([("plain",), (None,), ("ﬁn\u00a0x",), ("",)], "t string")
