@@ -11,12 +11,16 @@ family, and unknown paragraphs that share words with them.
 A paragraph without any vocabulary word has the same features as an empty one, whose class
 is unknown, so it is skipped; that changes no result.
 
-Defined results: null text counts as empty and has no licence; null ids, ties and repeated
-rows pass through one to one; an empty table gives no rows; other columns are ignored.
+Headings ("MIT License", "License: GPLv3") state a licence only where they are a whole line.
+
+Defined results: null text counts as empty and has no licence; texts of any length are scanned
+whole, in time that grows with their lines; of classes with equal probability the first in
+``FAMILIES`` counts; null ids and repeated rows pass through one to one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -46,12 +50,17 @@ TEMPLATES = {
     ],
     "BSD": [
         "released under the BSD license", "licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause",
+        "licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
     "GPL": [
         "this work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0-only",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "released under the GPL version 2",
+        "released under the GPL version 2", "released under the GNU GPL v2 or later", "SPDX-License-Identifier: GPL-2.0-or-later",
+    ],
+    "AGPL": [
+        "licensed under the GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0-only",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     ],
     "LGPL": [
         "licensed under the GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1-or-later",
@@ -61,12 +70,37 @@ TEMPLATES = {
         "this Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License 2.0",
         "SPDX-License-Identifier: MPL-2.0",
     ],
-    "CC-BY": ["licensed under CC BY 4.0", "this work is licensed under a Creative Commons Attribution 4.0 International License"],
+    "EPL": [
+        "made available under the terms of the Eclipse Public License 2.0", "licensed under the Eclipse Public License", "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "ISC": [
+        "released under the ISC license", "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    ],
+    "CC-BY": ["licensed under CC BY 4.0", "SPDX-License-Identifier: CC-BY-4.0", "this work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-SA": ["licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "CC-BY-NC": ["licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC0": ["released under CC0 1.0 Universal", "dedicated to the public domain under the Unlicense", "this is free and unencumbered software released into the public domain"],
+    "CC0": ["released under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0", "SPDX-License-Identifier: Unlicense", "dedicated to the public domain under the Unlicense", "this is free and unencumbered software released into the public domain"],
     "Proprietary": ["all rights reserved", "proprietary and confidential, unauthorized copying of this file is strictly prohibited"],
 }
+#: Headings and notes that state a licence where they are all that a paragraph holds.
+HEADINGS = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "License: MIT", "Licence: MIT"],
+    "Apache-2.0": ["Apache License", "License: Apache-2.0", "License: Apache 2.0", "Apache License Version 2.0"],
+    "BSD": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "License: BSD", "License: BSD-3-Clause"],
+    "GPL": ["GPLv2", "GPLv3", "License: GPLv2", "License: GPLv3", "License: GPL", "GNU General Public License", "GNU General Public License version 3", "GNU General Public License version 2"],
+    "LGPL": ["LGPLv3", "License: LGPL", "GNU Lesser General Public License", "GNU Lesser General Public License version 3"],
+    "AGPL": ["AGPLv3", "License: AGPLv3", "GNU Affero General Public License", "GNU Affero General Public License version 3"],
+    "MPL-2.0": ["License: MPL-2.0", "Mozilla Public License", "Mozilla Public License Version 2.0"],
+    "EPL": ["License: EPL-2.0", "Eclipse Public License", "Eclipse Public License - v 2.0"],
+    "ISC": ["ISC License", "The ISC License", "License: ISC"],
+    "CC0": ["The Unlicense", "License: CC0", "CC0 1.0 Universal"],
+}
+#: Words that may follow a heading of at least ``LONG_HEADING`` words, such as a date.
+LONG_HEADING, AFTER_HEADING = 4, 3
+#: What may not follow: here rights are told of, not kept.
+TOLD = re.compile(r"all rights reserved (?=[a-z])")
+
 #: Paragraphs that name licences or share their words without granting one.
 UNKNOWN = [
     "a driving licence is needed to rent a car", "the licence plate was found on the road", "licensed doctors work in the clinic",
@@ -76,6 +110,8 @@ UNKNOWN = [
     "rights of way are reserved for walkers", "copy the files to the other folder", "the public domain of the park is large",
     "terms and conditions apply to this offer", "the source of the river is in the north", "international attribution of goals",
     "redistribution of land was the aim", "the bar is licensed to sell beer", "and the work of the people is to be under the sun",
+    "the committee has all rights reserved by law", "students at MIT protest the license fees", "a total eclipse was seen by the public",
+    "in 1991 he wrote that version 2 of the GPL had been released to much debate", "ISC stands for a school in the city", "MIT and BSD are names",
 ]
 FAMILIES = [*TEMPLATES, "unknown"]
 STOP = frozenset("a an and any are as at be by for in is it may of on or that the this to was with you".split())
@@ -124,6 +160,8 @@ def training_table(seed: int = 23) -> list[tuple[str, int]]:
                 extra = [one(filler) for _ in range(int(rng.integers(0, 6)))]
                 lead = one(PREFIXES).split() if family != "unknown" else []
                 rows.append((" ".join([*lead, *w, *extra]), label))
+    for family, texts in HEADINGS.items():
+        rows += [(text, FAMILIES.index(family)) for text in texts for _ in range(VARIANTS // 3)]
     for _ in range(4 * VARIANTS):  # words of licence statements out of any order
         pool = [x for t in TEMPLATES.values() for s in t for x in words(s) if x not in ("mit", "apache", "bsd", "gpl", "gnu", "cc", "cc0", "mozilla")]
         rows.append((" ".join(one(pool) for _ in range(int(rng.integers(1, 9)))), len(FAMILIES) - 1))
@@ -165,8 +203,14 @@ def fitted() -> Classifier:
 
 
 def confirmed(paragraph: str, family: str) -> bool:
-    """Whether the paragraph holds enough word pairs of one of the family's templates."""
+    """Whether the paragraph is one of the family's headings, or holds enough word pairs of one of its templates."""
     w = words(paragraph)
+    for heading in HEADINGS.get(family, []):
+        h = words(heading)
+        if w[: len(h)] == h and len(w) <= len(h) + (AFTER_HEADING if len(h) >= LONG_HEADING else 0):
+            return True
+    if family == "Proprietary" and TOLD.search(" ".join(re.findall(r"[a-z]+|[.!;)]", paragraph.lower()))):
+        return False
     have = set(zip(w, w[1:], strict=False))
     for template in TEMPLATES[family]:
         t = words(template)
@@ -269,6 +313,7 @@ def statements(texts: list[str], model: Classifier) -> list[list[tuple[str, int,
         wrapped += wraps(run) if known else []
         rows += [(n, lines[0][1], lines[-1][2], joined(lines), family) for family, lines in wrapped]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    taken: dict[tuple[int, str], list[tuple[int, int]]] = {}  # spans of a text and family, in order and apart
     if not rows:
         return out
     p = model.probabilities([r[3] for r in rows])
@@ -276,9 +321,14 @@ def statements(texts: list[str], model: Classifier) -> list[list[tuple[str, int,
     for (n, start, end, paragraph, sought), k, prob in zip(rows, best, p.max(axis=1), strict=True):
         family = FAMILIES[k]
         # Lines come first; a join adds a statement only where its family has none yet.
-        if family == "unknown" or prob < MIN_PROBABILITY or (sought and any(f == family and a < end and start < b for f, a, b in out[n])):
+        if family == "unknown" or prob < MIN_PROBABILITY:
+            continue
+        spans = taken.setdefault((n, family), [])
+        at = bisect.bisect_left(spans, (start, end))
+        if sought and any(a < end and start < b for a, b in spans[max(0, at - 1) : at + 1]):
             continue
         if confirmed(paragraph, family):
+            spans.insert(at, (start, end))
             out[n].append((family, start, end))
     return [sorted(found, key=lambda x: x[1:]) for found in out]
 
