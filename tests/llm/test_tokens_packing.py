@@ -242,3 +242,19 @@ def test_damaged_block_is_found():
     broken = data[:-20] + bytes([data[-20] ^ 1]) + data[-19:]
     with pytest.raises(ValueError, match="checksum"):
         list(id_files._unpack([broken]))
+
+
+def test_rows_without_an_id_are_dealt_over_the_files(spark, encoder, tmp_path):
+    rows = [(None, f"text {k} of no id " * 3) for k in range(400)] + [(k, f"text {k}") for k in range(40)] + [(7, "text 7")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "ids")
+    id_files.write(docs, path)
+    assert spark.read.parquet(path).select("file").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = id_files.read(spark, path, digest=True).orderBy("start").collect()
+    assert len(got) == len(rows)
+    ends = 0
+    for r in got:
+        assert r.start == ends
+        ends += r.n_tokens
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids)
