@@ -54,6 +54,26 @@ def test_encoder_takes_very_long_texts(encoder):
     assert encoded(encoder, [text, "x", text + "  "]) == [plain(encoder, t) for t in (text, "x", text + "  ")]
 
 
+def test_tokenizer_gets_few_characters_at_a_time(encoder, monkeypatch):
+    """Its results take some fifty times the text, so that new words and odd texts go to it in small groups."""
+    got = []
+
+    class Tokenizer:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            got.append(sum(map(len, texts)) - (len(texts[-1]) if texts else 0))
+            return whole.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    whole = encoder.tokenizer
+    monkeypatch.setattr(encoder, "tokenizer", Tokenizer())
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 500))) for _ in range(60)]
+    texts += [f"a\t{'  '.join(map(str, rng.integers(0, 10**9, 500)))}" for _ in range(60)]
+    ids, at = encoder.encode(pa.array(texts))
+    monkeypatch.undo()
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [plain(encoder, t) for t in texts]
+    assert max(got) <= 100_000 and packing.SLICE <= 1_000_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab ,.\n\t 5é'!\r", max_size=20), max_size=5))
 def test_encoder_property(texts):
