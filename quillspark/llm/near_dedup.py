@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import bands, signatures
-from .common import BROADCAST_IDS, checkpoint, id_and_text, settled, text_slices, without_ids
+from .common import BROADCAST_IDS, checkpoint, id_and_text, release, settled, text_slices, without_ids
 from .components import components
 from .shingles import WIDTH, mix, multiset, occurrences
 
@@ -58,6 +58,8 @@ RARE = 8
 SLICE = 1_000_000
 #: Buckets with several members, and texts with copies or links, up to which their tables are broadcast (about 40 MB).
 BROADCAST_BUCKETS, BROADCAST_TEXTS = 500_000, 1_000_000
+#: Elements of sets that are counted at once.
+COUNTED = 1_000_000
 #: Sets over this size skip the fingerprint test, whose cells hold small numbers.
 MAX_CELLED = 1_000_000
 
@@ -160,6 +162,43 @@ def _crossing(open_: DataFrame) -> DataFrame:
     return left.join(right, "bucket").where("a < b and ca <> cb").select("a", "na", "b", "nb")
 
 
+def _counted(held: DataFrame) -> DataFrame:
+    """x, held, one and docs for each element of the sets ``held(doc, e)`` that a slice of a task has.
+
+    The rows are partial counts: an element has as many as slices that hold it, however many
+    members of a group do. ``one`` is the least member; ``docs`` are all members of the slice,
+    or null where these are more than ``RARE`` already.
+    """
+    most = RARE
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(1)
+            ends = np.asarray(sets.offsets)
+            start = 0
+            while start < batch.num_rows:
+                # Whole sets, up to COUNTED elements together.
+                end = max(start + 1, int(np.searchsorted(ends, ends[start] + COUNTED, "right")) - 1)
+                part = sets.slice(start, end - start)
+                size = np.diff(ends[start : end + 1])
+                doc = np.repeat(batch.column(0).slice(start, end - start).to_numpy(), size)
+                x = part.flatten().to_numpy()
+                order = np.lexsort((doc, x))
+                x, doc = x[order], doc[order]
+                first = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+                n = np.diff(np.append(first, len(x)))
+                few = n <= most
+                kept = doc[np.repeat(few, n)]
+                offsets = np.append(0, np.cumsum(n * few)).astype(np.int32)
+                docs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(kept))
+                docs = pa.compute.if_else(pa.array(few), docs, pa.scalar(None, docs.type))
+                yield pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(n), pa.array(doc[first]), docs], names=["x", "held", "one", "docs"])
+                start = end
+        release()
+
+    return held.mapInArrow(run, "x long, held long, one long, docs array<long>")
+
+
 def _shared(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Pairs across components that share a rare element, and the members that may link without one, with r.
 
@@ -168,15 +207,16 @@ def _shared(large: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFr
     at least the bucket's least size, which bounds the similarity from above.
     """
     named = settled(large.select("doc", "n", "comp").distinct())
-    few = named.count() <= BROADCAST_IDS
+    known = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
     # A group's sets may lie in few parts; its elements are counted in many.
-    held = sets.join(F.broadcast(named) if few else named, "doc").select("doc", "n", "comp", "e").repartition("doc")
-    held = held.select("doc", "n", "comp", F.explode("e").alias("x"))
-    seen = held.groupBy("x").agg(F.count(F.lit(1)).alias("held"), F.min("doc").alias("one"))
+    held = sets.join(known.select("doc"), "doc", "left_semi").select("doc", "e").repartition("doc")
+    counted = checkpoint(_counted(held))
+    seen = counted.groupBy("x").agg(F.sum("held").alias("held"), F.min("one").alias("one"))
     seen = settled(seen.where(F.col("held") <= RARE), 500_000)
     rare = seen.where("held > 1").select("x")
     few = rare.count() <= BROADCAST_IDS
-    own = settled(held.join(F.broadcast(rare) if few else rare, "x", "left_semi"), 100_000)
+    own = counted.where("docs is not null").join(F.broadcast(rare) if few else rare, "x", "left_semi")
+    own = settled(own.select("x", F.explode("docs").alias("doc")).join(known, "doc"), 100_000)
     left = own.select("x", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     right = own.select("x", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     pairs = left.join(right, "x").where("a < b and ca <> cb").select("a", "na", "b", "nb").distinct()

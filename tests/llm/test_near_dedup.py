@@ -109,6 +109,37 @@ def test_shuffled_forms_and_rare_elements(spark, monkeypatch, rare):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == classes(rows)
 
 
+@pytest.mark.parametrize("counted", [1, 700, 10**6])
+def test_shared_elements_are_counted_not_listed(spark, monkeypatch, counted):
+    """Elements of a large group are counted within a task: no row for each of each member."""
+    monkeypatch.setattr(near_dedup, "COUNTED", counted)
+    rng = random.Random(5)
+    sets = {}
+    for k in range(200):  # each has most of 100 common elements, a few of some rare ones and one of its own
+        sets[k] = set(rng.sample(range(-50, 50), 90)) | set(rng.sample(range(1000, 1300), rng.randint(0, 4))) | {5000 + k}
+    sets[200] = set()
+    comp = {k: k // 2 for k in sets}
+    table = spark.createDataFrame([(k, sorted(e)) for k, e in sets.items()], "doc long, e array<long>").repartition(3)
+    rows = near_dedup._counted(table.repartition(2)).collect()
+    held = Counter(x for e in sets.values() for x in e)
+    found = Counter()
+    for r in rows:
+        found[r.x] += r.held
+        assert r.docs is None and r.held > near_dedup.RARE or sorted(r.docs) == r.docs and len(r.docs) == r.held and r.one == r.docs[0]
+        assert r.x in sets[r.one] and all(r.x in sets[d] for d in r.docs or [])
+    assert found == held
+    if counted == 10**6:
+        assert len(rows) <= 2 * len(held) < sum(map(len, sets.values())) / 10
+
+    large = spark.createDataFrame([(7, k, len(e), comp[k]) for k, e in sets.items()], "bucket long, doc long, n long, comp long")
+    pairs, bounded = near_dedup._shared(large, table, 0.8)
+    rare = {x for x, c in held.items() if c <= near_dedup.RARE}
+    expected = {(a, b) for a, b in combinations(sets, 2) if comp[a] != comp[b] and rare & sets[a] & sets[b]}
+    assert {(r.a, r.b) for r in pairs.collect()} == expected
+    r_of = {k: len(e - rare) for k, e in sets.items()}
+    assert {x.doc: x.r for x in bounded.collect()} == {k: r for k, r in r_of.items() if r >= 0.8 * (len(sets[k]) + max(0, r) - r)}
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     names = rng.integers(0, 2**63, 60).astype(np.uint64)
