@@ -257,6 +257,27 @@ def test_files_round_trip(spark, encoder, tmp_path):
     assert id_files.round_trip(docs.limit(0)).count() == 0
 
 
+def test_crc_of_a_document_from_those_of_its_pieces():
+    rng = np.random.default_rng(6)
+    for k in range(30):
+        raw = [rng.bytes(4 * int(n)) for n in rng.integers(0, 9000, k % 6)]
+        assert id_files.joined_crc([zlib.crc32(r) for r in raw], [len(r) // 4 for r in raw]) == zlib.crc32(b"".join(raw))
+
+
+def test_digests_take_one_decoding(spark, encoder, tmp_path):
+    """Documents of one piece and of several come from the same decoded blocks."""
+    path = str(tmp_path / "ids")
+    texts = ["short", "ab cd\nef, " * 9000, "", "x y " * 5000, None]
+    id_files.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    found = id_files.read(spark, path, digest=True)
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    start = 0
+    for doc, (row, text) in enumerate(zip(found.orderBy("doc_id").collect(), texts, strict=True)):
+        ids = np.array(plain(encoder, text or ""), "<u4")
+        assert tuple(row) == (doc, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_damaged_block_is_found():
     _, (data,) = id_files._pack([[(1, 0, 0, 1, np.arange(50, dtype="<u4").tobytes())]], 0)
     broken = data[:-20] + bytes([data[-20] ^ 1]) + data[-19:]
