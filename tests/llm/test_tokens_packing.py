@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -241,6 +242,44 @@ def test_ids_take_fewer_bits_than_plain_coders(encoder):
     assert own < 0.95 * sum(8 * len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
 
 
+def test_blocks_take_little_time(encoder):
+    """Both ways together take clearly less than the tokenizer needs for the texts."""
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id")["text"]
+    docs = docs.combine_chunks().fill_null("")
+    began = time.process_time()
+    for k in range(0, len(docs), 100):
+        encoder.tokenizer.encode_batch_fast(docs[k : k + 100].to_pylist(), add_special_tokens=False)
+    plain_time = time.process_time() - began
+    ids, _ = encoder.encode(docs)
+    blocks = [ids[k : k + 8192] for k in range(0, len(ids), 8192)]
+    began = time.process_time()
+    coded = range_coder.encode(blocks * 4)
+    decoded = range_coder.decode(coded, [len(b) for b in blocks] * 4)
+    took = (time.process_time() - began) / 4
+    assert took < 0.7 * plain_time
+    assert all(np.array_equal(a, b) for a, b in zip(blocks * 4, decoded, strict=True))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_damaged_codes_end(seed):
+    """Any damage ends in ids that differ or in an error that says so, never in a loop or in another error."""
+    rng = np.random.default_rng(seed)
+    blocks = [rng.integers(0, 65536, 400), np.arange(900) % 37, np.full(3, 9)]
+    coded = range_coder.encode(blocks)
+    for k in range(40):
+        which, raw = k % 3, bytearray(coded[k % 3])
+        raw[int(rng.integers(len(raw)))] ^= 1 << int(rng.integers(8))
+        broken = [*coded]
+        broken[which] = bytes(raw)
+        try:
+            found = range_coder.decode(broken, [len(b) for b in blocks])
+        except ValueError as e:
+            assert "checksum" in str(e)
+            continue
+        assert [len(f) for f in found] == [len(b) for b in blocks]
+        assert all(np.array_equal(f, b) for i, (f, b) in enumerate(zip(found, blocks, strict=True)) if i != which)
+
+
 def test_files_round_trip(spark, encoder, tmp_path):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string")
     path = str(tmp_path / "ids")
