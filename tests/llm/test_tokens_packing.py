@@ -317,6 +317,22 @@ def test_digests_take_one_decoding(spark, encoder, tmp_path):
         start += len(ids)
 
 
+def test_no_small_part_is_left_over(monkeypatch):
+    monkeypatch.setattr(id_files, "LANES", 8)
+    for n in range(60):
+        parts = list(id_files._even([[(k, 0, 0, 1, b"")] for k in range(n)]))
+        assert [b[0][0] for p in parts for b in p] == list(range(n))
+        assert n <= 8 or all(5 < len(p) <= 12 for p in parts)
+        assert [size for _, size in id_files._spans(n)] == [] if not n else sum(size for _, size in id_files._spans(n)) == n
+
+
+def test_words_with_signs_at_their_end(encoder):
+    words = ["word.", "word,", "Word...", "a!?", "x$$$", "it's", "don't.", "e.g.", "1.", "b2,", "Ġ.", "é,", "zz'", "q)", "l.'s", "abc.,!?;:$&*%#", ".", "...", "a-b,"]
+    texts = [" ".join(words), "\n".join(words), *words]
+    for _ in range(3):
+        assert encoded(encoder, texts) == [plain(encoder, t) for t in texts]
+
+
 def test_damaged_block_is_found():
     _, (data,) = id_files._pack([[(1, 0, 0, 1, np.arange(50, dtype="<u4").tobytes())]], 0)
     broken = data[:-20] + bytes([data[-20] ^ 1]) + data[-19:]
